@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> (module, callable, name of its SQL or None)
 _TABLE = {
     "op4_quality": ("quality", "op4_quality", None),
+    "op5_pii": ("pii", "op5_pii", None),
     "op7_mix": ("mixing", "op7_mix", "OP7_SQL"),
 }
 
