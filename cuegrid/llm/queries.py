@@ -10,6 +10,7 @@ _TABLE = {
     "op4_quality": ("quality", "op4_quality", None),
     "op5_pii": ("pii", "op5_pii", None),
     "op7_mix": ("mixing", "op7_mix", "OP7_SQL"),
+    "op8_language": ("language", "op8_language", None),
 }
 
 
