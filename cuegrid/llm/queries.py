@@ -11,6 +11,7 @@ _TABLE = {
     "op5_pii": ("pii", "op5_pii", None),
     "op7_mix": ("mixing", "op7_mix", "OP7_SQL"),
     "op8_language": ("language", "op8_language", None),
+    "op9_warc": ("warc", "op9_warc", "OP9_SQL"),
 }
 
 
