@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> (module, callable, name of its SQL or None)
 _TABLE = {
+    "op1_near_dedup": ("near_dedup", "op1_near_dedup", "OP1_SQL"),
     "op3_licenses": ("licenses", "op3_licenses", None),
     "op4_quality": ("quality", "op4_quality", None),
     "op5_pii": ("pii", "op5_pii", None),
