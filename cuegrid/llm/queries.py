@@ -7,12 +7,15 @@ from importlib import import_module
 #: query -> (module, callable, name of its SQL or None)
 _TABLE = {
     "op1_near_dedup": ("near_dedup", "op1_near_dedup", "OP1_SQL"),
+    "op2_topk": ("topk", "op2_topk", "OP2_SQL"),
     "op3_licenses": ("licenses", "op3_licenses", None),
     "op4_quality": ("quality", "op4_quality", None),
     "op5_pii": ("pii", "op5_pii", None),
     "op7_mix": ("mixing", "op7_mix", "OP7_SQL"),
     "op8_language": ("language", "op8_language", None),
     "op9_warc": ("warc", "op9_warc", "OP9_SQL"),
+    "op10_line_dedup": ("line_dedup", "op10_line_dedup", "OP10_SQL"),
+    "op6_pack": ("packing", "op6_pack", None),
 }
 
 
