@@ -34,19 +34,25 @@ MIN_PERCENT = 75
 #: Entries of the hashed frequency table, one byte each.
 BUCKETS = 1 << 16
 _ROW = 256
+_BODY = (1 << 56) - 1
 
 _BLANKS = r"[\x09-\x0D\x20]+"
 _TRIM = "\t\n\x0b\x0c\r "
 
 
 def _words(text: Column) -> Column:
-    """Words of a text; one empty word if it is blank."""
-    return F.split(F.btrim(text, F.lit(_TRIM)), _BLANKS)
+    """Words of a text; one empty word if it is blank. Texts whose only blanks are single spaces (and
+    the given line ends) take the plain split."""
+    trimmed = F.btrim(text, F.lit(_TRIM))
+    odd = F.contains(trimmed, F.lit("  "))
+    for blank in "\t\x0b\x0c\r\n":
+        odd = odd | F.contains(trimmed, F.lit(blank))
+    return F.when(odd, F.split(trimmed, _BLANKS)).otherwise(F.split(trimmed, " "))
 
 
 def frequency_table(docs: DataFrame, text: str = "text") -> bytes:
     """Byte b: a logarithmic class (1 to 127) of how many documents hold a word hashed to bucket b."""
-    words = docs.select(F.explode(F.array_distinct(_words(F.col(text)))).alias("w"))
+    words = docs.select(F.explode(F.array_distinct(_words(F.replace(F.col(text), F.lit("\n"), F.lit(" "))))).alias("w"))
     counts = words.select((F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     level = F.least(F.lit(126), F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 3)).cast("int") + 1
@@ -55,20 +61,23 @@ def frequency_table(docs: DataFrame, text: str = "text") -> bytes:
     return "".join(r["bytes"] for r in rows.orderBy("row").collect()).encode()
 
 
-def _tokens(words: Column, table: bytes) -> tuple[Column, Column]:
-    """Word hashes, and from a column ``hashes`` of them the sorted distinct tokens: the rarity class in the high byte, then the shingle's hash."""
-    lit = F.lit(table)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _ranked(word: Column, table: Column) -> Column:
+    """The word's rarity class in the high byte, its hash below."""
+    own = F.xxhash64(word)
+    level = F.ascii(F.substring(table, own.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.shiftleft(level.cast("long"), 56).bitwiseOR(own.bitwiseAND(F.lit(_BODY)))
+
+
+def _shingles(ranked: Column) -> Column:
+    """Sorted distinct tokens as longs: the first word's rarity class, then the shingle's hash."""
 
     def shingle(i):
-        own = F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(SHINGLE_WORDS)])
-        bucket = F.get(F.col("hashes"), i).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-        level = F.ascii(F.substring(lit, bucket + 1, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(own.bitwiseAND(F.lit((1 << 56) - 1)))
+        own = F.xxhash64(*[F.get(ranked, i + k) for k in range(SHINGLE_WORDS)])
+        return F.get(ranked, i).bitwiseAND(F.lit(127 << 56)).bitwiseOR(own.bitwiseAND(F.lit(_BODY)))
 
-    every = F.transform(F.sequence(F.lit(0), F.size("hashes") - SHINGLE_WORDS), shingle)
+    every = F.transform(F.sequence(F.lit(0), F.size(ranked) - SHINGLE_WORDS), shingle)
     none = F.array().cast("array<bigint>")
-    return hashes, F.when(F.size("hashes") >= MIN_WORDS, F.sort_array(F.array_distinct(every))).otherwise(none)
+    return F.when(F.size(ranked) >= MIN_WORDS, F.sort_array(F.array_distinct(every))).otherwise(none)
 
 
 def token_lines(docs: DataFrame, table: bytes) -> DataFrame:
@@ -79,10 +88,9 @@ def token_lines(docs: DataFrame, table: bytes) -> DataFrame:
         F.xxhash64("text").bitwiseAND(F.lit((1 << 20) - 1)).alias("twin"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
-    lines = lines.select("doc_key", (F.shiftleft(F.col("line_no").cast("long"), 20) + F.col("twin")).alias("seq"), _words(F.col("line")).alias("words"))
-    hashes, tokens = _tokens(F.col("words"), table)
-    lines = lines.select("doc_key", "seq", hashes.alias("hashes"))
-    return lines.select("doc_key", "seq", tokens.alias("tokens"))
+    seq = (F.shiftleft(F.col("line_no").cast("long"), 20) + F.col("twin")).alias("seq")
+    ranked = F.transform(_words(F.col("line")), lambda w: _ranked(w, F.lit(table)))
+    return lines.select("doc_key", seq, ranked.alias("ranked")).select("doc_key", "seq", _shingles(F.col("ranked")).alias("tokens"))
 
 
 def _needed(m: str, n: str) -> Column:
