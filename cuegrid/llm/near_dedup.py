@@ -10,12 +10,13 @@ Groups of copies are never expanded into pairs:
 
 1. equal sets collapse to one representative (the smallest doc_id) by an aggregation that combines
    before it shuffles;
-2. a bucket's members are compared with one pivot, the smallest id in it (a star, not all pairs);
-   the confirmed links give components;
+2. every member of a shared bucket is compared with one pivot, the smallest id it shares a bucket
+   with (a star, not all pairs); the confirmed links give components;
 3. a bucket whose members are still in several components may hide links between members that both
-   differ from the pivot. While such buckets would give more than a few pairs a member, further
-   stars with other pivots follow; then all pairs *across* components inside a bucket are compared,
-   so no candidate pair goes unexamined, but nothing already connected is compared again.
+   differ from the pivot. Members of one pivot are then compared across components block by block,
+   passing over what set sizes or the triangle inequality through the pivot exclude; pairs of members
+   with different pivots are few and are confirmed one by one. So no possible link goes unexamined,
+   nothing already connected is compared again, and large groups never become rows of pairs.
 
 Defined results: text that is null or has no words gives an empty set, linked with nothing, its own
 component, kept; a shorter text is one shingle; rows with a null doc_id are not linked
@@ -44,9 +45,10 @@ MIN_PERCENT = 75
 #: Signature layout.
 BANDS = 48
 ROWS = 5
-#: Another star round is run while cross-component pairs exceed this many per bucket member.
-PAIRS_PER_MEMBER = 4
-STAR_ROUNDS = 4
+#: Members of one pivot that travel together.
+BLOCK_MEMBERS = 128
+#: Up to so many ids are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _SHIFTS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint32)
 _BLOCK = 512
@@ -98,31 +100,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
-def linked(one: np.ndarray, other: np.ndarray) -> bool:
-    """100 * intersection >= MIN_PERCENT * union, of sorted distinct arrays."""
+def overlap(one: np.ndarray, other: np.ndarray) -> int:
+    """Size of the intersection of sorted distinct arrays."""
     small, large = (one, other) if len(one) <= len(other) else (other, one)
-    if not len(small) or 100 * len(small) < MIN_PERCENT * len(large):
-        return False
+    if not len(small):
+        return 0
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
-    both = int(np.count_nonzero(large[at] == small))
-    return 100 * both >= MIN_PERCENT * (len(one) + len(other) - both)
+    return int(np.count_nonzero(large[at] == small))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        one, other = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(one, other, strict=True)]
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        common, distance = [], []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            one, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = overlap(one, other)
+            common.append(both > 0 and 100 * both >= MIN_PERCENT * (len(one) + len(other) - both))
+            distance.append(1.0 - both / max(1, len(one) + len(other) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "linked", "distance"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked, materialised."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with ``linked`` and their Jaccard ``distance`` on the full sets, materialised."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
     full = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
-    return materialise(full.mapInArrow(_confirm, "a long, b long"), "near-links")
+    return materialise(full.mapInArrow(_measure, "a long, b long, linked boolean, distance double"), "near-measured")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -134,31 +138,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("mark")
     groups = materialise(groups.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-groups")
 
-    entries = groups.select("rep", "n", F.explode("bands").alias("bucket"))
+    entries = groups.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last")
     members = materialise(entries.join(shared.select("bucket", "pivot"), "bucket"), "near-members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    nearest = members.groupBy("rep").agg(F.min("pivot").alias("pivot"))
+    nearest = materialise(nearest.join(groups.select("rep", "n", "bands"), "rep"), "near-nearest")
+    wanted = nearest.select(F.col("rep").alias("doc_id"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "near-sets")
 
-    links = confirmed(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets)
-    members = members.select("bucket", "rep", "n")
+    first = measured(nearest.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), sets)
+    links = first.filter("linked").select("a", "b")
+    nearest = nearest.join(first.select(F.col("b").alias("rep"), "distance"), "rep", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    nearest = materialise(nearest, "near-placed")
     reached = components(links)
-    for round_ in range(STAR_ROUNDS):
-        members = _open_members(members, reached)
-        if members is None:
-            break
-        by_part = members.groupBy("bucket", "part").agg(F.count("*").alias("k"))
-        size = by_part.groupBy("bucket").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        size = size.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
-        if size["pairs"] <= PAIRS_PER_MEMBER * size["rows"] or round_ == STAR_ROUNDS - 1:
-            pairs = _across(members)
-        else:
-            pairs = _stars(members, round_)
-        more = confirmed(pairs, sets)
-        links = links.union(more)
+    members = _open_members(members, reached)
+    if members is not None:
+        links = links.union(_within_pivots(members, nearest, sets))
+        links = links.union(measured(_between_pivots(members, nearest), sets).filter("linked").select("a", "b"))
         reached = components(links)
-        if size["pairs"] <= PAIRS_PER_MEMBER * size["rows"]:
-            break
 
     component = groups.select("mark", "rep").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = component.select("mark", F.coalesce("component", "rep").alias("component"))
@@ -169,26 +167,95 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _open_members(members: DataFrame, reached: DataFrame) -> DataFrame | None:
     """Members, with their component as ``part``, of the buckets that are in several components."""
-    placed = members.select("bucket", "rep", "n").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    placed = placed.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    placed = members.select("bucket", "rep").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    placed = placed.select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
     several = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
     found = materialise(placed.join(several, "bucket", "left_semi"), "near-open")
     return None if found.isEmpty() else found
 
 
-def _stars(members: DataFrame, round_: int) -> DataFrame:
-    """Each open bucket's members against one pivot, another one each round."""
-    drawn = F.struct(F.xxhash64("rep", F.lit(round_)).alias("draw"), "rep", "part")
-    pivots = members.groupBy("bucket").agg(F.min(drawn).alias("pivot"))
-    pairs = members.join(pivots, "bucket").filter("part <> pivot.part")
-    return pairs.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
+_MEMBER = "array<struct<rep:long,part:long,n:long,distance:double,shingles:binary>>"
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs across components inside the open buckets whose sizes allow a link."""
-    other = members.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("part").alias("part_b"))
-    fits = (F.col("rep") < F.col("b")) & (F.col("part") != F.col("part_b")) & (100 * F.least("n", "m") >= MIN_PERCENT * F.greatest("n", "m"))
-    return members.join(other, "bucket").filter(fits).select(F.col("rep").alias("a"), "b").distinct()
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links across components between two blocks of one pivot's members, on the full sets."""
+    for batch in batches:
+        found_a, found_b = [], []
+        for at in range(batch.num_rows):
+            one, other = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+            fields = [[np.array([m[f] for m in block]) for f in ("rep", "part", "n", "distance")] for block in (one, other)]
+            (rep, part, n, far), (rep_b, part_b, n_b, far_b) = [[c[:, None] for c in fields[0]], fields[1]]
+            ask = (part != part_b) & (100 * np.minimum(n, n_b) >= MIN_PERCENT * np.maximum(n, n_b))
+            ask &= np.abs(far - far_b) <= (100 - MIN_PERCENT) / 100 + 1e-9
+            rows, columns = np.flatnonzero(ask.any(axis=1)), np.flatnonzero(ask.any(axis=0))
+            if not len(rows):
+                continue
+            common = _overlaps([one[i]["shingles"] for i in rows], [other[j]["shingles"] for j in columns])
+            union = n[rows] + n_b[columns] - common
+            linked = ask[np.ix_(rows, columns)] & (100 * common >= MIN_PERCENT * union)
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = int(rep[rows[i], 0]), int(rep_b[columns[j]])
+                found_a.append(min(x, y))
+                found_b.append(max(x, y))
+        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+
+def _overlaps(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """Sizes of all intersections: a product of incidence matrices over the shingles both sides have."""
+    sides = [[np.frombuffer(x, np.uint64) for x in side] for side in (one, other)]
+    shared = np.intersect1d(np.unique(np.concatenate(sides[0])), np.unique(np.concatenate(sides[1])), assume_unique=True)
+    out = np.zeros((len(one), len(other)), np.float32)
+    for a in range(0, len(shared), 4096):
+        part = shared[a : a + 4096]
+        incidence = []
+        for side in sides:
+            held = np.zeros((len(side), len(part)), np.float32)
+            for i, x in enumerate(side):
+                at = np.searchsorted(part, x)
+                at[at == len(part)] = 0
+                held[i, at[part[at] == x]] = 1
+            incidence.append(held)
+        out += incidence[0] @ incidence[1].T
+    return out.astype(np.int64)
+
+
+def _within_pivots(members: DataFrame, nearest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) across components among the open members that were measured against one pivot.
+
+    A member has one such pivot, so its set travels once, in a block of about BLOCK_MEMBERS; those of a
+    pivot's largest component travel apart, as they need no comparison among themselves. A row is a
+    pair of blocks, never a pair of members. As Jaccard distance is a metric, members whose distances
+    to the pivot differ by more than the linking distance cannot link and are passed over.
+    """
+    rows = members.select("rep", "part").distinct().join(nearest.filter("rep <> pivot").drop("bands"), "rep")
+    parts = rows.groupBy("pivot", "part").agg(F.count("*").alias("k"))
+    parts = parts.groupBy("pivot").agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all")).filter("top.k < all")
+    blocks = lambda n: F.ceil(n / BLOCK_MEMBERS)
+    parts = parts.select("pivot", F.col("top.part").alias("major"), blocks(F.col("all") - F.col("top.k")).alias("minors"), blocks(F.col("top.k")).alias("majors"))
+    rows = rows.join(parts, "pivot").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    own = F.xxhash64("rep")
+    block = F.when(F.col("part") == F.col("major"), F.col("minors") + F.pmod(own, F.col("majors"))).otherwise(F.pmod(own, F.col("minors")))
+    packed = rows.groupBy("pivot", block.alias("block"), "minors", "majors").agg(F.collect_list(F.struct("rep", "part", "n", "distance", "shingles")).cast(_MEMBER).alias("members"))
+    packed = materialise(packed, "near-blocks")
+    left = packed.filter("block < minors").select("pivot", F.col("members").alias("one"), F.explode(F.sequence("block", F.col("minors") + F.col("majors") - 1)).alias("block"))
+    met = left.join(packed.select("pivot", "block", F.col("members").alias("other")), ["pivot", "block"])
+    return materialise(met.select("one", "other").mapInArrow(_compare, "a long, b long").distinct(), "near-within")
+
+
+def _between_pivots(members: DataFrame, nearest: DataFrame) -> DataFrame:
+    """The other pairs (a, b) across components inside the open buckets, each once, in the smallest
+    bucket it shares: both have pivots of their own, and neither is the other's."""
+    one = members.join(nearest, "rep").select("bucket", "part", F.col("rep").alias("a"), "n", "pivot", "bands")
+    other = one.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in ("part", "n", "pivot", "bands")], F.col("a").alias("b"))
+    may_link = (
+        (F.col("a") < F.col("b"))
+        & (F.col("part") != F.col("part_b"))
+        & (F.col("pivot") != F.col("pivot_b"))
+        & (F.col("pivot_b") != F.col("a"))
+        & (100 * F.least("n", "n_b") >= MIN_PERCENT * F.greatest("n", "n_b"))
+    )
+    once = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("bucket")
+    return one.join(other, on=(F.col("bucket") == F.col("bucket_b")) & may_link & once).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
