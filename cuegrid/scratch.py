@@ -42,13 +42,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: later plans start from the files."""
+    """Write ``df`` once and read it back: later plans start from the files.
+
+    The shuffle files behind it are of no more use then. Spark drops them when the driver's JVM
+    finds their owners unreachable, so it is asked to look; else disks fill up until it happens to.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialised table that no later plan reads."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/cuegrid/" in path:
+            drop_path(df.sparkSession, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
