@@ -5,10 +5,10 @@ similarity of their token sets is at least 0.75; a line is removed when any earl
 (doc_id, line number), matches it, in the same document or another. Lines of fewer than MIN_WORDS
 words are too short to be judged and always stay.
 
-1. Tokens get one global order, rarest first: a table of hashed document frequencies (BUCKETS one-byte
-   entries, counted over all documents, so of a size fixed beforehand) ranks a token by its first word.
-   Any such order gives the same matches; rarity keeps the posting lists short.
-2. Equal token sets collapse to their first line by an aggregation that combines before it shuffles.
+1. Tokens get one global order, rarest first: a table of hashed word counts (BUCKETS entries, counted
+   over all documents, so of a size fixed beforehand) ranks a token by its first word. Any such order
+   gives the same matches; rarity keeps the posting lists short.
+2. Lines of equal text collapse to the first by an aggregation that combines before it shuffles.
 3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. Each
    posting list is walked once in order, pairing each line with its predecessor and with the list's
    first line only; the confirmed ones are removed.
@@ -31,13 +31,15 @@ from cuegrid.scratch import materialise
 SHINGLE_WORDS = 5
 MIN_WORDS = 5
 MIN_PERCENT = 75
-#: Entries of the hashed frequency table, one byte each.
+#: Entries of the hashed frequency table.
 BUCKETS = 1 << 16
-_ROW = 256
-_BODY = (1 << 56) - 1
+#: Up to so many documents' line numbers are broadcast to fetch their lines; more are joined by a shuffle.
+BROADCAST_DOCS = 200_000
 
 _BLANKS = r"[\x09-\x0D\x20]+"
 _TRIM = "\t\n\x0b\x0c\r "
+_TWIN_BITS = 16
+_ALL = 1 << 30
 
 
 def _words(text: Column) -> Column:
@@ -50,47 +52,56 @@ def _words(text: Column) -> Column:
     return F.when(odd, F.split(trimmed, _BLANKS)).otherwise(F.split(trimmed, " "))
 
 
-def frequency_table(docs: DataFrame, text: str = "text") -> bytes:
-    """Byte b: a logarithmic class (1 to 127) of how many documents hold a word hashed to bucket b."""
-    words = docs.select(F.explode(F.array_distinct(_words(F.replace(F.col(text), F.lit("\n"), F.lit(" "))))).alias("w"))
-    counts = words.select((F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    level = F.least(F.lit(126), F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 3)).cast("int") + 1
-    rows = every.select(F.expr(f"bucket div {_ROW}").alias("row"), F.struct("bucket", F.char(level).alias("c")).alias("e"))
-    rows = rows.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["c"]), "").alias("bytes"))
-    return "".join(r["bytes"] for r in rows.orderBy("row").collect()).encode()
+def frequency_table(docs: DataFrame) -> list[int]:
+    """Entry b: a logarithmic class (0 to 126) of how often words hashed to bucket b occur."""
+    words = docs.select(F.explode(F.split("text", " ")).alias("w"))
+    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    table = [0] * BUCKETS
+    for row in counts.select("bucket", F.least(F.lit(126), F.floor(F.log2("n") * 3)).alias("level")).collect():
+        table[row["bucket"]] = row["level"]
+    return table
 
 
-def _ranked(word: Column, table: Column) -> Column:
-    """The word's rarity class in the high byte, its hash below."""
-    own = F.xxhash64(word)
-    level = F.ascii(F.substring(table, own.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.shiftleft(level.cast("long"), 56).bitwiseOR(own.bitwiseAND(F.lit(_BODY)))
+def _lookup(table: list[int]) -> Column:
+    """The table as one constant array."""
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
-def _shingles(ranked: Column) -> Column:
-    """Sorted distinct tokens as longs: the first word's rarity class, then the shingle's hash."""
+def _tokens(line: Column, table: list[int], lines: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``tokens``: the line's sorted distinct tokens as longs, the rarity class of the first
+    word in the high byte and the shingle's hash below; none if the line is too short."""
+    body, level = F.lit((1 << 56) - 1), F.lit(127 << 56)
+    ranks = _lookup(table)
 
-    def shingle(i):
-        own = F.xxhash64(*[F.get(ranked, i + k) for k in range(SHINGLE_WORDS)])
-        return F.get(ranked, i).bitwiseAND(F.lit(127 << 56)).bitwiseOR(own.bitwiseAND(F.lit(_BODY)))
+    def ranked(w):
+        rank = F.get(ranks, F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.shiftleft(rank, 56).bitwiseOR(F.xxhash64(w).bitwiseAND(body))
 
-    every = F.transform(F.sequence(F.lit(0), F.size(ranked) - SHINGLE_WORDS), shingle)
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(ranked) >= MIN_WORDS, F.sort_array(F.array_distinct(every))).otherwise(none)
+    def joined(one, other, step):
+        return F.zip_with(one, F.slice(other, step + 1, _ALL), lambda x, y: F.xxhash64(x, y))
 
+    rows = lines.select(*keep, F.transform(_words(line), ranked).alias("__w"))
+    rows = rows.select(*keep, "__w", joined("__w", "__w", 1).alias("__two"))
+    rows = rows.select(*keep, "__w", joined("__two", "__two", 2).alias("__four"))
+    head = F.slice("__w", 1, F.greatest(F.lit(0), F.size("__w") - (SHINGLE_WORDS - 1)))
+    tail = F.slice("__four", 2, F.greatest(F.lit(0), F.size("__w") - (SHINGLE_WORDS - 1)))
+    shingles = F.zip_with(head, tail, lambda x, t: x.bitwiseAND(level).bitwiseOR(F.xxhash64(x, t).bitwiseAND(body)))
+    return rows.select(*keep, F.sort_array(F.array_distinct(shingles)).alias("tokens"))
 
-def token_lines(docs: DataFrame, table: bytes) -> DataFrame:
-    """(doc_key, seq, tokens) of every line, no tokens if it is too short. ``seq`` orders the lines of a
-    document; its low bits tell apart texts under a repeated id."""
-    lines = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_key"),
-        F.xxhash64("text").bitwiseAND(F.lit((1 << 20) - 1)).alias("twin"),
-        F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
-    )
-    seq = (F.shiftleft(F.col("line_no").cast("long"), 20) + F.col("twin")).alias("seq")
-    ranked = F.transform(_words(F.col("line")), lambda w: _ranked(w, F.lit(table)))
-    return lines.select("doc_key", seq, ranked.alias("ranked")).select("doc_key", "seq", _shingles(F.col("ranked")).alias("tokens"))
+
+def _places(docs: DataFrame) -> DataFrame:
+    """(doc_key, seq, line). ``seq`` orders the lines of a document; its low bits tell apart texts
+    under a repeated id."""
+    rows = docs.select(_key().alias("doc_key"), _twin().alias("twin"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("doc_key", (F.shiftleft(F.col("line_no").cast("long"), _TWIN_BITS) + F.col("twin")).alias("seq"), "line")
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+
+
+def _twin() -> Column:
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << _TWIN_BITS) - 1))
 
 
 def _needed(m: str, n: str) -> Column:
@@ -107,30 +118,32 @@ def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.filter(both * 100 >= MIN_PERCENT * (F.size("tx") + F.size("ty") - both)).select("x").distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_key, seq) of every line of ``docs`` (doc_id, text) that an earlier line matches."""
-    docs = docs.select("doc_id", "text")
+def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mark, id): the first line of every distinct long enough text; (id): those of them that an
+    earlier line matches. Both materialised."""
     table = frequency_table(docs)
     size = F.size("tokens")
     prefix = F.slice("tokens", 1, size - F.ceil(size * MIN_PERCENT / 100).cast("int") + 1)
-    lines = token_lines(docs, table).select("doc_key", "seq", F.xxhash64("tokens").alias("mark"), size.alias("m"), prefix.alias("prefix"))
-    lines = materialise(lines, "line-tokens").filter("m > 0")
-
-    place = F.struct("doc_key", "seq")
-    first = lines.groupBy("mark").agg(F.min(place).alias("id"))
-    first = materialise(first, "line-first")
-    own = lines.select(place.alias("id"), "m", "prefix").join(first.select("id"), "id")
-    entries = own.select("id", "m", F.posexplode("prefix").alias("at", "token"))
+    lines = _places(docs).select(F.struct("doc_key", "seq").alias("id"), F.xxhash64("line").alias("mark"), "line")
+    lines = _tokens(F.col("line"), table, lines, ["id", "mark"]).select("id", "mark", size.alias("m"), prefix.alias("prefix"))
+    first = lines.groupBy("mark").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("prefix").alias("prefix"))
+    first = materialise(first, "line-first").filter("m > 0")
+
+    entries = first.select("id", "m", F.posexplode("prefix").alias("at", "token"))
     walk = Window.partitionBy("token").orderBy("id")
     entries = entries.select("*", F.lag("id").over(walk).alias("before"), F.lead("id").over(walk).alias("after"), F.first("id").over(walk.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
     entries = materialise(entries.filter("before is not null or after is not null").drop("after"), "line-postings")
 
+    involved = entries.select("id").distinct().groupBy(F.col("id.doc_key").alias("__key"), F.expr(f"id.seq & {(1 << _TWIN_BITS) - 1}").alias("__twin"))
+    involved = materialise(involved.agg(F.collect_list(F.expr(f"int(id.seq >> {_TWIN_BITS})")).alias("__lines")), "line-involved")
+    asked = F.broadcast(involved) if involved.count() <= BROADCAST_DOCS else involved
+    texts = docs.join(asked, (_key() == F.col("__key")) & (_twin() == F.col("__twin")))
+    texts = texts.select("__key", "__twin", F.split("text", "\n").alias("__all"), F.explode(F.array_distinct("__lines")).alias("line_no"))
+    texts = texts.select(F.struct(F.col("__key").alias("doc_key"), (F.shiftleft(F.col("line_no").cast("long"), _TWIN_BITS) + F.col("__twin")).alias("seq")).alias("id"), F.get("__all", "line_no").alias("line"))
+    sets = materialise(_tokens(F.col("line"), table, texts, ["id"]), "line-sets")
+
     candidates = entries.filter("before is not null").select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array("before", "head"))).alias("y")).distinct()
-    involved = entries.select("id").distinct().select("id", "id.doc_key", "id.seq")
-    sets = token_lines(docs.join(involved.select(F.col("doc_key").alias("__k")).distinct(), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) == F.col("__k"), "left_semi"), table)
-    sets = materialise(sets.join(involved, ["doc_key", "seq"]).select("id", "tokens"), "line-sets")
     gone = materialise(_matching(candidates, sets), "line-gone")
-
     # Every earlier candidate of the lines that neither neighbour nor head explains.
     left = entries.filter("before is not null").drop("before", "head").join(gone.select(F.col("x").alias("id")), "id", "left_anti")
     right = entries.select(F.col("token").alias("token_y"), F.col("id").alias("y"), F.col("m").alias("m_y"), F.col("at").alias("at_y"))
@@ -141,20 +154,26 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         & (F.least(F.col("m") - F.col("at"), F.col("m_y") - F.col("at_y")) >= _needed("m", "m_y"))
     )
     rest = left.join(right, fits).select(F.col("id").alias("x"), "y").distinct()
-    also = _matching(rest, sets)
-    gone = materialise(gone.union(also).select(F.col("x").alias("id")), "line-matched")
+    gone = materialise(gone.union(_matching(rest, sets)).select(F.col("x").alias("id")), "line-matched")
+    return first.select("mark", "id"), gone
 
-    firsts = first.join(gone.withColumn("matched", F.lit(True)), "id", "left")
-    return lines.select("doc_key", "seq", "mark").join(firsts, "mark").filter("matched or id.doc_key <> doc_key or id.seq <> seq").select("doc_key", "seq")
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_key, seq) of every line of ``docs`` (doc_id, text) that an earlier line matches."""
+    docs = docs.select("doc_id", "text")
+    first, gone = _repeated(docs)
+    first = first.join(gone.withColumn("matched", F.lit(True)), "id", "left")
+    lines = _places(docs).select("doc_key", "seq", F.xxhash64("line").alias("mark"))
+    return lines.join(first, "mark").filter("matched or id.doc_key <> doc_key or id.seq <> seq").select("doc_key", "seq")
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the removed lines cut out of ``text`` (and ``n_chars`` set anew if
     there is one), plus ``__lines`` and ``__removed``, the counts of lines and of removed ones."""
-    gone = removed_lines(docs).select("doc_key", F.expr("seq & 1048575").alias("twin"), F.expr("int(seq >> 20)").alias("line_no"))
-    gone = gone.groupBy(F.col("doc_key").alias("__key"), F.col("twin").alias("__twin")).agg(F.collect_set("line_no").alias("__gone"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    joined = docs.join(gone, (key == F.col("__key")) & (F.xxhash64("text").bitwiseAND(F.lit((1 << 20) - 1)) == F.col("__twin")), "left")
+    place = [F.col("doc_key").alias("__key"), F.expr(f"seq & {(1 << _TWIN_BITS) - 1}").alias("__twin")]
+    gone = removed_lines(docs).groupBy(*place).agg(F.collect_set(F.expr(f"int(seq >> {_TWIN_BITS})")).alias("__gone"))
+    gone = materialise(gone, "line-removed")
+    joined = docs.join(gone, (_key() == F.col("__key")) & (_twin() == F.col("__twin")), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     columns = []
@@ -165,7 +184,9 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
             columns.append(F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             columns.append(F.col(f"`{name}`"))
-    return joined.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("__lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__removed"))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
+    return joined.select(*columns, lines.alias("__lines"), removed.alias("__removed"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
