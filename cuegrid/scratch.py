@@ -55,10 +55,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later plan reads."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/cuegrid/" in path:
-            drop_path(df.sparkSession, path)
+    """Delete the files of a table made by ``materialise`` that no later plan reads; nothing else."""
+    ours = {path.rpartition("/")[2]: path for _, path in _made}
+    for name in {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}:
+        if name in ours:
+            drop_path(df.sparkSession, ours[name])
 
 
 @atexit.register
