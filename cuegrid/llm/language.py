@@ -228,7 +228,9 @@ def fit(docs: DataFrame) -> Model:
 
 def _calibrated(model: Model, learn: DataFrame) -> Model:
     """The temperature that makes the learning sample's labels likeliest."""
-    sample = learn.select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(CALIBRATION_ROWS).select("text", "lang")
+    # Ids alone are ordered and cut; the bounded rest goes to the texts.
+    drawn = learn.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(CALIBRATION_ROWS).select("doc_id").distinct()
+    sample = learn.join(F.broadcast(drawn), "doc_id").select("text", "lang")
     shared = learn.sparkSession.sparkContext.broadcast(model)
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
