@@ -10,6 +10,10 @@ from cuegrid.functions.text import or_else, strip
 from cuegrid.settings import Settings
 
 
+#: Protected terms that are broadcast, at most.
+BROADCAST_TERMS = 10_000
+
+
 def duration(start: str = "start", end: str = "end") -> Column:
     return F.greatest(F.lit(0.0), F.col(end) - F.col(start))
 
@@ -75,9 +79,10 @@ def system_prompt(source: Column, target: Column, synopsis: str = "", terms: lis
 
 
 def glossary_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """video_id, term, hits: how many texts hold each protected term. The term list is small by
-    nature; it is broadcast."""
-    rows = texts.join(F.broadcast(terms), F.contains(F.col("text"), F.col("term")))
+    """video_id, term, hits: how many texts hold each protected term. Up to BROADCAST_TERMS terms are
+    broadcast; a longer list is left to the planner."""
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    rows = texts.join(F.broadcast(terms) if small else terms, F.contains(F.col("text"), F.col("term")))
     return rows.groupBy("video_id", "term").agg(F.count("*").alias("hits"))
 
 

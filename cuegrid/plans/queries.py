@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.functions.languages import DEFAULT_TARGETS, DISPLAY_NAMES, VOICES
 from cuegrid.functions.text import atempo_chain, clean_reply, srt_timestamp, video_id
-from cuegrid.operators import jobs, segmentation, speakers, subtitles, timeline, translation, voices
+from cuegrid.operators import jobs, planning, segmentation, speakers, subtitles, timeline, translation, voices
 from cuegrid.plans.dub import dub_plan
 from cuegrid.settings import Settings
 from cuegrid.sources import adapters
@@ -184,6 +184,21 @@ def q_dub_plan(spark, d):
     return plan.groupBy("video_id", "target_lang").agg(F.count("*").alias("segments"), F.count_if("stretched").alias("stretched"), F.max("factor").alias("max_factor"), F.sum("budget").alias("budget"))
 
 
+def q_translation_batches(spark, d):
+    return planning.translation_batches(_segments(spark, d), 3, 1)
+
+
+def q_overshoots(spark, d):
+    return planning.overshoots(_segments(spark, d), translation.char_budget())
+
+
+def q_with_package(spark, d):
+    """Pairs of the language fan-out; only those out of English have a package."""
+    rows = jobs.fan_out(_segments(spark, d).select("video_id", "index", F.when(F.col("index") % 2 == 0, "en").otherwise("pl").alias("source_lang")), ["de", "fr"])
+    packages = spark.createDataFrame([("en", "de", "en-de-1"), ("en", "fr", "en-fr-1")], "from_code string, to_code string, package string")
+    return planning.with_package(rows, packages, strict=False).select("video_id", "index", "source_lang", "target_lang", "package")
+
+
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 # ---- the same in SQL ----------------------------------------------------------------------------
@@ -324,5 +339,11 @@ SELECT video_id, md5(srt) AS srt_md5, length(srt)::INT AS chars FROM s""",
     "speaker_count": f"WITH {_SEGMENTS}, v AS (SELECT video_id, CASE WHEN index % 5 = 4 THEN NULL ELSE speaker END AS s FROM segments) SELECT video_id, count(DISTINCT s) + max((s IS NULL)::BIGINT) AS speakers, count(*) AS segments FROM v GROUP BY video_id",
     "glossary_hits": "SELECT doc_id % 10 AS video_id, term, count(*) AS hits FROM documents JOIN (VALUES " + ", ".join(f"('{t}')" for t in TERMS) + ") t(term) ON contains(text, term) GROUP BY ALL",
     "job_latest": "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events GROUP BY user_id",
+    "translation_batches": f"""WITH {_SEGMENTS}, n AS (SELECT video_id, index, row_number() OVER (PARTITION BY video_id ORDER BY index) - 1 AS n, max(index) OVER (PARTITION BY video_id) AS last FROM segments)
+SELECT video_id, (n // 3)::INT AS batch, index, false AS is_context FROM n UNION ALL SELECT video_id, (n // 3 + 1)::INT, index, true FROM n WHERE n % 3 = 2 AND index < last""",
+    "overshoots": f"""WITH {_SEGMENTS}, b AS (SELECT video_id, index, length(coalesce(nullif(translated, ''), text))::INT AS chars, greatest(20, trunc(greatest(0, "end" - start) * 15.0::DOUBLE * 1.4::DOUBLE)::INT) AS budget FROM segments)
+SELECT * FROM b WHERE chars > budget""",
+    "with_package": f"""WITH {_SEGMENTS} SELECT video_id, index, CASE WHEN index % 2 = 0 THEN 'en' ELSE 'pl' END AS source_lang, target_lang, CASE WHEN index % 2 = 0 THEN 'en-' || target_lang || '-1' END AS package
+FROM segments, (VALUES ('de'), ('fr')) t(target_lang)""",
     "stage_key": f"WITH {_SEGMENTS} SELECT video_id, index, sha256(text || chr(1) || speaker || chr(1) || index) AS key FROM segments",
 }
