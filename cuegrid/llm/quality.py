@@ -140,39 +140,58 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROW
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """The calibrated classifier; None when the labels are of one kind or missing."""
-    found = sorted(labelled_features(docs, labels, rows).collect(), key=lambda r: (r["doc_id"], r["quality"], r["slots"]))
-    target = np.array([r["quality"] for r in found], float)
+    found = labelled_features(docs, labels, rows).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("slots", "ascending")])
+    target = np.array(found.column("quality").to_pylist(), float)
     if len(set(target.tolist())) < 2:
         return None
-    slots = [np.frombuffer(r["slots"], np.uint16).astype(np.int64) for r in found]
-    values = [np.frombuffer(r["values"], np.float32).astype(float) for r in found]
+    # One flat copy in narrow types: the sample's features are the driver's largest piece of memory.
+    ends = np.cumsum([len(x) // 2 for x in found.column("slots").to_pylist()])
+    flat = np.frombuffer(b"".join(found.column("slots").to_pylist()), np.uint16)
+    value = np.frombuffer(b"".join(found.column("values").to_pylist()), np.float32)
     del found
+    parts = _parts(flat, value, ends)
     held = np.arange(len(target)) % 3 == 2
     if any(len(set(target[part].tolist())) < 2 for part in (held, ~held)):
         held = np.zeros(len(target), bool)
-    learn = np.flatnonzero(~held)
-    flat, value = np.concatenate([slots[i] for i in learn]), np.concatenate([values[i] for i in learn])
-    owner = np.repeat(np.arange(len(learn)), [len(slots[i]) for i in learn])
-    weights, bias = _descend(flat, value, owner, target[learn])
-    margins = np.array([bias + float(weights[s] @ v) for s, v in zip(slots, values, strict=True)])
+    weights, bias = _descend(parts, target, ~held)
+    margins = bias + _margins(parts, weights)
     slope, offset = _calibrate(margins[held] if held.any() else margins, target[held] if held.any() else target)
-    return Model(weights.astype(np.float32), bias, slope, offset)
+    return Model(weights, bias, slope, offset)
 
 
-def _descend(flat, value, owner, target, steps: int = 120, rate: float = 0.05, ridge: float = 1e-4):
-    """Full-batch Adam on the class-balanced logistic loss."""
-    n = len(target)
-    balance = np.where(target == 1, n / (2 * target.sum()), n / (2 * (n - target.sum())))
-    weights, bias = np.zeros(DIMENSION), 0.0
+#: Rows whose features are expanded at a time.
+_PART_ROWS = 256
+
+
+def _parts(flat: np.ndarray, value: np.ndarray, ends: np.ndarray) -> list[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, slots, values, row lengths) of consecutive rows; views, not copies."""
+    starts, out = np.concatenate([[0], ends[:-1]]), []
+    for a in range(0, len(ends), _PART_ROWS):
+        b = min(len(ends), a + _PART_ROWS)
+        span = slice(starts[a], ends[b - 1])
+        out.append((slice(a, b), flat[span], value[span], ends[a:b] - starts[a:b]))
+    return out
+
+
+def _margins(parts, weights: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.add.reduceat(weights[slots] * values, np.cumsum(lengths) - lengths) for _, slots, values, lengths in parts]).astype(float)
+
+
+def _descend(parts, target: np.ndarray, learn: np.ndarray, steps: int = 120, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the class-balanced logistic loss of the rows in ``learn``."""
+    n, good = learn.sum(), target[learn].sum()
+    balance = np.where(learn, np.where(target == 1, n / (2 * good), n / (2 * (n - good))), 0.0)
+    weights, bias = np.zeros(DIMENSION, np.float32), 0.0
     first, second, bias_first, bias_second = np.zeros(DIMENSION), np.zeros(DIMENSION), 0.0, 0.0
     for step in range(1, steps + 1):
-        margin = bias + np.bincount(owner, weights[flat] * value, n)
-        error = balance * (_sigmoid(margin) - target) / n
-        slope = np.bincount(flat, error[owner] * value, DIMENSION) + ridge * weights
+        error = balance * (_sigmoid(bias + _margins(parts, weights)) - target) / n
+        slope = ridge * weights.astype(float)
+        for rows, slots, values, lengths in parts:
+            slope += np.bincount(slots, np.repeat(error[rows], lengths) * values, DIMENSION)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         bias_first, bias_second = 0.9 * bias_first + 0.1 * error.sum(), 0.999 * bias_second + 0.001 * error.sum() ** 2
         a, b = 1 - 0.9**step, 1 - 0.999**step
-        weights -= rate * (first / a) / (np.sqrt(second / b) + 1e-8)
+        weights -= (rate * (first / a) / (np.sqrt(second / b) + 1e-8)).astype(np.float32)
         bias -= rate * (bias_first / a) / (np.sqrt(bias_second / b) + 1e-8)
     return weights, float(bias)
 
