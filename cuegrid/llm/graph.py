@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.scratch import materialise
+from cuegrid.scratch import materialise, release
 
 #: Label propagation with pointer jumping needs about the logarithm of the longest path.
 MAX_ROUNDS = 60
@@ -27,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "other").alias("component"))
         target = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         jumped = step.join(target, "component", "left")
-        labels = materialise(jumped.select("node", "was", F.least("component", "further").alias("component")), "graph-labels")
+        older, labels = labels, materialise(jumped.select("node", "was", F.least("component", "further").alias("component")), "graph-labels")
+        release(older)
         if labels.filter("was <> component").isEmpty():
+            release(both)
             return labels.select("node", "component")
         labels = labels.select("node", "component")
     raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")

@@ -13,7 +13,7 @@ and an exact pass inside the one histogram bin where the budget ends.
 
 Defined results: null text has size 0; the null source is one source, ordered last; documents of
 size 0 are never taken; an empty table gives an empty result; repeated rows are separate queue
-entries; other columns are carried through untouched when ``carry`` names them.
+entries; ``mix_documents`` carries all columns.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.llm.text import WORD
-from cuegrid.scratch import materialise
+from cuegrid.scratch import materialise, release
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -75,20 +75,19 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def fair_queue(docs: DataFrame, carry: Column | None = None, count_of: Column | None = None) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text, source) -> doc_id, size, source_size, target, copies, taken
-    (and ``carried``, if ``carry`` is given). Deterministic for equal input rows."""
-    size = token_count(F.col("text")) if count_of is None else count_of
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
-    # A null-safe key of two plain columns: null sorts last and joins like any other source.
-    entries = docs.select(
-        "doc_id",
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("k"),
-        F.col("source").isNull().alias("k_null"),
-        size.alias("size"),
-        digest.alias("ticket"),
-        *([carry.alias("carried")] if carry is not None else []),
-    )
+def _ticket() -> Column:
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _source() -> list[Column]:
+    """A null-safe key of two plain columns: null sorts last and joins like any other source."""
+    return [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("k"), F.col("source").isNull().alias("k_null")]
+
+
+def fair_queue(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, source) -> doc_id, size, source_size, target, copies, taken and the
+    keys ticket, k, k_null. Deterministic for equal input rows."""
+    entries = docs.select("doc_id", *_source(), token_count(F.col("text")).alias("size"), _ticket().alias("ticket"))
     entries = materialise(entries.withColumn("slice", F.substring("ticket", 1, SLICE_DIGITS)), "mix-entries")
 
     slices = entries.groupBy("k", "k_null", "slice").agg(F.sum("size").alias("slice_size"))
@@ -102,6 +101,8 @@ def fair_queue(docs: DataFrame, carry: Column | None = None, count_of: Column |
     queued = entries.withColumn("inside", F.sum("size").over(inside)).join(offsets, ["k", "k_null", "slice"])
     queued = queued.withColumn("served", F.col("slice_from") + F.col("inside")).drop("inside", "slice_from", "slice_size", "slice")
     queued = materialise(queued, "mix-queue")
+    release(entries)
+    release(slices)
 
     passes = (
         queued.filter("size > 0")
@@ -126,7 +127,9 @@ def fair_queue(docs: DataFrame, carry: Column | None = None, count_of: Column |
         F.col("target").cast("double").alias("target"),
         copies.alias("copies"),
         (F.col("size") * copies).cast("long").alias("taken"),
-        *(["carried"] if carry is not None else []),
+        "ticket",
+        "k",
+        "k_null",
     )
 
 
@@ -147,10 +150,23 @@ def _cut(passes: DataFrame):
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every column of ``docs``, a row once for each time it is served."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    mixed = fair_queue(docs, carry=row).filter("copies > 0")
-    return mixed.select("carried", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("carried.*")
+    """The mix itself: every column of ``docs``, a row once for each time it is served.
+
+    The queue travels without the texts; what each document is served comes back to it by its ticket.
+    Rows that repeat id, text and source share their copies as evenly as they go.
+    """
+    key = ["ticket", "k", "k_null"]
+    served = fair_queue(docs).groupBy(*key).agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).filter("all > 0")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = docs.select(row, _ticket().alias("ticket"), *_source()).join(served, key)
+    if not served.filter("rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row")))
+        found = found.withColumn("nth", F.when(F.col("rows") > 1, nth).otherwise(1))
+    else:
+        found = found.withColumn("nth", F.lit(1))
+    copies = F.expr("int(all div rows)") + F.when(F.col("nth") <= F.expr("all % rows"), 1).otherwise(0)
+    served_rows = found.select("row", copies.alias("copies")).filter("copies > 0")
+    return served_rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:

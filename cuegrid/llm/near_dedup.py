@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.llm.graph import components
 from cuegrid.llm.text import as_bytes, mix64, shingle_set
-from cuegrid.scratch import materialise
+from cuegrid.scratch import materialise, release
 
 #: Words in a shingle, and the linking threshold in percent of the union.
 SHINGLE_WORDS = 5
@@ -134,9 +134,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = texts.mapInArrow(_sign, "doc_id long, n_shingles long, mark binary, bands array<long>")
     signed = materialise(signed, "near-signatures")
+    scratch = [signed]
     # Bands depend on the set alone, so any row of a group of equal sets has the right ones.
     groups = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("mark")
     groups = materialise(groups.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-groups")
+    scratch.append(groups)
 
     entries = groups.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last")
@@ -152,17 +154,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nearest = nearest.join(first.select(F.col("b").alias("rep"), "distance"), "rep", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
     nearest = materialise(nearest, "near-placed")
     reached = components(links)
-    members = _open_members(members, reached)
+    members_all, members = members, _open_members(members, reached)
     if members is not None:
         links = links.union(_within_pivots(members, nearest, sets))
         links = links.union(measured(_between_pivots(members, nearest), sets).filter("linked").select("a", "b"))
         reached = components(links)
 
+    scratch += [members_all, sets, first, nearest, reached]
     component = groups.select("mark", "rep").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = component.select("mark", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("mark")).alias("mark"))
     out = out.join(component, "mark", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = materialise(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-result")
+    for used in scratch:
+        release(used)
+    return out
 
 
 def _open_members(members: DataFrame, reached: DataFrame) -> DataFrame | None:
@@ -239,7 +245,9 @@ def _within_pivots(members: DataFrame, nearest: DataFrame, sets: DataFrame) -> D
     packed = materialise(packed, "near-blocks")
     left = packed.filter("block < minors").select("pivot", F.col("members").alias("one"), F.explode(F.sequence("block", F.col("minors") + F.col("majors") - 1)).alias("block"))
     met = left.join(packed.select("pivot", "block", F.col("members").alias("other")), ["pivot", "block"])
-    return materialise(met.select("one", "other").mapInArrow(_compare, "a long, b long").distinct(), "near-within")
+    found = materialise(met.select("one", "other").mapInArrow(_compare, "a long, b long").distinct(), "near-within")
+    release(packed)
+    return found
 
 
 def _between_pivots(members: DataFrame, nearest: DataFrame) -> DataFrame:
