@@ -10,10 +10,10 @@ words are too short to be judged and always stay.
    gives the same matches; rarity keeps the posting lists short.
 2. Lines of equal text collapse to the first by an aggregation that combines before it shuffles.
 3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. Each
-   posting list is walked once in order, pairing each line with its predecessor and with the list's
-   first line only; the confirmed ones are removed.
+   posting list is walked once in order, and each line is held against the one line that most often
+   precedes it; the confirmed ones are removed.
 4. For the other lines every earlier line in their lists is a candidate if the length and positional
-   filters allow a match; these are confirmed on the whole sets. So no match is missed, while groups of
+   filters allow a match; a 128-bit mark of each set sifts these, the rest is confirmed on the whole sets. So no match is missed, while groups of
    thousands of near copies are settled by step 3 and do not multiply.
 
 Defined results: null text has no lines and stays null; null doc_ids come last in the order; rows that
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrid.scratch import materialise
+from cuegrid.scratch import materialise, release
 
 SHINGLE_WORDS = 5
 MIN_WORDS = 5
@@ -42,14 +42,14 @@ _TWIN_BITS = 16
 _ALL = 1 << 30
 
 
-def _words(text: Column) -> Column:
-    """Words of a text; one empty word if it is blank. Texts whose only blanks are single spaces (and
-    the given line ends) take the plain split."""
-    trimmed = F.btrim(text, F.lit(_TRIM))
-    odd = F.contains(trimmed, F.lit("  "))
-    for blank in "\t\x0b\x0c\r\n":
-        odd = odd | F.contains(trimmed, F.lit(blank))
-    return F.when(odd, F.split(trimmed, _BLANKS)).otherwise(F.split(trimmed, " "))
+def _words(line: Column) -> Column:
+    """Words of a line; one empty word if it is blank. Lines with nothing but single spaces between
+    words take the plain split."""
+    plain = F.split(line, " ")
+    odd = F.array_contains(plain, "")
+    for blank in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.split(F.btrim(line, F.lit(_TRIM)), _BLANKS)).otherwise(plain)
 
 
 def frequency_table(docs: DataFrame) -> list[int]:
@@ -109,6 +109,23 @@ def _needed(m: str, n: str) -> Column:
     return F.ceil((F.col(m) + F.col(n)) * MIN_PERCENT / (100 + MIN_PERCENT) - 1e-9)
 
 
+def _bits(part: int) -> Column:
+    """64 bits in which every token sets one, of the half of the tokens that ``part`` (0 or 1) takes."""
+    mine = lambda t: t.bitwiseAND(F.lit(64)) == 64 * part
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: F.when(mine(t), acc.bitwiseOR(bit(t))).otherwise(acc))
+
+
+def _sifted(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The ``pairs`` (x, y) that ``marks`` (id, m, low, high) do not rule out: a token that only one set
+    has changes at most one bit, so more differing bits than a match allows exclude it."""
+    one = marks.select(F.col("id").alias("x"), *[F.col(c).alias(f"{c}_x") for c in ("m", "low", "high")])
+    other = marks.select(F.col("id").alias("y"), *[F.col(c).alias(f"{c}_y") for c in ("m", "low", "high")])
+    differ = F.bit_count(F.col("low_x").bitwiseXOR(F.col("low_y"))) + F.bit_count(F.col("high_x").bitwiseXOR(F.col("high_y")))
+    allowed = F.col("m_x") + F.col("m_y") - 2 * _needed("m_x", "m_y")
+    return pairs.join(one, "x").join(other, "y").filter(differ <= allowed).select("x", "y")
+
+
 def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of ``pairs`` (x, y; y earlier) those x that match, on whole sets: distinct ``x``."""
     one = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
@@ -131,21 +148,25 @@ def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     entries = first.select("id", "m", F.posexplode("prefix").alias("at", "token"))
     walk = Window.partitionBy("token").orderBy("id")
-    entries = entries.select("*", F.lag("id").over(walk).alias("before"), F.lead("id").over(walk).alias("after"), F.first("id").over(walk.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
+    entries = entries.select("*", F.lag("id").over(walk).alias("before"), F.lead("id").over(walk).alias("after"))
     entries = materialise(entries.filter("before is not null or after is not null").drop("after"), "line-postings")
+    whole, first = first, materialise(first.select("mark", "id"), "line-marks")
+    release(whole)
 
     involved = entries.select("id").distinct().groupBy(F.col("id.doc_key").alias("__key"), F.expr(f"id.seq & {(1 << _TWIN_BITS) - 1}").alias("__twin"))
     involved = materialise(involved.agg(F.collect_list(F.expr(f"int(id.seq >> {_TWIN_BITS})")).alias("__lines")), "line-involved")
     asked = F.broadcast(involved) if involved.count() <= BROADCAST_DOCS else involved
     texts = docs.join(asked, (_key() == F.col("__key")) & (_twin() == F.col("__twin")))
-    texts = texts.select("__key", "__twin", F.split("text", "\n").alias("__all"), F.explode(F.array_distinct("__lines")).alias("line_no"))
-    texts = texts.select(F.struct(F.col("__key").alias("doc_key"), (F.shiftleft(F.col("line_no").cast("long"), _TWIN_BITS) + F.col("__twin")).alias("seq")).alias("id"), F.get("__all", "line_no").alias("line"))
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
+    texts = texts.select("__key", "__twin", F.explode(F.filter(numbered, lambda x: F.array_contains("__lines", x["line_no"]))).alias("x"))
+    seq = F.shiftleft(F.col("x.line_no").cast("long"), _TWIN_BITS) + F.col("__twin")
+    texts = texts.select(F.struct(F.col("__key").alias("doc_key"), seq.alias("seq")).alias("id"), F.col("x.line").alias("line"))
     sets = materialise(_tokens(F.col("line"), table, texts, ["id"]), "line-sets")
 
-    candidates = entries.filter("before is not null").select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array("before", "head"))).alias("y")).distinct()
-    gone = materialise(_matching(candidates, sets), "line-gone")
-    # Every earlier candidate of the lines that neither neighbour nor head explains.
-    left = entries.filter("before is not null").drop("before", "head").join(gone.select(F.col("x").alias("id")), "id", "left_anti")
+    likely = entries.filter("before is not null").groupBy("id").agg(F.mode("before", True).alias("y")).select(F.col("id").alias("x"), "y")
+    gone = materialise(_matching(likely, sets), "line-gone")
+    # Every earlier candidate of the lines that their likeliest neighbour does not explain.
+    left = entries.filter("before is not null").drop("before").join(gone.select(F.col("x").alias("id")), "id", "left_anti")
     right = entries.select(F.col("token").alias("token_y"), F.col("id").alias("y"), F.col("m").alias("m_y"), F.col("at").alias("at_y"))
     fits = (
         (F.col("token") == F.col("token_y"))
@@ -154,25 +175,37 @@ def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         & (F.least(F.col("m") - F.col("at"), F.col("m_y") - F.col("at_y")) >= _needed("m", "m_y"))
     )
     rest = left.join(right, fits).select(F.col("id").alias("x"), "y").distinct()
-    gone = materialise(gone.union(_matching(rest, sets)).select(F.col("x").alias("id")), "line-matched")
-    return first.select("mark", "id"), gone
+    marks = materialise(sets.select("id", F.size("tokens").alias("m"), _bits(0).alias("low"), _bits(1).alias("high")), "line-bits")
+    rest = materialise(rest, "line-rest")
+    likely = materialise(_sifted(rest, marks), "line-sifted")
+    release(entries)
+    release(rest)
+    matched = materialise(gone.union(_matching(likely, sets)).select(F.col("x").alias("id")), "line-matched")
+    for used in (involved, sets, gone, marks, likely):
+        release(used)
+    return first, matched
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_key, seq) of every line of ``docs`` (doc_id, text) that an earlier line matches."""
+    """(__key, __twin, __gone): the numbers of the lines of each document of ``docs`` (doc_id, text)
+    that an earlier line matches, materialised."""
     docs = docs.select("doc_id", "text")
     first, gone = _repeated(docs)
-    first = first.join(gone.withColumn("matched", F.lit(True)), "id", "left")
+    flagged = first.join(gone.withColumn("matched", F.lit(True)), "id", "left")
     lines = _places(docs).select("doc_key", "seq", F.xxhash64("line").alias("mark"))
-    return lines.join(first, "mark").filter("matched or id.doc_key <> doc_key or id.seq <> seq").select("doc_key", "seq")
+    lines = lines.join(flagged, "mark").filter("matched or id.doc_key <> doc_key or id.seq <> seq")
+    place = [F.col("doc_key").alias("__key"), F.expr(f"seq & {(1 << _TWIN_BITS) - 1}").alias("__twin")]
+    found = lines.groupBy(*place).agg(F.collect_set(F.expr(f"int(seq >> {_TWIN_BITS})")).alias("__gone"))
+    found = materialise(found, "line-removed")
+    release(first)
+    release(gone)
+    return found
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the removed lines cut out of ``text`` (and ``n_chars`` set anew if
     there is one), plus ``__lines`` and ``__removed``, the counts of lines and of removed ones."""
-    place = [F.col("doc_key").alias("__key"), F.expr(f"seq & {(1 << _TWIN_BITS) - 1}").alias("__twin")]
-    gone = removed_lines(docs).groupBy(*place).agg(F.collect_set(F.expr(f"int(seq >> {_TWIN_BITS})")).alias("__gone"))
-    gone = materialise(gone, "line-removed")
+    gone = removed_lines(docs)
     joined = docs.join(gone, (_key() == F.col("__key")) & (_twin() == F.col("__twin")), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
