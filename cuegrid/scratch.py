@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Writes that took longer are followed by a look for shuffle files that nothing needs any more.
+COLLECT_AFTER_S = 1.5
+
 _own: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
 
@@ -45,12 +49,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: later plans start from the files.
 
     The shuffle files behind it are of no more use then. Spark drops them when the driver's JVM
-    finds their owners unreachable, so it is asked to look; else disks fill up until it happens to.
+    finds their owners unreachable, so after a write of some length it is asked to look; else disks
+    fill up until it happens to.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    began = time.monotonic()
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - began > COLLECT_AFTER_S:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
