@@ -260,6 +260,29 @@ ids AS (SELECT page_id, url, nullif(regexp_extract(url, '(?:v=|/shorts/|youtu\\.
 _STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 _MS = "round_even(greatest({0}, 0) * 1000, 0)::BIGINT"
 
+
+
+def _merged(text: str, speaker: str, source: str) -> str:
+    """Short-fragment merging as a recursion over the rows of each video."""
+    return f""", f AS (
+  SELECT video_id, index, {speaker} AS speaker, start, "end", {text} AS t, row_number() OVER (PARTITION BY video_id ORDER BY index) AS n FROM {source}),
+fold AS (
+  SELECT video_id, 0::BIGINT AS n, NULL::BIGINT AS index, NULL::VARCHAR AS out_speaker, NULL::VARCHAR AS text, ''::VARCHAR AS carry, NULL::VARCHAR AS speaker FROM f WHERE n = 1
+  UNION ALL
+  SELECT video_id, n, CASE WHEN short THEN NULL ELSE index END, x_speaker, CASE WHEN short THEN NULL ELSE body END,
+    CASE WHEN short THEN body WHEN joins THEN '' ELSE carry END, CASE WHEN short THEN x_speaker WHEN joins THEN NULL ELSE speaker END
+  FROM (SELECT *, length(rtrim(body, '.,!?…')) < 3 AS short FROM (
+    SELECT o.video_id, f.n, f.index, f.speaker AS x_speaker, o.carry, o.speaker, o.carry <> '' AND o.speaker IS NOT DISTINCT FROM f.speaker AS joins,
+      CASE WHEN o.carry <> '' AND o.speaker IS NOT DISTINCT FROM f.speaker THEN trim(o.carry || ' ' || f.t) ELSE f.t END AS body
+    FROM fold o JOIN f ON f.video_id = o.video_id AND f.n = o.n + 1))),
+ends AS (SELECT video_id, arg_max(carry, n) AS carry, arg_max((speaker,), n)[1] AS speaker FROM fold GROUP BY video_id),
+emitted AS (SELECT * FROM fold WHERE index IS NOT NULL),
+lasts AS (SELECT e.video_id, max(e.index) AS index, any_value(x.carry) AS carry FROM emitted e JOIN ends x ON x.video_id = e.video_id AND x.carry <> '' AND x.speaker IS NOT DISTINCT FROM e.out_speaker GROUP BY e.video_id),
+merged AS (
+  SELECT e.video_id, e.index, f.speaker, f.start, f."end", e.text || coalesce(' ' || l.carry, '') AS text
+  FROM emitted e JOIN f ON f.video_id = e.video_id AND f.index = e.index LEFT JOIN lasts l ON l.video_id = e.video_id AND l.index = e.index)"""
+
+
 SQL = {
     "video_id": f"WITH {_URLS} SELECT page_id, video_id FROM ids",
     "checked_requests": f"WITH {_URLS} SELECT page_id, video_id, CASE WHEN video_id IS NULL THEN 'not a video url' END AS error FROM ids",
@@ -300,23 +323,19 @@ p AS (SELECT a.video_id, a.index, b.index AS k, b.source || ' -> ' || b.target A
   FROM t a JOIN t b ON b.video_id = a.video_id AND b.index < a.index AND b.source <> '' AND b.target <> '')
 SELECT t.video_id, t.index, count(p.k)::INT AS lines, md5(coalesce(string_agg(p.line, chr(10) ORDER BY p.k), '')) AS context_md5
 FROM t LEFT JOIN p ON p.video_id = t.video_id AND p.index = t.index AND p.n <= 6 GROUP BY ALL""",
-    "merge_fragments": f"""WITH RECURSIVE {_SEGMENTS}, f AS (
-  SELECT video_id, index, speaker, start, "end", trim(CASE WHEN (video_id + index) % 3 = 0 THEN substr(text, 1, (1 + index % 3)::INT) ELSE text END) AS t,
-    row_number() OVER (PARTITION BY video_id ORDER BY index) AS n FROM segments),
-fold AS (
-  SELECT video_id, 0::BIGINT AS n, NULL::BIGINT AS index, NULL::VARCHAR AS out_speaker, NULL::VARCHAR AS text, ''::VARCHAR AS carry, NULL::VARCHAR AS speaker FROM f WHERE n = 1
-  UNION ALL
-  SELECT video_id, n, CASE WHEN short THEN NULL ELSE index END, x_speaker, CASE WHEN short THEN NULL ELSE body END,
-    CASE WHEN short THEN body WHEN joins THEN '' ELSE carry END, CASE WHEN short THEN x_speaker WHEN joins THEN NULL ELSE speaker END
-  FROM (SELECT *, length(rtrim(body, '.,!?…')) < 3 AS short FROM (
-    SELECT o.video_id, f.n, f.index, f.speaker AS x_speaker, o.carry, o.speaker, o.carry <> '' AND o.speaker IS NOT DISTINCT FROM f.speaker AS joins,
-      CASE WHEN o.carry <> '' AND o.speaker IS NOT DISTINCT FROM f.speaker THEN trim(o.carry || ' ' || f.t) ELSE f.t END AS body
-    FROM fold o JOIN f ON f.video_id = o.video_id AND f.n = o.n + 1))),
-ends AS (SELECT video_id, arg_max(carry, n) AS carry, arg_max((speaker,), n)[1] AS speaker FROM fold GROUP BY video_id),
-emitted AS (SELECT * FROM fold WHERE index IS NOT NULL),
-lasts AS (SELECT e.video_id, max(e.index) AS index, any_value(x.carry) AS carry FROM emitted e JOIN ends x ON x.video_id = e.video_id AND x.carry <> '' AND x.speaker IS NOT DISTINCT FROM e.out_speaker GROUP BY e.video_id)
-SELECT e.video_id, e.index, f.speaker, f.start, f."end", e.text || coalesce(' ' || l.carry, '') AS text
-FROM emitted e JOIN f ON f.video_id = e.video_id AND f.index = e.index LEFT JOIN lasts l ON l.video_id = e.video_id AND l.index = e.index""",
+    "merge_fragments": "WITH RECURSIVE " + _SEGMENTS + _merged("trim(CASE WHEN (video_id + index) % 3 = 0 THEN substr(text, 1, (1 + index % 3)::INT) ELSE text END)", "speaker", "segments") + " SELECT * FROM merged",
+    "prompts": f"""WITH {_SEGMENTS}, t AS (SELECT *, {_strip('text')} AS source, {_strip('translated')} AS target, greatest(20, trunc(greatest(0, "end" - start) * 15.0::DOUBLE * 1.4::DOUBLE)::INT) AS budget FROM segments),
+p AS (SELECT a.video_id, a.index, b.index AS k, '  ' || b.source || '  ->  ' || b.target AS line, row_number() OVER (PARTITION BY a.video_id, a.index ORDER BY b.index DESC) AS n FROM t a JOIN t b ON b.video_id = a.video_id AND b.index < a.index AND b.source <> '' AND b.target <> ''),
+c AS (SELECT video_id, index, string_agg(line, chr(10) ORDER BY k) AS lines FROM p WHERE n <= 6 GROUP BY ALL)
+SELECT t.video_id, t.index, length(coalesce('Earlier lines, for context:' || chr(10) || c.lines, 'Opening line: it sets the tone.') || chr(10) || chr(10) || 'Line to translate:' || chr(10) || t.source || chr(10) || chr(10)
+  || 'At most about ' || t.budget || ' characters, but keep the meaning.')::INT AS chars FROM t LEFT JOIN c ON c.video_id = t.video_id AND c.index = t.index""",
+    "dub_plan": "WITH RECURSIVE " + _ASSIGNED + _merged(f"coalesce(nullif({_strip('translated')}, ''), text)", "voice", "assigned") + """,
+sized AS (SELECT *, greatest(0, "end" - start) AS slot, trunc(length(text) * 1000 / 16.0::DOUBLE)::BIGINT AS clip_ms FROM merged),
+fitted AS (SELECT *, greatest(20, trunc(slot * 16.0::DOUBLE * 1.4::DOUBLE)::INT) AS budget,
+  CASE WHEN slot > 0.05 AND clip_ms / 1000.0::DOUBLE > slot THEN least(clip_ms / 1000.0::DOUBLE / slot, 1.4::DOUBLE)
+    WHEN slot > 0.05 AND clip_ms / 1000.0::DOUBLE < slot * 0.85::DOUBLE THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM sized)
+SELECT video_id, target_lang, count(*) AS segments, count(*) FILTER (WHERE abs(factor - 1) > 0.001) AS stretched, max(factor) AS max_factor, sum(budget)::BIGINT AS budget
+FROM fitted, (VALUES ('de'), ('fr')) t(target_lang) GROUP BY ALL""",
     "align_plan": f"WITH {_CLIPS} SELECT video_id, index, position_ms, factor, stretched, placed_ms FROM plan",
     "align_report": f"""WITH {_CLIPS} SELECT video_id, count(*) AS clips, count(*) FILTER (WHERE stretched) AS stretched, max(factor) AS max_factor, min(factor) AS min_factor,
 trunc(greatest(0, max("end")) * 1000)::BIGINT + 200 AS timeline_ms FROM plan GROUP BY video_id""",
