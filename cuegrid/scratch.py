@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Writes that took longer are followed by a look for shuffle files that nothing needs any more.
 COLLECT_AFTER_S = 1.5
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
 
@@ -45,8 +46,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: later plans start from the files.
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once and read it back: later plans start from the files. ``batch_rows`` bounds the
+    Arrow batches of this write where single rows are large; the session's setting returns after it.
 
     The shuffle files behind it are of no more use then. Spark drops them when the driver's JVM
     finds their owners unreachable, so after a write of some length it is asked to look; else disks
@@ -55,7 +57,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     began = time.monotonic()
-    df.write.parquet(path)
+    usual = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     if time.monotonic() - began > COLLECT_AFTER_S:
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
