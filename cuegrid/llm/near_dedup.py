@@ -126,14 +126,14 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
     full = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
-    return materialise(full.mapInArrow(_measure, "a long, b long, linked boolean, distance double"), "near-measured")
+    return materialise(full.mapInArrow(_measure, "a long, b long, linked boolean, distance double"), "near-measured", batch_rows=256)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = texts.mapInArrow(_sign, "doc_id long, n_shingles long, mark binary, bands array<long>")
-    signed = materialise(signed, "near-signatures")
+    signed = materialise(signed, "near-signatures", batch_rows=2000)
     scratch = [signed]
     # Bands depend on the set alone, so any row of a group of equal sets has the right ones.
     groups = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("mark")
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nearest = materialise(nearest.join(groups.select("rep", "n", "bands"), "rep"), "near-nearest")
     wanted = nearest.select(F.col("rep").alias("doc_id"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "near-sets")
+    sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "near-sets", batch_rows=1000)
 
     first = measured(nearest.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), sets)
     links = first.filter("linked").select("a", "b")
@@ -245,7 +245,7 @@ def _within_pivots(members: DataFrame, nearest: DataFrame, sets: DataFrame) -> D
     packed = materialise(packed, "near-blocks")
     left = packed.filter("block < minors").select("pivot", F.col("members").alias("one"), F.explode(F.sequence("block", F.col("minors") + F.col("majors") - 1)).alias("block"))
     met = left.join(packed.select("pivot", "block", F.col("members").alias("other")), ["pivot", "block"])
-    found = materialise(met.select("one", "other").mapInArrow(_compare, "a long, b long").distinct(), "near-within")
+    found = materialise(met.select("one", "other").mapInArrow(_compare, "a long, b long").distinct(), "near-within", batch_rows=16)
     release(packed)
     return found
 
