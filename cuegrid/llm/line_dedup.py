@@ -9,12 +9,12 @@ words are too short to be judged and always stay.
    over all documents, so of a size fixed beforehand) ranks a token by its first word. Any such order
    gives the same matches; rarity keeps the posting lists short.
 2. Lines of equal text collapse to the first by an aggregation that combines before it shuffles.
-3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. Each
-   posting list is walked once in order, and each line is held against the one line that most often
-   precedes it; the confirmed ones are removed.
-4. For the other lines every earlier line in their lists is a candidate if the length and positional
-   filters allow a match; a 128-bit mark of each set sifts these, the rest is confirmed on the whole sets. So no match is missed, while groups of
-   thousands of near copies are settled by step 3 and do not multiply.
+3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. Posting
+   lists are walked once in order; each line is held against one pivot, the earliest line in its lists,
+   and then against the line that most often precedes it. Confirmed ones are removed.
+4. For the other lines every earlier line in their lists is a candidate unless sizes, positions, a 128-bit
+   mark of the set or the distances to a common pivot exclude it; candidates are confirmed on the whole
+   sets. So no match is missed, while thousands of near copies do not become rows of pairs.
 
 Defined results: null text has no lines and stays null; null doc_ids come last in the order; rows that
 repeat id and text are one document (its copies lose the same lines); all columns are carried; the
@@ -116,23 +116,14 @@ def _bits(part: int) -> Column:
     return F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: F.when(mine(t), acc.bitwiseOR(bit(t))).otherwise(acc))
 
 
-def _sifted(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The ``pairs`` (x, y) that ``marks`` (id, m, low, high) do not rule out: a token that only one set
-    has changes at most one bit, so more differing bits than a match allows exclude it."""
-    one = marks.select(F.col("id").alias("x"), *[F.col(c).alias(f"{c}_x") for c in ("m", "low", "high")])
-    other = marks.select(F.col("id").alias("y"), *[F.col(c).alias(f"{c}_y") for c in ("m", "low", "high")])
-    differ = F.bit_count(F.col("low_x").bitwiseXOR(F.col("low_y"))) + F.bit_count(F.col("high_x").bitwiseXOR(F.col("high_y")))
-    allowed = F.col("m_x") + F.col("m_y") - 2 * _needed("m_x", "m_y")
-    return pairs.join(one, "x").join(other, "y").filter(differ <= allowed).select("x", "y")
-
-
-def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``pairs`` (x, y; y earlier) those x that match, on whole sets: distinct ``x``."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (x, y) with ``matches`` and the Jaccard ``distance`` of their whole sets."""
     one = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
     other = sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
-    full = pairs.join(one, "x").join(other, "y")
-    both = F.size(F.array_intersect("tx", "ty"))
-    return full.filter(both * 100 >= MIN_PERCENT * (F.size("tx") + F.size("ty") - both)).select("x").distinct()
+    rows = pairs.join(one, "x").join(other, "y")
+    rows = rows.select("x", "y", F.size(F.array_intersect("tx", "ty")).alias("both"), (F.size("tx") + F.size("ty")).alias("sum"))
+    union = F.col("sum") - F.col("both")
+    return rows.select("x", "y", (F.col("both") * 100 >= MIN_PERCENT * union).alias("matches"), (1 - F.col("both") / union).alias("distance"))
 
 
 def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +139,8 @@ def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     entries = first.select("id", "m", F.posexplode("prefix").alias("at", "token"))
     walk = Window.partitionBy("token").orderBy("id")
-    entries = entries.select("*", F.lag("id").over(walk).alias("before"), F.lead("id").over(walk).alias("after"))
+    head = F.first("id").over(walk.rowsBetween(Window.unboundedPreceding, 0))
+    entries = entries.select("*", F.lag("id").over(walk).alias("before"), F.lead("id").over(walk).alias("after"), head.alias("head"))
     entries = materialise(entries.filter("before is not null or after is not null").drop("after"), "line-postings")
     whole, first = first, materialise(first.select("mark", "id"), "line-marks")
     release(whole)
@@ -163,25 +155,39 @@ def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = texts.select(F.struct(F.col("__key").alias("doc_key"), seq.alias("seq")).alias("id"), F.col("x.line").alias("line"))
     sets = materialise(_tokens(F.col("line"), table, texts, ["id"]), "line-sets")
 
-    likely = entries.filter("before is not null").groupBy("id").agg(F.mode("before", True).alias("y")).select(F.col("id").alias("x"), "y")
-    gone = materialise(_matching(likely, sets), "line-gone")
-    # Every earlier candidate of the lines that their likeliest neighbour does not explain.
-    left = entries.filter("before is not null").drop("before").join(gone.select(F.col("x").alias("id")), "id", "left_anti")
-    right = entries.select(F.col("token").alias("token_y"), F.col("id").alias("y"), F.col("m").alias("m_y"), F.col("at").alias("at_y"))
+    # One pivot for each line, the earliest line in its lists: a star, not pairs.
+    pivots = materialise(entries.groupBy("id").agg(F.min("head").alias("pivot"), F.mode("before", True).alias("usual")), "line-pivots")
+    star = _overlaps(pivots.filter("pivot <> id").select(F.col("id").alias("x"), F.col("pivot").alias("y")), sets)
+    star = materialise(star.select(F.col("x").alias("id"), "matches", "distance"), "line-star")
+    gone = star.filter("matches").select("id")
+    open_ = pivots.filter("usual is not null and usual <> pivot").join(gone, "id", "left_anti")
+    near = _overlaps(open_.select(F.col("id").alias("x"), F.col("usual").alias("y")), sets)
+    near = materialise(near.filter("matches").select(F.col("x").alias("id")), "line-near")
+    gone = gone.union(near)
+
+    # Every earlier candidate of the lines that neither explains. What cannot match is ruled out in the
+    # join: by sizes, by position, by marks (a token that only one set has changes at most one bit),
+    # and, Jaccard distance being a metric, by distances to the same pivot that differ too much.
+    facts = sets.select("id", _bits(0).alias("low"), _bits(1).alias("high")).join(pivots.select("id", "pivot"), "id")
+    facts = facts.join(star.select("id", "distance"), "id", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    known = materialise(entries.select("token", "id", "m", "at", F.col("before").isNotNull().alias("later")).join(facts, "id"), "line-known")
+    release(entries)
+    left = known.filter("later").join(gone, "id", "left_anti")
+    right = known.select(*[F.col(c).alias(f"{c}_y") for c in ("token", "id", "m", "at", "low", "high", "pivot", "distance")])
+    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("low_y"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_y")))
     fits = (
         (F.col("token") == F.col("token_y"))
-        & (F.col("y") < F.col("id"))
+        & (F.col("id_y") < F.col("id"))
         & (F.least("m", "m_y") * 100 >= F.greatest("m", "m_y") * MIN_PERCENT)
         & (F.least(F.col("m") - F.col("at"), F.col("m_y") - F.col("at_y")) >= _needed("m", "m_y"))
+        & (differ <= F.col("m") + F.col("m_y") - 2 * _needed("m", "m_y"))
+        & (F.col("id_y") != F.col("pivot"))
+        & ((F.col("pivot") != F.col("pivot_y")) | (F.abs(F.col("distance") - F.col("distance_y")) <= (100 - MIN_PERCENT) / 100 + 1e-9))
     )
-    rest = left.join(right, fits).select(F.col("id").alias("x"), "y").distinct()
-    marks = materialise(sets.select("id", F.size("tokens").alias("m"), _bits(0).alias("low"), _bits(1).alias("high")), "line-bits")
-    rest = materialise(rest, "line-rest")
-    likely = materialise(_sifted(rest, marks), "line-sifted")
-    release(entries)
-    release(rest)
-    matched = materialise(gone.union(_matching(likely, sets)).select(F.col("x").alias("id")), "line-matched")
-    for used in (involved, sets, gone, marks, likely):
+    rest = materialise(left.join(right, fits).select(F.col("id").alias("x"), F.col("id_y").alias("y")).distinct(), "line-rest")
+    also = _overlaps(rest, sets).filter("matches").select(F.col("x").alias("id"))
+    matched = materialise(gone.union(also).distinct(), "line-matched")
+    for used in (involved, sets, pivots, star, near, known, rest):
         release(used)
     return first, matched
 
