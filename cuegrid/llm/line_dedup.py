@@ -12,7 +12,7 @@ words are too short to be judged and always stay.
 3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. Posting
    lists are walked once in order; each line is held against one pivot, the earliest line in its lists,
    and then against the line that most often precedes it. Confirmed ones are removed.
-4. For the other lines every earlier line in their lists is a candidate unless sizes, positions, a 128-bit
+4. For the other lines every earlier line in their lists is a candidate unless sizes, positions, a 256-bit
    mark of the set or the distances to a common pivot exclude it; candidates are confirmed on the whole
    sets. So no match is missed, while thousands of near copies do not become rows of pairs.
 
@@ -40,6 +40,8 @@ _BLANKS = r"[\x09-\x0D\x20]+"
 _TRIM = "\t\n\x0b\x0c\r "
 _TWIN_BITS = 16
 _ALL = 1 << 30
+#: Longs in the mark of a token set.
+_MARKS = 4
 
 
 def _words(line: Column) -> Column:
@@ -110,8 +112,8 @@ def _needed(m: str, n: str) -> Column:
 
 
 def _bits(part: int) -> Column:
-    """64 bits in which every token sets one, of the half of the tokens that ``part`` (0 or 1) takes."""
-    mine = lambda t: t.bitwiseAND(F.lit(64)) == 64 * part
+    """64 bits of the set's mark: of the quarter of the tokens that ``part`` takes, every one sets a bit."""
+    mine = lambda t: t.bitwiseAND(F.lit(64 * (_MARKS - 1))) == 64 * part
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: F.when(mine(t), acc.bitwiseOR(bit(t))).otherwise(acc))
 
@@ -168,13 +170,13 @@ def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Every earlier candidate of the lines that neither explains. What cannot match is ruled out in the
     # join: by sizes, by position, by marks (a token that only one set has changes at most one bit),
     # and, Jaccard distance being a metric, by distances to the same pivot that differ too much.
-    facts = sets.select("id", _bits(0).alias("low"), _bits(1).alias("high")).join(pivots.select("id", "pivot"), "id")
+    facts = sets.select("id", *[_bits(k).alias(f"bits{k}") for k in range(_MARKS)]).join(pivots.select("id", "pivot"), "id")
     facts = facts.join(star.select("id", "distance"), "id", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
     known = materialise(entries.select("token", "id", "m", "at", F.col("before").isNotNull().alias("later")).join(facts, "id"), "line-known")
     release(entries)
     left = known.filter("later").join(gone, "id", "left_anti")
-    right = known.select(*[F.col(c).alias(f"{c}_y") for c in ("token", "id", "m", "at", "low", "high", "pivot", "distance")])
-    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("low_y"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_y")))
+    right = known.select(*[F.col(c).alias(f"{c}_y") for c in ("token", "id", "m", "at", "pivot", "distance", *[f"bits{k}" for k in range(_MARKS)])])
+    differ = sum((F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"bits{k}_y"))) for k in range(_MARKS)), F.lit(0))
     fits = (
         (F.col("token") == F.col("token_y"))
         & (F.col("id_y") < F.col("id"))
