@@ -58,9 +58,15 @@ def frequency_table(docs: DataFrame) -> list[int]:
     """Entry b: a logarithmic class (0 to 126) of how often words hashed to bucket b occur."""
     words = docs.select(F.explode(F.split("text", " ")).alias("w"))
     counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    # A few long strings come back, not a row for each bucket.
+    level = F.least(F.lit(126), F.floor(F.log2("n") * 3))
+    entry = F.concat_ws(":", F.col("bucket").cast("string"), level.cast("string")).alias("entry")
+    packed = counts.select((F.col("bucket") % 64).alias("row"), entry).groupBy("row").agg(F.array_join(F.collect_list("entry"), ",").alias("entries"))
     table = [0] * BUCKETS
-    for row in counts.select("bucket", F.least(F.lit(126), F.floor(F.log2("n") * 3)).alias("level")).collect():
-        table[row["bucket"]] = row["level"]
+    for row in packed.collect():
+        for item in row["entries"].split(","):
+            bucket, _, value = item.partition(":")
+            table[int(bucket)] = int(value)
     return table
 
 

@@ -149,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     flat = np.frombuffer(b"".join(found.column("slots").to_pylist()), np.uint16)
     value = np.frombuffer(b"".join(found.column("values").to_pylist()), np.float32)
     del found
+    pa.default_memory_pool().release_unused()
     parts = _parts(flat, value, ends)
     held = np.arange(len(target)) % 3 == 2
     if any(len(set(target[part].tolist())) < 2 for part in (held, ~held)):
