@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction (operator 5).
 
 Four base kinds are found by pattern and check (length, octet range, Luhn). They are the seeds: the
-words around every seed, and around every other number-like token, are lexical patterns. Patterns
+words around every seed, and around every other candidate, are lexical patterns. Patterns
 and instances form a weighted bipartite graph whose scores Spark iterates: a pattern is as good as
 the share of its occurrences that surround instances of one kind, an instance is as good as its
-patterns together (noisy or). Tokens that no base pattern knows but that stand in high-confidence
-patterns of one kind, and look like that kind, are added as ``context_<kind>`` spans.
+patterns together (noisy or). Candidates are taken by shape over the text: runs of one or more
+number-like tokens, and addresses with @, (at) or [at]. Those that no base pattern knows but that stand
+in high-confidence patterns of one kind, and look like that kind, are added as ``context_<kind>`` spans;
+of nested ones of a kind the longest.
 
 Python only reads each text once; the graph carries 64-bit digests, never the values. Mentions
 are a small fraction of the text, every aggregation over them combines before it shuffles, and
@@ -38,6 +40,11 @@ MIN_SEEDS = 3
 MIN_INSTANCE = 0.9
 #: Code points on either side in which the context words are sought.
 REACH = 80
+#: Fewest digits of a number that a shape takes; most digits and most groups of one written with blanks,
+#: so that a table of numbers has a few candidates a number.
+MIN_DIGITS, MAX_DIGITS, MAX_GROUPS = 4, 19, 8
+#: Most code points of a candidate.
+MAX_LENGTH = 200
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -46,7 +53,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_NUMBERLIKE = re.compile(r"[^\s]*[0-9][^\s]*")
+_RUN = re.compile(r"[+(]?[0-9](?:[ ().:-]*+[0-9])*+")
+_PIECE = re.compile(r"[^ ]+")
+_AT = re.compile(r"@|\(at\)|\[at\]")
+_BLANK = re.compile(r"\s")
 _TRIM = "\"'`.,;:!?()[]{}<>#*$%&|="
 _SHAPES = {
     "email": re.compile(r".*(?:@|\(at\)|\[at\]).*[.].*", re.S),
@@ -112,26 +122,79 @@ def _contexts(text: str, start: int, end: int) -> list[int]:
     return [_digest(p) for p in patterns]
 
 
+def _bounded(text: str, start: int, end: int) -> bool:
+    """The span is not a part of a longer word, number or path."""
+    before, after = text[max(0, start - 2) : start], text[end : end + 2]
+    if before and not before[-1].isspace() and (before[-1] not in _TRIM or (before[-1] in ",.:" and before[0].isdigit())):
+        return False
+    return not after or after[0].isspace() or (after[0] in _TRIM and not (after[0] in ",.:;" and after[1:].isalnum()))
+
+
+def number_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of digits and separators: every sequence of their blank-separated pieces that has no more
+    digits and groups than an identifier, by start."""
+    for m in _RUN.finditer(text):
+        pieces = [(m.start() + p.start(), m.start() + p.end()) for p in _PIECE.finditer(m.group())]
+        digits = [sum(map(str.isdigit, text[a:b])) for a, b in pieces]
+        for i, (start, _) in enumerate(pieces):
+            n = groups = 0
+            for j in range(i, len(pieces)):
+                n += digits[j]
+                groups += digits[j] > 0
+                if j > i and (n > MAX_DIGITS or groups > MAX_GROUPS or pieces[j][1] - start > MAX_LENGTH):
+                    break
+                if n < MIN_DIGITS or not digits[j]:
+                    continue
+                b = start + len(text[start : pieces[j][1]].rstrip(_TRIM))
+                a = b - len(text[start:b].lstrip(_TRIM))
+                # An opening bracket belongs to the number if it is closed in it.
+                if a > start and text[a - 1] == "(" and text[a:b].count(")") > text[a:b].count("("):
+                    a -= 1
+                if _bounded(text, a, b):
+                    yield a, b
+
+
+def address_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens with an @, (at) or [at], the bracketed ones also with a blank on either side."""
+    low = 0
+    for m in _AT.finditer(text):
+        if m.start() < low:
+            continue
+        first, last = m.span()
+        spelt = m.group() != "@"
+        if spelt and first - 1 > low and text[first - 1] == " ":
+            first -= 1
+        while first > low and not text[first - 1].isspace():
+            first -= 1
+        if spelt and text[last : last + 1] == " ":
+            last += 1
+        end = _BLANK.search(text, last)
+        last = end.start() if end else len(text)
+        low = last
+        first += len(text[first:last]) - len(text[first:last].lstrip(_TRIM))
+        last = first + len(text[first:last].rstrip(_TRIM))
+        if first < last:
+            yield first, last
+
+
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
-    """(kind or None, kinds the token looks like, instance, start, end, patterns) of the seeds and of
-    number-like tokens outside them."""
+    """(kind or None, kinds the span looks like, instance, start, end, patterns) of the seeds and of
+    the candidates outside them."""
     found = [(kind, [], _digest(text[a:b].lower()), a, b, _contexts(text, a, b)) for kind, a, b in base]
-    if not base and not _DIGITS.search(text):
-        return found
     taken = sorted((a, b) for _, a, b in base)
-    k = 0
-    for m in _NUMBERLIKE.finditer(text):
-        a, b = m.span()
-        a += len(m.group()) - len(m.group().lstrip(_TRIM))
-        b = max(a, b - (len(m.group()) - len(m.group().rstrip(_TRIM))))
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if k < len(taken) and taken[k][0] < b:
-            continue
-        value = text[a:b]
-        like = [kind for kind, shape in _SHAPES.items() if len(value) <= 200 and shape.fullmatch(value)]
-        if like and (patterns := _contexts(text, a, b)):
-            found.append((None, like, _digest(value.lower()), a, b, patterns))
+    for spans, kinds in ((address_spans(text), KINDS[:1]), (number_spans(text), KINDS[1:])):
+        k = 0
+        for a, b in spans:
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if k < len(taken) and taken[k][0] < b:
+                continue
+            value = text[a:b]
+            like = [kind for kind in kinds if len(value) <= MAX_LENGTH and _SHAPES[kind].fullmatch(value)]
+            if like and (patterns := _contexts(text, a, b)):
+                found.append((None, like, _digest(value.lower()), a, b, patterns))
+        # A number inside an address is no candidate of its own.
+        taken = sorted((m[3], m[4]) for m in found)
     return found
 
 
@@ -205,6 +268,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("more"))
     )
+    outer = lambda s: lambda t: (t["kind"] == s["kind"]) & (t["start"] <= s["start"]) & (t["stop"] >= s["stop"]) & (t != s)
+    extra = extra.withColumn("more", F.filter("more", lambda s: ~F.exists("more", outer(s))))
     line = F.array_join(F.transform("more", lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     joined = scanned.drop("mentions").join(extra, "row", "left")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("more").isNotNull(), line))
