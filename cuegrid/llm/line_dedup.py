@@ -38,7 +38,6 @@ BROADCAST_DOCS = 200_000
 
 _BLANKS = r"[\x09-\x0D\x20]+"
 _TRIM = "\t\n\x0b\x0c\r "
-_TWIN_BITS = 16
 _ALL = 1 << 30
 #: Longs in the mark of a token set.
 _MARKS = 4
@@ -98,10 +97,10 @@ def _tokens(line: Column, table: list[int], lines: DataFrame, keep: list[str]) -
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """(doc_key, seq, line). ``seq`` orders the lines of a document; its low bits tell apart texts
-    under a repeated id."""
-    rows = docs.select(_key().alias("doc_key"), _twin().alias("twin"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("doc_key", (F.shiftleft(F.col("line_no").cast("long"), _TWIN_BITS) + F.col("twin")).alias("seq"), "line")
+    """(id, line). An id is (doc_key, line_no, twin); ``twin`` tells apart texts under a repeated id."""
+    rows = docs.select(_key().alias("doc_key"), _twin().alias("twin"), "text")
+    rows = rows.select("doc_key", "twin", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select(F.struct("doc_key", "line_no", "twin").alias("id"), "line")
 
 
 def _key() -> Column:
@@ -109,7 +108,7 @@ def _key() -> Column:
 
 
 def _twin() -> Column:
-    return F.xxhash64("text").bitwiseAND(F.lit((1 << _TWIN_BITS) - 1))
+    return F.xxhash64("text")
 
 
 def _needed(m: str, n: str) -> Column:
@@ -140,7 +139,7 @@ def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = frequency_table(docs)
     size = F.size("tokens")
     prefix = F.slice("tokens", 1, size - F.ceil(size * MIN_PERCENT / 100).cast("int") + 1)
-    lines = _places(docs).select(F.struct("doc_key", "seq").alias("id"), F.xxhash64("line").alias("mark"), "line")
+    lines = _places(docs).select("id", F.xxhash64("line").alias("mark"), "line")
     lines = _tokens(F.col("line"), table, lines, ["id", "mark"]).select("id", "mark", size.alias("m"), prefix.alias("prefix"))
     first = lines.groupBy("mark").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("prefix").alias("prefix"))
     first = materialise(first, "line-first").filter("m > 0")
@@ -153,14 +152,14 @@ def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole, first = first, materialise(first.select("mark", "id"), "line-marks")
     release(whole)
 
-    involved = entries.select("id").distinct().groupBy(F.col("id.doc_key").alias("__key"), F.expr(f"id.seq & {(1 << _TWIN_BITS) - 1}").alias("__twin"))
-    involved = materialise(involved.agg(F.collect_list(F.expr(f"int(id.seq >> {_TWIN_BITS})")).alias("__lines")), "line-involved")
+    involved = entries.select("id").distinct().groupBy(F.col("id.doc_key").alias("__key"), F.col("id.twin").alias("__twin"))
+    involved = materialise(involved.agg(F.collect_list("id.line_no").alias("__lines")), "line-involved")
     asked = F.broadcast(involved) if involved.count() <= BROADCAST_DOCS else involved
     texts = docs.join(asked, (_key() == F.col("__key")) & (_twin() == F.col("__twin")))
     numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
     texts = texts.select("__key", "__twin", F.explode(F.filter(numbered, lambda x: F.array_contains("__lines", x["line_no"]))).alias("x"))
-    seq = F.shiftleft(F.col("x.line_no").cast("long"), _TWIN_BITS) + F.col("__twin")
-    texts = texts.select(F.struct(F.col("__key").alias("doc_key"), seq.alias("seq")).alias("id"), F.col("x.line").alias("line"))
+    place = F.struct(F.col("__key").alias("doc_key"), F.col("x.line_no").alias("line_no"), F.col("__twin").alias("twin"))
+    texts = texts.select(place.alias("id"), F.col("x.line").alias("line"))
     sets = materialise(_tokens(F.col("line"), table, texts, ["id"]), "line-sets")
 
     # One pivot for each line, the earliest line in its lists: a star, not pairs.
@@ -206,10 +205,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     first, gone = _repeated(docs)
     flagged = first.join(gone.withColumn("matched", F.lit(True)), "id", "left")
-    lines = _places(docs).select("doc_key", "seq", F.xxhash64("line").alias("mark"))
-    lines = lines.join(flagged, "mark").filter("matched or id.doc_key <> doc_key or id.seq <> seq")
-    place = [F.col("doc_key").alias("__key"), F.expr(f"seq & {(1 << _TWIN_BITS) - 1}").alias("__twin")]
-    found = lines.groupBy(*place).agg(F.collect_set(F.expr(f"int(seq >> {_TWIN_BITS})")).alias("__gone"))
+    lines = _places(docs).select(F.col("id").alias("at"), F.xxhash64("line").alias("mark"))
+    lines = lines.join(flagged, "mark").filter("matched or id <> at")
+    place = [F.col("at.doc_key").alias("__key"), F.col("at.twin").alias("__twin")]
+    found = lines.groupBy(*place).agg(F.collect_set("at.line_no").alias("__gone"))
     found = materialise(found, "line-removed")
     release(first)
     release(gone)
