@@ -1,114 +1,151 @@
-"""Line deduplication by an exact set-similarity join (operator 10). DataFrame functions only.
-
-A line's tokens are its distinct 5-word shingles (as written). Two lines match when the Jaccard
-similarity of their token sets is at least 0.75; a line is removed when any earlier line, in order of
-(doc_id, line number), matches it, in the same document or another. Lines of fewer than MIN_WORDS
-words are too short to be judged and always stay.
-
-1. Tokens get one global order, rarest first: a table of hashed word counts (BUCKETS entries, counted
-   over all documents, so of a size fixed beforehand) ranks a token by its first word. Any such order
-   gives the same matches; rarity keeps the posting lists short.
-2. Lines of equal text collapse to the first by an aggregation that combines before it shuffles.
-3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. Posting
-   lists are walked once in order; each line is held against one pivot, the earliest line in its lists,
-   and then against the line that most often precedes it. Confirmed ones are removed.
+"""Line deduplication by an exact set-similarity join (operator 10).
+
+A line's tokens are its distinct 5-word shingles (as written); a line of fewer words is one token, its whole
+word sequence. Two lines match when the Jaccard similarity of their token sets is at least 0.75; a
+line is removed when any earlier line, in order of (doc_id, line number), matches it, in the same
+document or another. Lines without words match nothing and stay.
+
+1. Tokens get one global order, rarest first: hashed counts of the tokens themselves (SLOTS counts over all
+   documents, so of a size fixed beforehand), in steps above the usual count of a slot. Any such
+   order gives the same matches; rarity keeps the posting lists short.
+2. Lines of equal text collapse to the first, by an aggregation that combines before it shuffles; these are
+   numbered in their order, so that a line is one long from here on.
+3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. A posting
+   list is known by its first and last line, aggregated map-side; tokens of a single line drop out.
+   Each remaining line is held against two earlier ones, the heads of its lists. Confirmed ones go.
 4. For the other lines every earlier line in their lists is a candidate unless sizes, positions, a 256-bit
-   mark of the set or the distances to a common pivot exclude it; candidates are confirmed on the whole
+   mark of the set or the distances to a common head exclude it; candidates are confirmed on the whole
    sets. So no match is missed, while thousands of near copies do not become rows of pairs.
 
-Defined results: null text has no lines and stays null; null doc_ids come last in the order; rows that
-repeat id and text are one document (its copies lose the same lines); all columns are carried; the
-line count before and after is part of ``deduplicated_lines``; an empty table gives an empty result.
+Texts are read three times: for the counts, for the prefixes, and for the whole sets of those lines alone
+that share a token of their prefix. Everything between is DataFrame functions; the tokens are made in
+Arrow batches, as a form of DataFrame functions alone took more than twice the time allowed (see README).
+
+Defined results: null text has no lines and stays null; null doc_ids come last in the order, texts of one
+doc_id are ordered by their MD5; rows that repeat id and text are one document (its copies lose the
+same lines); all columns are carried, whatever their names; very long texts and lines are worked on in
+pieces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuegrid.llm.near_dedup import overlap
+from cuegrid.llm.shingles import line_shingles
 from cuegrid.scratch import materialise, release
 
 SHINGLE_WORDS = 5
-MIN_WORDS = 5
 MIN_PERCENT = 75
-#: Entries of the hashed frequency table.
-BUCKETS = 1 << 16
-#: Up to so many documents' line numbers are broadcast to fetch their lines; more are joined by a shuffle.
-BROADCAST_DOCS = 200_000
-
-_BLANKS = r"[\x09-\x0D\x20]+"
-_TRIM = "\t\n\x0b\x0c\r "
-_ALL = 1 << 30
+#: Entries of the hashed table of token counts, and of a stripe of it.
+SLOTS = 1 << 18
+STRIPE = 1 << 12
+#: Steps of the rarity order for each doubling of a slot's count.
+STEPS = 5
 #: Longs in the mark of a token set.
-_MARKS = 4
-
-
-def _words(line: Column) -> Column:
-    """Words of a line; one empty word if it is blank. Lines with nothing but single spaces between
-    words take the plain split."""
-    plain = F.split(line, " ")
-    odd = F.array_contains(plain, "")
-    for blank in "\t\x0b\x0c\r":
-        odd = odd | F.contains(line, F.lit(blank))
-    return F.when(odd, F.split(F.btrim(line, F.lit(_TRIM)), _BLANKS)).otherwise(plain)
-
-
-def frequency_table(docs: DataFrame) -> list[int]:
-    """Entry b: a logarithmic class (0 to 126) of how often words hashed to bucket b occur."""
-    words = docs.select(F.explode(F.split("text", " ")).alias("w"))
-    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    # A few long strings come back, not a row for each bucket.
-    level = F.least(F.lit(126), F.floor(F.log2("n") * 3))
-    entry = F.concat_ws(":", F.col("bucket").cast("string"), level.cast("string")).alias("entry")
-    packed = counts.select((F.col("bucket") % 64).alias("row"), entry).groupBy("row").agg(F.array_join(F.collect_list("entry"), ",").alias("entries"))
-    table = [0] * BUCKETS
-    for row in packed.collect():
-        for item in row["entries"].split(","):
-            bucket, _, value = item.partition(":")
-            table[int(bucket)] = int(value)
-    return table
-
-
-def _lookup(table: list[int]) -> Column:
-    """The table as one constant array."""
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
-
-
-def _tokens(line: Column, table: list[int], lines: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``tokens``: the line's sorted distinct tokens as longs, the rarity class of the first
-    word in the high byte and the shingle's hash below; none if the line is too short."""
-    body, level = F.lit((1 << 56) - 1), F.lit(127 << 56)
-    ranks = _lookup(table)
-
-    def ranked(w):
-        rank = F.get(ranks, F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.shiftleft(rank, 56).bitwiseOR(F.xxhash64(w).bitwiseAND(body))
-
-    def joined(one, other, step):
-        return F.zip_with(one, F.slice(other, step + 1, _ALL), lambda x, y: F.xxhash64(x, y))
-
-    rows = lines.select(*keep, F.transform(_words(line), ranked).alias("__w"))
-    rows = rows.select(*keep, "__w", joined("__w", "__w", 1).alias("__two"))
-    rows = rows.select(*keep, "__w", joined("__two", "__two", 2).alias("__four"))
-    head = F.slice("__w", 1, F.greatest(F.lit(0), F.size("__w") - (SHINGLE_WORDS - 1)))
-    tail = F.slice("__four", 2, F.greatest(F.lit(0), F.size("__w") - (SHINGLE_WORDS - 1)))
-    shingles = F.zip_with(head, tail, lambda x, t: x.bitwiseAND(level).bitwiseOR(F.xxhash64(x, t).bitwiseAND(body)))
-    return rows.select(*keep, F.sort_array(F.array_distinct(shingles)).alias("tokens"))
-
-
-def _places(docs: DataFrame) -> DataFrame:
-    """(id, line). An id is (doc_key, line_no, twin); ``twin`` tells apart texts under a repeated id."""
-    rows = docs.select(_key().alias("doc_key"), _twin().alias("twin"), "text")
-    rows = rows.select("doc_key", "twin", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select(F.struct("doc_key", "line_no", "twin").alias("id"), "line")
-
-
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-
-
-def _twin() -> Column:
-    return F.xxhash64("text")
+MARKS = 4
+
+
+def token_ranks(docs: DataFrame) -> np.ndarray:
+    """Rarity (0 to 127) of each slot: 64 is the median slot's count, STEPS more for each doubling."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, lines in line_shingles(batch.column(0), SHINGLE_WORDS):
+                seen += np.bincount((lines.token & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        if seen.any():
+            yield _stripes(range(SLOTS // STRIPE), seen.reshape(-1, STRIPE))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for stripe, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[stripe] = sums.get(stripe, 0) + np.frombuffer(counts, np.int64)
+        yield _stripes(sums, list(sums.values()))
+
+    schema = "stripe int, counts binary"
+    summed = docs.select("text").mapInArrow(count, schema).repartition("stripe").mapInArrow(total, schema)
+    counts = np.zeros((SLOTS // STRIPE, STRIPE))
+    for row in summed.collect():
+        counts[row["stripe"]] = np.frombuffer(row["counts"], np.int64)
+    usual = max(1.0, float(np.median(counts)))
+    return np.clip(64 + np.floor(STEPS * np.log2(np.maximum(counts, 0.5) / usual)), 0, 127).astype(np.uint8).ravel()
+
+
+def _stripes(numbers, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], names=["stripe", "counts"])
+
+
+def _identified(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_key, twin, text: ``twin`` puts null ids last and tells apart texts under a repeated id."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    twin = F.concat(F.when(F.col("doc_id").isNull(), F.lit("01")).otherwise(F.lit("00")), F.md5(F.col("text")))
+    return docs.select(key.alias("doc_key"), F.unhex(twin).alias("twin"), "text", *more)
+
+
+def prefix_length(sizes):
+    """Rarest tokens of which two matching sets share one, with sizes of an array of numbers."""
+    return sizes - -(-sizes * MIN_PERCENT // 100) + 1
+
+
+def _prefixed(ranks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, lines in line_shingles(batch.column(2), SHINGLE_WORDS):
+                bounds, tokens = lines.sets(ranks.value)
+                sizes = np.diff(bounds)
+                length = prefix_length(sizes)
+                keep = np.arange(len(tokens)) - np.repeat(bounds[:-1], sizes) < np.repeat(length, sizes)
+                prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(tokens[keep].view(np.int64)))
+                doc = pa.array(lines.doc + first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(doc), batch.column(1).take(doc), pa.array(lines.number.astype(np.int32)), pa.array(lines.digests(), pa.binary()), pa.array(sizes.astype(np.int32)), prefix],
+                    names=["doc_key", "twin", "line_no", "mark", "m", "prefix"],
+                )
+
+    return run
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lid, m, tokens (by value) and the mark's longs of the lines asked for: (text, [(line_no, lid)])."""
+    for batch in batches:
+        asked = [{x["line_no"]: x["lid"] for x in row} for row in batch.column(1).to_pylist()]
+        for first, lines in line_shingles(batch.column(0), SHINGLE_WORDS, asked):
+            bounds, tokens = lines.sets()
+            lids = [asked[first + d][n] for d, n in zip(lines.doc.tolist(), lines.number.tolist(), strict=True)]
+            sizes = np.diff(bounds)
+            held = np.zeros((len(lids), 64 * MARKS), bool)
+            held[np.repeat(np.arange(len(lids)), sizes), (tokens & np.uint64(64 * MARKS - 1)).astype(np.int64)] = True
+            marks = np.packbits(held, axis=1).view(np.int64)
+            raw = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lids, pa.int64()), pa.array(raw, pa.binary()), *[pa.array(np.ascontiguousarray(marks[:, k])) for k in range(MARKS)]],
+                names=["lid", "tokens", *[f"bits{k}" for k in range(MARKS)]],
+            )
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        matches, distance = [], []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            both, total = overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), (len(x) + len(y)) // 8
+            matches.append(both * 100 >= MIN_PERCENT * (total - both))
+            distance.append(1 - both / (total - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(matches, pa.bool_()), pa.array(distance, pa.float64())], names=["x", "y", "matches", "distance"])
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (x, y) with ``matches`` and the Jaccard ``distance`` of their whole sets."""
+    one = sets.select(F.col("lid").alias("x"), F.col("tokens").alias("tx"))
+    other = sets.select(F.col("lid").alias("y"), F.col("tokens").alias("ty"))
+    rows = pairs.join(one, "x").join(other, "y").select("x", "y", "tx", "ty")
+    return rows.mapInArrow(_compare, "x long, y long, matches boolean, distance double")
 
 
 def _needed(m: str, n: str) -> Column:
@@ -116,134 +153,116 @@ def _needed(m: str, n: str) -> Column:
     return F.ceil((F.col(m) + F.col(n)) * MIN_PERCENT / (100 + MIN_PERCENT) - 1e-9)
 
 
-def _bits(part: int) -> Column:
-    """64 bits of the set's mark: of the quarter of the tokens that ``part`` takes, every one sets a bit."""
-    mine = lambda t: t.bitwiseAND(F.lit(64 * (_MARKS - 1))) == 64 * part
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: F.when(mine(t), acc.bitwiseOR(bit(t))).otherwise(acc))
+def _later_matches(first: DataFrame, texts: DataFrame) -> DataFrame:
+    """(lid) of the lines of ``first`` that an earlier one matches, materialised."""
+    entries = first.select("lid", "m", F.posexplode("prefix").alias("at", "token"))
+    heads = entries.groupBy("token").agg(F.min("lid").alias("head"), F.max("lid").alias("last")).filter("head < last").select("token", "head")
+    shared = materialise(entries.join(heads, "token"), "line-shared")
+    pivots = materialise(shared.groupBy("lid").agg(F.min("head").alias("pivot"), F.coalesce(F.max(F.when(F.col("head") < F.col("lid"), F.col("head"))), F.min("head")).alias("other")), "line-pivots")
 
+    asked = first.select("lid", "doc_key", "twin", "line_no").join(pivots.select("lid"), "lid", "left_semi")
+    asked = asked.groupBy("doc_key", "twin").agg(F.collect_list(F.struct("line_no", "lid")).alias("asked"))
+    schema = "lid long, tokens binary, " + ", ".join(f"bits{k} long" for k in range(MARKS))
+    sets = texts.join(asked, ["doc_key", "twin"]).select("text", "asked").mapInArrow(_whole_sets, schema)
+    sets = materialise(sets.dropDuplicates(["lid"]), "line-sets")  # rows that repeat id and text are one document
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (x, y) with ``matches`` and the Jaccard ``distance`` of their whole sets."""
-    one = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
-    other = sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
-    rows = pairs.join(one, "x").join(other, "y")
-    rows = rows.select("x", "y", F.size(F.array_intersect("tx", "ty")).alias("both"), (F.size("tx") + F.size("ty")).alias("sum"))
-    union = F.col("sum") - F.col("both")
-    return rows.select("x", "y", (F.col("both") * 100 >= MIN_PERCENT * union).alias("matches"), (1 - F.col("both") / union).alias("distance"))
-
-
-def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(mark, id): the first line of every distinct long enough text; (id): those of them that an
-    earlier line matches. Both materialised."""
-    table = frequency_table(docs)
-    size = F.size("tokens")
-    prefix = F.slice("tokens", 1, size - F.ceil(size * MIN_PERCENT / 100).cast("int") + 1)
-    lines = _places(docs).select("id", F.xxhash64("line").alias("mark"), "line")
-    lines = _tokens(F.col("line"), table, lines, ["id", "mark"]).select("id", "mark", size.alias("m"), prefix.alias("prefix"))
-    first = lines.groupBy("mark").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("prefix").alias("prefix"))
-    first = materialise(first, "line-first").filter("m > 0")
-
-    entries = first.select("id", "m", F.posexplode("prefix").alias("at", "token"))
-    walk = Window.partitionBy("token").orderBy("id")
-    head = F.first("id").over(walk.rowsBetween(Window.unboundedPreceding, 0))
-    entries = entries.select("*", F.lag("id").over(walk).alias("before"), F.lead("id").over(walk).alias("after"), head.alias("head"))
-    entries = materialise(entries.filter("before is not null or after is not null").drop("after"), "line-postings")
-    whole, first = first, materialise(first.select("mark", "id"), "line-marks")
-    release(whole)
-
-    involved = entries.select("id").distinct().groupBy(F.col("id.doc_key").alias("__key"), F.col("id.twin").alias("__twin"))
-    involved = materialise(involved.agg(F.collect_list("id.line_no").alias("__lines")), "line-involved")
-    asked = F.broadcast(involved) if involved.count() <= BROADCAST_DOCS else involved
-    texts = docs.join(asked, (_key() == F.col("__key")) & (_twin() == F.col("__twin")))
-    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
-    texts = texts.select("__key", "__twin", F.explode(F.filter(numbered, lambda x: F.array_contains("__lines", x["line_no"]))).alias("x"))
-    place = F.struct(F.col("__key").alias("doc_key"), F.col("x.line_no").alias("line_no"), F.col("__twin").alias("twin"))
-    texts = texts.select(place.alias("id"), F.col("x.line").alias("line"))
-    sets = materialise(_tokens(F.col("line"), table, texts, ["id"]), "line-sets")
-
-    # One pivot for each line, the earliest line in its lists: a star, not pairs.
-    pivots = materialise(entries.groupBy("id").agg(F.min("head").alias("pivot"), F.mode("before", True).alias("usual")), "line-pivots")
-    star = _overlaps(pivots.filter("pivot <> id").select(F.col("id").alias("x"), F.col("pivot").alias("y")), sets)
-    star = materialise(star.select(F.col("x").alias("id"), "matches", "distance"), "line-star")
-    gone = star.filter("matches").select("id")
-    open_ = pivots.filter("usual is not null and usual <> pivot").join(gone, "id", "left_anti")
-    near = _overlaps(open_.select(F.col("id").alias("x"), F.col("usual").alias("y")), sets)
-    near = materialise(near.filter("matches").select(F.col("x").alias("id")), "line-near")
-    gone = gone.union(near)
+    # Two earlier lines for each line, the heads of its lists: stars, not pairs.
+    ask = F.explode(F.array_distinct(F.array("pivot", "other")))
+    star = pivots.select(F.col("lid").alias("x"), ask.alias("y")).filter("y < x")
+    star = materialise(_measured(star, sets), "line-star")
+    gone = star.filter("matches").select(F.col("x").alias("lid")).distinct()
 
     # Every earlier candidate of the lines that neither explains. What cannot match is ruled out in the
     # join: by sizes, by position, by marks (a token that only one set has changes at most one bit),
-    # and, Jaccard distance being a metric, by distances to the same pivot that differ too much.
-    facts = sets.select("id", *[_bits(k).alias(f"bits{k}") for k in range(_MARKS)]).join(pivots.select("id", "pivot"), "id")
-    facts = facts.join(star.select("id", "distance"), "id", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    known = materialise(entries.select("token", "id", "m", "at", F.col("before").isNotNull().alias("later")).join(facts, "id"), "line-known")
-    release(entries)
-    left = known.filter("later").join(gone, "id", "left_anti")
-    right = known.select(*[F.col(c).alias(f"{c}_y") for c in ("token", "id", "m", "at", "pivot", "distance", *[f"bits{k}" for k in range(_MARKS)])])
-    differ = sum((F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"bits{k}_y"))) for k in range(_MARKS)), F.lit(0))
+    # and, Jaccard distance being a metric, by distances to the same head that differ too much.
+    far = star.join(pivots.select(F.col("lid").alias("x"), F.col("pivot").alias("y")), ["x", "y"]).select(F.col("x").alias("lid"), "distance")
+    facts = pivots.join(far, "lid", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    left = facts.filter("pivot < lid").join(gone, "lid", "left_anti")
+    # Only lists that hold such a line go on.
+    lists = shared.join(left.select("lid"), "lid", "left_semi").filter("head < lid").select("token").distinct()
+    bits = [f"bits{k}" for k in range(MARKS)]
+    known = shared.select("token", "lid", "m", "at").join(lists, "token", "left_semi").join(facts, "lid").join(sets.select("lid", *bits), "lid")
+    known = materialise(known, "line-known")
+    release(shared)
+    names = ["token", "lid", "m", "at", "pivot", "distance", *bits]
+    right = known.select(*[F.col(c).alias(f"{c}_y") for c in names])
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_y"))) for b in bits), F.lit(0))
     fits = (
         (F.col("token") == F.col("token_y"))
-        & (F.col("id_y") < F.col("id"))
+        & (F.col("lid_y") < F.col("lid"))
         & (F.least("m", "m_y") * 100 >= F.greatest("m", "m_y") * MIN_PERCENT)
         & (F.least(F.col("m") - F.col("at"), F.col("m_y") - F.col("at_y")) >= _needed("m", "m_y"))
         & (differ <= F.col("m") + F.col("m_y") - 2 * _needed("m", "m_y"))
-        & (F.col("id_y") != F.col("pivot"))
+        & (F.col("lid_y") != F.col("pivot"))
+        & (F.col("lid_y") != F.col("other"))
         & ((F.col("pivot") != F.col("pivot_y")) | (F.abs(F.col("distance") - F.col("distance_y")) <= (100 - MIN_PERCENT) / 100 + 1e-9))
     )
-    rest = materialise(left.join(right, fits).select(F.col("id").alias("x"), F.col("id_y").alias("y")).distinct(), "line-rest")
-    also = _overlaps(rest, sets).filter("matches").select(F.col("x").alias("id"))
+    rest = known.join(gone, "lid", "left_anti").join(right, fits).select(F.col("lid").alias("x"), F.col("lid_y").alias("y")).distinct()
+    also = _measured(rest, sets).filter("matches").select(F.col("x").alias("lid"))
     matched = materialise(gone.union(also).distinct(), "line-matched")
-    for used in (involved, sets, pivots, star, near, known, rest):
+    for used in (pivots, sets, star, known):
         release(used)
-    return first, matched
+    return matched
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(__key, __twin, __gone): the numbers of the lines of each document of ``docs`` (doc_id, text)
+    """(doc_key, twin, gone): the numbers of the lines of each document of ``docs`` (doc_id, text)
     that an earlier line matches, materialised."""
-    docs = docs.select("doc_id", "text")
-    first, gone = _repeated(docs)
-    flagged = first.join(gone.withColumn("matched", F.lit(True)), "id", "left")
-    lines = _places(docs).select(F.col("id").alias("at"), F.xxhash64("line").alias("mark"))
-    lines = lines.join(flagged, "mark").filter("matched or id <> at")
-    place = [F.col("at.doc_key").alias("__key"), F.col("at.twin").alias("__twin")]
-    found = lines.groupBy(*place).agg(F.collect_set("at.line_no").alias("__gone"))
+    texts = _identified(docs.filter(F.col("text").isNotNull()))
+    ranks = docs.sparkSession.sparkContext.broadcast(token_ranks(texts))
+    schema = "doc_key long, twin binary, line_no int, mark binary, m int, prefix array<long>"
+    lines = materialise(texts.mapInArrow(_prefixed(ranks), schema), "line-prefixes")
+    place = ["doc_key", "twin", "line_no"]
+    first = lines.groupBy("mark").agg(F.min(F.struct(*place)).alias("id"), F.count("*").alias("n"), F.first("m").alias("m"), F.first("prefix").alias("prefix"))
+    first = first.select("mark", "id.*", "n", "m", "prefix").repartitionByRange(*place).sortWithinPartitions(*place)
+    first = materialise(first.withColumn("lid", F.monotonically_increasing_id()), "line-first")
+    matched = _later_matches(first, texts)
+
+    gone = first.join(matched, "lid", "left_semi").select("mark", *place)
+    again = first.filter("n > 1").select("mark", F.struct(*place).alias("id"))
+    again = lines.select("mark", *place).join(again, "mark").filter(F.struct(*place) != F.col("id")).select(*place)
+    found = gone.select(*place).union(again).groupBy("doc_key", "twin").agg(F.collect_set("line_no").alias("gone"))
     found = materialise(found, "line-removed")
-    release(first)
-    release(gone)
+    for used in (lines, first, matched):
+        release(used)
     return found
 
 
-def deduplicated_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the removed lines cut out of ``text`` (and ``n_chars`` set anew if
-    there is one), plus ``__lines`` and ``__removed``, the counts of lines and of removed ones."""
-    gone = removed_lines(docs)
-    joined = docs.join(gone, (_key() == F.col("__key")) & (_twin() == F.col("__twin")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    columns = []
-    for name in docs.columns:
-        if name == "text":
-            columns.append(text.alias("text"))
-        elif name == "n_chars":
-            columns.append(F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{name}`"))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    return joined.select(*columns, lines.alias("__lines"), removed.alias("__removed"))
+def _rewritten(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text changed, columns named by position, so that no name clashes: ``c0``, ``c1``, ...,
+    then ``lines`` and ``removed``, the counts of lines and of removed ones."""
+    place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    text, own = F.col(place["text"]), docs.toDF(*place.values())
+    gone = removed_lines(own.select(F.col(place["doc_id"]).alias("doc_id"), text.alias("text")))
+    keys = _identified(own.select("*", F.col(place["doc_id"]).alias("doc_id"), text.alias("text")), *own.columns).drop("text")
+    joined = keys.join(gone, ["doc_key", "twin"], "left")
+    split = F.split(text, "\n")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
+    rest = F.array_join(F.transform(numbers, lambda i: F.get(split, i)), "\n")
+    joined = joined.withColumn("rest", F.when(F.col("gone").isNull(), text).otherwise(rest))
+    columns = {name: F.col(c) for name, c in place.items()} | {"text": F.col("rest")}
+    if "n_chars" in place:
+        length = F.when(F.col("gone").isNull(), F.col(place["n_chars"])).otherwise(F.length("rest"))
+        columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    lines = F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long")
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return joined.select(*[columns[name].alias(c) for name, c in place.items()], lines.alias("lines"), removed.alias("removed"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with every later matching line removed; all rows and columns stay."""
-    return deduplicated_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with every later matching line removed (and ``n_chars`` set anew if there is one); all rows
+    and columns stay."""
+    return _rewritten(docs).drop("lines", "removed").toDF(*docs.columns)
+
+
+def line_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, the text that is left, and the counts of lines and of removed ones for every row of ``docs``."""
+    return _rewritten(docs.select("doc_id", "text")).toDF("doc_id", "text", "n_lines", "n_removed")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = deduplicated_lines(docs)
-    return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+    done = line_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
 
 
 OP10_SQL = r"""
@@ -253,7 +272,7 @@ words AS (
   SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines),
 tokens AS (
   SELECT DISTINCT doc_id, line_no, md5(array_to_string(w[i : i + 4], ' ')) AS t
-  FROM (SELECT doc_id, line_no, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+  FROM (SELECT doc_id, line_no, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
 sets AS (
   SELECT doc_id, line_no, md5(string_agg(t, '' ORDER BY t)) AS s, count(*) AS n FROM tokens GROUP BY ALL),
 firsts AS (SELECT s, n, min((doc_id, line_no)) AS id FROM sets GROUP BY ALL),

@@ -1,0 +1,154 @@
+"""Word hashes and line shingles of whole batches, from Arrow's buffers, without a Python object a word.
+
+A word's hash is a polynomial over a random value for each byte, taken from one running sum over the
+bytes; a shingle's hash is a polynomial over its words' hashes. Both are modulo 2**64 and mixed.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+
+from cuegrid.llm.text import mix64, window_hashes
+
+#: Bytes whose running sums are held at a time, and bytes of text worked on at a time.
+PIECE = 1 << 18
+CHUNK = 1 << 20
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_SHORT = np.uint64(0xA0761D6478BD642F)
+_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE), np.full(n, _BASE_INVERSE)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _piece_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _powers(max(PIECE, 1 << int(len(raw)).bit_length()))
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_VALUES[raw] * up[: len(raw)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_spans(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of ``raw``, cut at the six ASCII blanks and at ``breaks``."""
+    solid = ~_BLANK[raw]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = breaks[(breaks > 0) & (breaks < len(raw))]
+    first[inner] = solid[inner]
+    last[inner - 1] = solid[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        # Whole words, of about a piece together; a longer word is alone.
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
+        low = starts[at]
+        hashes[at:stop] = _piece_hashes(raw[low : ends[stop - 1]], starts[at:stop] - low, ends[at:stop] - low)
+        at = stop
+    return starts, hashes
+
+
+@dataclass(frozen=True)
+class Lines:
+    """The lines of some documents that hold a word, and their shingles in no order."""
+
+    doc: np.ndarray  # index of the document
+    number: np.ndarray  # of the line in its document, from 0
+    start: np.ndarray  # bytes in ``raw``
+    stop: np.ndarray
+    raw: np.ndarray
+    line: np.ndarray  # of each shingle: index of the line
+    token: np.ndarray
+
+    def digests(self) -> list[bytes]:
+        view = memoryview(self.raw)
+        return [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)]
+
+    def sets(self, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, tokens): every line's distinct tokens, by rank (of the token's low bits) and value."""
+        return ordered_sets(self.line, self.token, len(self.doc), ranks)
+
+
+def ordered_sets(line: np.ndarray, token: np.ndarray, lines: int, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    rank = np.zeros(len(token), np.uint64) if ranks is None else ranks[token & np.uint64(len(ranks) - 1)].astype(np.uint64)
+    wide = np.uint64(int(lines).bit_length())
+    key = line.astype(np.uint64) << (np.uint64(64) - wide) | (rank << np.uint64(57) | token >> np.uint64(7)) >> wide
+    order = np.argsort(key)
+    key, own, found = key[order], line[order], token[order]
+    same = key[1:] == key[:-1]
+    if np.any(found[1:][same] != found[:-1][same]):
+        # Tokens that differ in the bits that the key had no room for.
+        order = np.lexsort((token, rank, line))
+        own, found = line[order], token[order]
+        same = own[1:] == own[:-1]
+    keep = np.ones(len(found), bool)
+    keep[1:] = ~(same & (found[1:] == found[:-1]))
+    own, found = own[keep], found[keep]
+    return np.concatenate([[0], np.cumsum(np.bincount(own, minlength=lines))]), found
+
+
+def line_shingles(texts: pa.Array, width: int, wanted: list | None = None) -> Iterator[tuple[int, Lines]]:
+    """The lines of consecutive documents, some at a time, with the index of the first of these documents.
+
+    A line of fewer than ``width`` words is one shingle; the words of different lines never meet.
+    ``wanted`` may name, by document, the numbers of the lines to keep.
+    """
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+    texts = texts.fill_null("").cast(kind)
+    size = np.int64 if kind == pa.large_binary() else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], size)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] is not None else np.empty(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
+        yield first, _lines(data[offsets[first] : offsets[stop]], offsets[first : stop + 1] - offsets[first], width, None if wanted is None else wanted[first:stop])
+        first = stop
+
+
+def _lines(raw: np.ndarray, bounds: np.ndarray, width: int, wanted: list | None) -> Lines:
+    starts, words = word_spans(raw, bounds)
+    breaks = np.flatnonzero(raw == 10)
+    nth = np.searchsorted(breaks, starts)
+    doc = np.searchsorted(bounds, starts, "right") - 1
+    change = np.ones(len(starts), bool)
+    change[1:] = (nth[1:] != nth[:-1]) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(change)
+    own = np.cumsum(change, dtype=np.int32) - np.int32(1)
+    nth, doc = nth[head], doc[head]
+    number = nth - np.searchsorted(breaks, bounds[doc])
+    edges = np.concatenate([[-1], breaks, [len(raw)]])
+    begin, end = np.maximum(bounds[doc], edges[nth] + 1), np.minimum(bounds[doc + 1], edges[nth + 1])
+    length = np.diff(np.append(head, len(starts)))
+    whole = np.ones(max(0, len(words) - width + 1), bool)
+    whole &= own[: len(whole)] == own[width - 1 :]
+    line, token = own[: len(whole)][whole], window_hashes(words, width)[whole]
+    short = np.flatnonzero(length < width)
+    if len(short):
+        sums = np.full(len(short), _SHORT) * length[short].astype(np.uint64)
+        for k in range(width - 1):
+            more = length[short] > k
+            sums[more] = sums[more] * _BASE + words[head[short[more]] + k]
+        line, token = np.concatenate([line, short.astype(np.int32)]), np.concatenate([token, mix64(sums)])
+    if wanted is None:
+        return Lines(doc, number, begin, end, raw, line, token)
+    sets = [None if w is None else set(w) for w in wanted]
+    keep = np.fromiter((sets[d] is not None and n in sets[d] for d, n in zip(doc.tolist(), number.tolist(), strict=True)), bool, len(doc))
+    place = np.cumsum(keep) - 1
+    held = keep[line]
+    return Lines(doc[keep], number[keep], begin[keep], end[keep], raw, place[line[held]].astype(np.int32), token[held])

@@ -1,20 +1,24 @@
 import random
 import re
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cuegrid.llm import line_dedup as ld
+from cuegrid.llm.shingles import line_shingles, ordered_sets
 from tests.llm.helpers import DOC, documents, frame, prose
 
 
 def tokens(line):
     w = re.findall(r"[^\x20\x09-\x0D]+", line)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else set()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
 def brute(rows):
     """Text after removal, by row; rows that repeat id and text are one document."""
-    docs = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=lambda d: d[:2])
+    docs = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=lambda d: (*d[:2], md5(d[2].encode()).hexdigest()))
     lines = [(d, n, line, tokens(line)) for d in docs for n, line in enumerate(d[2].split("\n"))]
     gone = set()
     for i, (d, n, _, s) in enumerate(lines):
@@ -49,15 +53,73 @@ def test_families_of_lines(spark):
 
 def test_columns_and_counts(spark):
     line = "these six words are one line"
-    rows = [(1, f"{line}\nshort one", "en", "s", 37, "a", 1), (2, f"{line}\nshort one", "en", "s", 37, "b", 2), (3, None, None, None, None, None, 3)]
+    rows = [(1, f"{line}\nshort one", "en", "s", 37, "a", 1), (2, f"{line}\nshort two", "en", "s", 37, "b", 2), (3, None, None, None, None, None, 3)]
     df = spark.createDataFrame(rows, DOC + ", tokens string, id int")
     out = {r.doc_id: r for r in ld.drop_repeated_lines(df).collect()}
     assert out[1].text == f"{line}\nshort one" and out[1].n_chars == 37
-    assert out[2].text == "short one" and out[2].n_chars == 9 and out[2].tokens == "b"
+    assert out[2].text == "short two" and out[2].n_chars == 9 and out[2].tokens == "b"
     assert out[3].text is None and out[3].n_chars is None
-    counts = {r.doc_id: (r["__lines"], r["__removed"]) for r in ld.deduplicated_lines(df).collect()}
+    counts = {r.doc_id: (r.n_lines, r.n_removed) for r in ld.line_counts(df).collect()}
     assert counts == {1: (2, 0), 2: (2, 1), 3: (0, 0)}
 
 
+def test_clashing_columns(spark):
+    names = ["__key", "__twin", "__gone", "__lines", "__removed", "gone", "twin", "doc_key", "lines", "removed", "rest", "c0", "row"]
+    df = spark.createDataFrame([(i, "one line of six plain words\n\n", *names) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = ld.drop_repeated_lines(df)
+    assert out.columns == df.columns
+    assert sorted(r.text for r in out.collect()) == ["\n", "\n", "one line of six plain words\n\n"]
+    assert all(list(r)[2:] == names for r in out.collect())
+
+
+def test_copied_short_and_blank_lines(spark):
+    text = "Read more about us\nshare this\n\n \t\nshare  this\nno"
+    rows = [(i, text if i < 5 else "yes\nno", None, None, 0) for i in range(6)]
+    got = {r.doc_id: r.text for r in ld.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert got[0] == "Read more about us\nshare this\n\n \t\nno" and got[3] == "\n \t" and got[5] == "yes"
+
+
+def test_many_texts_under_one_id(spark):
+    rows = [(7 if i % 2 else None, "\n".join(" ".join(f"w{i}x{k}{c}" for c in "abcdef") for k in range(3)), None, None, 0) for i in range(2000)]
+    got = ld.drop_repeated_lines(frame(spark, rows + [rows[4], rows[5]])).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(r[0], r[1]) for r in rows + [rows[4], rows[5]]], key=repr)
+
+
+def test_one_document_of_many_lines(spark):
+    lines = [f"line {i % 30_000} has some words of its own {i % 30_000}" for i in range(100_000)]
+    got = ld.drop_repeated_lines(frame(spark, [(1, "\n".join(lines), None, None, 0), (2, "", None, None, 0)])).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "\n".join(lines[:30_000]), 2: ""}
+
+
+def test_long_words_and_lines(spark):
+    rng = random.Random(3)
+    long = "x" * 700_000 + " y"
+    words = " ".join(f"{rng.randrange(10**6)}" for _ in range(200_000))
+    rows = [(1, f"{long}\n{words}", None, None, 0), (2, f"a {long}\n{words} z\n{long}", None, None, 0)]
+    got = {r.doc_id: r.text for r in ld.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: f"a {long}"}
+
+
+def test_shingles_do_not_depend_on_the_batch():
+    rng = random.Random(4)
+    texts = [r[1] for r in documents(2)] + ["\n", "a\n", "\na", "é \u3000\u00a0x " * 3, "\r\nq\x0bw e\x0cr t y"]
+    def sets(batch):
+        out = {}
+        for first, lines in line_shingles(pa.array(batch, pa.string()), 5):
+            bounds, tokens = lines.sets()
+            for i, (d, n) in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), strict=True)):
+                out[batch[first + d], n] = tuple(tokens[bounds[i] : bounds[i + 1]].tolist())
+        return out
+    whole = sets(texts)
+    assert whole == {k: v for t in texts for k, v in sets([t]).items()}
+    want = {(t, n): tokens(x) for t in texts if t is not None for n, x in enumerate(t.split("\n")) if tokens(x)}
+    assert {k: len(v) for k, v in whole.items()} == {k: len(v) for k, v in want.items()}
+    many = np.array([rng.randrange(2**64) for _ in range(5000)] * 2, np.uint64)
+    line = np.array([rng.randrange(3000) for _ in range(5000)] * 2, np.int32)
+    bounds, found = ordered_sets(line, many, 3000, np.array([5, 1], np.uint8))
+    for i in range(0, 3000, 97):
+        assert found[bounds[i] : bounds[i + 1]].tolist() == sorted(set(many[line == i].tolist()), key=lambda t: (5 if t % 2 == 0 else 1, t))
+
+
 def test_empty(spark):
     assert ld.drop_repeated_lines(frame(spark, [])).count() == 0
