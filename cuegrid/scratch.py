@@ -9,26 +9,30 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Writes that took longer are followed by a look for shuffle files that nothing needs any more.
-COLLECT_AFTER_S = 1.5
+#: Spark deletes the shuffle files of a query when the query ends, and not when the driver's
+#: garbage collector happens to find them unused.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is configured (tests)."""
+    """The session's checkpoint folder. Where none is configured a single machine (a local master, as
+    in tests) takes a folder of its own; a cluster has no folder that all executors share, which is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="cuegrid-"))
         root = _own[0]
+    if spark.conf.get(CLEANUP) != "true":
+        spark.conf.set(CLEANUP, "true")
     return root.rstrip("/")
 
 
@@ -46,26 +50,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """Write ``df`` once and read it back: later plans start from the files. ``batch_rows`` bounds the
-    Arrow batches of this write where single rows are large; the session's setting returns after it.
-
-    The shuffle files behind it are of no more use then. Spark drops them when the driver's JVM
-    finds their owners unreachable, so after a write of some length it is asked to look; else disks
-    fill up until it happens to.
-    """
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back: later plans start from the files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    began = time.monotonic()
-    usual = spark.conf.get(_BATCH)
-    try:
-        if batch_rows:
-            spark.conf.set(_BATCH, batch_rows)
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, usual)
-    if time.monotonic() - began > COLLECT_AFTER_S:
-        spark.sparkContext._jvm.System.gc()
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
