@@ -8,11 +8,11 @@ document or another. Lines without words match nothing and stay.
 1. Tokens get one global order, rarest first: hashed counts of the tokens themselves (SLOTS counts over all
    documents, so of a size fixed beforehand), in steps above the usual count of a slot. Any such
    order gives the same matches; rarity keeps the posting lists short.
-2. Lines of equal text collapse to the first, by an aggregation that combines before it shuffles; these are
-   numbered in their order, so that a line is one long from here on.
-3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. A posting
-   list is known by its first and last line, aggregated map-side; tokens of a single line drop out.
-   Each remaining line is held against two earlier ones, the heads of its lists. Confirmed ones go.
+2. Lines of equal text collapse to the first, by an aggregation that combines before it shuffles.
+3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. Tokens of a
+   single line drop out after an aggregation that combines before it shuffles, too; the lines that are
+   left are numbered in their order. Each is held against two earlier ones, the first lines
+   of its lists. Confirmed ones go.
 4. For the other lines every earlier line in their lists is a candidate unless sizes, positions, a 256-bit
    mark of the set or the distances to a common head exclude it; candidates are confirmed on the whole
    sets. So no match is missed, while thousands of near copies do not become rows of pairs.
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.llm.near_dedup import overlap
-from cuegrid.llm.shingles import line_shingles
+from cuegrid.llm.shingles import line_shingles, ordered_sets
 from cuegrid.scratch import materialise, release
 
 SHINGLE_WORDS = 5
@@ -49,6 +49,9 @@ STRIPE = 1 << 12
 STEPS = 5
 #: Longs in the mark of a token set.
 MARKS = 4
+#: What identifies a document, and a line.
+KEY = ["doc_key", "twin", "other_twin"]
+PLACE = [*KEY, "line_no"]
 
 
 def token_ranks(docs: DataFrame) -> np.ndarray:
@@ -83,10 +86,11 @@ def _stripes(numbers, counts) -> pa.RecordBatch:
 
 
 def _identified(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_key, twin, text: ``twin`` puts null ids last and tells apart texts under a repeated id."""
+    """doc_key, twin, other_twin, text: null ids have the largest key, and 128 bits of the text's hashes tell
+    apart texts under a repeated id."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    twin = F.concat(F.when(F.col("doc_id").isNull(), F.lit("01")).otherwise(F.lit("00")), F.md5(F.col("text")))
-    return docs.select(key.alias("doc_key"), F.unhex(twin).alias("twin"), "text", *more)
+    hashed = [F.xxhash64(F.lit(salt), F.col("doc_id").isNull(), "text").alias(name) for salt, name in enumerate(KEY[1:])]
+    return docs.select(key.alias("doc_key"), *hashed, "text", *more)
 
 
 def prefix_length(sizes):
@@ -94,40 +98,56 @@ def prefix_length(sizes):
     return sizes - -(-sizes * MIN_PERCENT // 100) + 1
 
 
+#: ``mark`` and ``other_mark`` are 128 bits of the line's text.
+_PREFIXED = "doc_key long, twin long, other_twin long, line_no int, mark long, other_mark long, prefix array<long>"
+
+
+def _prefix_of(bounds: np.ndarray, tokens: np.ndarray) -> pa.ListArray:
+    sizes = np.diff(bounds)
+    length = prefix_length(sizes)
+    keep = np.arange(len(tokens)) - np.repeat(bounds[:-1], sizes) < np.repeat(length, sizes)
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(tokens[keep].view(np.int64)))
+
+
+def _columns(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in schema.split(", ")])
+
+
 def _prefixed(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, lines in line_shingles(batch.column(2), SHINGLE_WORDS):
+            for first, lines in line_shingles(batch.column(3), SHINGLE_WORDS):
                 bounds, tokens = lines.sets(ranks.value)
-                sizes = np.diff(bounds)
-                length = prefix_length(sizes)
-                keep = np.arange(len(tokens)) - np.repeat(bounds[:-1], sizes) < np.repeat(length, sizes)
-                prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(tokens[keep].view(np.int64)))
+                marks = np.frombuffer(b"".join(lines.digests()), np.int64).reshape(-1, 2)
                 doc = pa.array(lines.doc + first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(doc), batch.column(1).take(doc), pa.array(lines.number.astype(np.int32)), pa.array(lines.digests(), pa.binary()), pa.array(sizes.astype(np.int32)), prefix],
-                    names=["doc_key", "twin", "line_no", "mark", "m", "prefix"],
-                )
+                yield _columns(_PREFIXED, [*[batch.column(i).take(doc) for i in range(3)], lines.number.astype(np.int32), *map(np.ascontiguousarray, marks.T), _prefix_of(bounds, tokens)])
 
     return run
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lid, m, tokens (by value) and the mark's longs of the lines asked for: (text, [(line_no, lid)])."""
-    for batch in batches:
-        asked = [{x["line_no"]: x["lid"] for x in row} for row in batch.column(1).to_pylist()]
-        for first, lines in line_shingles(batch.column(0), SHINGLE_WORDS, asked):
-            bounds, tokens = lines.sets()
-            lids = [asked[first + d][n] for d, n in zip(lines.doc.tolist(), lines.number.tolist(), strict=True)]
-            sizes = np.diff(bounds)
-            held = np.zeros((len(lids), 64 * MARKS), bool)
-            held[np.repeat(np.arange(len(lids)), sizes), (tokens & np.uint64(64 * MARKS - 1)).astype(np.int64)] = True
-            marks = np.packbits(held, axis=1).view(np.int64)
-            raw = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lids, pa.int64()), pa.array(raw, pa.binary()), *[pa.array(np.ascontiguousarray(marks[:, k])) for k in range(MARKS)]],
-                names=["lid", "tokens", *[f"bits{k}" for k in range(MARKS)]],
-            )
+#: ``tokens`` are in order of value; ``bits`` mark which of 64 * MARKS values their low bits take.
+_SETS = "lid long, m int, prefix array<long>, tokens binary, " + ", ".join(f"bits{k} long" for k in range(MARKS))
+
+
+def _whole_sets(ranks):
+    """Rows of ``_SETS`` for the lines asked for: (text, [(line_no, lid)])."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = [{x["line_no"]: x["lid"] for x in row} for row in batch.column(1).to_pylist()]
+            for first, lines in line_shingles(batch.column(0), SHINGLE_WORDS, asked):
+                bounds, tokens = lines.sets(ranks.value)
+                lids = [asked[first + d][n] for d, n in zip(lines.doc.tolist(), lines.number.tolist(), strict=True)]
+                sizes = np.diff(bounds)
+                own = np.repeat(np.arange(len(lids)), sizes)
+                held = np.zeros((len(lids), 64 * MARKS), bool)
+                held[own, (tokens & np.uint64(64 * MARKS - 1)).astype(np.int64)] = True
+                marks = np.packbits(held, axis=1).view(np.int64)
+                _, ordered = ordered_sets(own, tokens, len(lids), None)
+                raw = [ordered[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield _columns(_SETS, [pa.array(lids, pa.int64()), sizes.astype(np.int32), _prefix_of(bounds, tokens), pa.array(raw, pa.binary()), *map(np.ascontiguousarray, marks.T)])
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,17 +173,24 @@ def _needed(m: str, n: str) -> Column:
     return F.ceil((F.col(m) + F.col(n)) * MIN_PERCENT / (100 + MIN_PERCENT) - 1e-9)
 
 
-def _later_matches(first: DataFrame, texts: DataFrame) -> DataFrame:
-    """(lid) of the lines of ``first`` that an earlier one matches, materialised."""
-    entries = first.select("lid", "m", F.posexplode("prefix").alias("at", "token"))
-    heads = entries.groupBy("token").agg(F.min("lid").alias("head"), F.max("lid").alias("last")).filter("head < last").select("token", "head")
-    shared = materialise(entries.join(heads, "token"), "line-shared")
-    pivots = materialise(shared.groupBy("lid").agg(F.min("head").alias("pivot"), F.coalesce(F.max(F.when(F.col("head") < F.col("lid"), F.col("head"))), F.min("head")).alias("other")), "line-pivots")
-
-    asked = first.select("lid", "doc_key", "twin", "line_no").join(pivots.select("lid"), "lid", "left_semi")
-    asked = asked.groupBy("doc_key", "twin").agg(F.collect_list(F.struct("line_no", "lid")).alias("asked"))
-    schema = "lid long, tokens binary, " + ", ".join(f"bits{k} long" for k in range(MARKS))
-    sets = texts.join(asked, ["doc_key", "twin"]).select("text", "asked").mapInArrow(_whole_sets, schema)
+def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
+    """The places of the lines of ``first`` (lid, place, prefix) that an earlier one matches, materialised."""
+    entries = first.select("lid", F.explode("prefix").alias("token"))
+    lists = entries.groupBy("token").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter("low < high").select("token")
+    found = materialise(entries.join(lists, "token"), "line-lists")
+    # The lines that share a token are numbered in their order.
+    ordered = first.select("lid", *PLACE).join(found.select("lid").distinct(), "lid").repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+    ordered = materialise(ordered.withColumn("pos", F.monotonically_increasing_id()), "line-ordered")
+    shared = found.join(ordered.select("lid", "pos"), "lid").select("token", F.col("pos").alias("lid"))
+    heads = shared.groupBy("token").agg(F.min("lid").alias("head"))
+    shared = materialise(shared.join(heads, "token"), "line-shared")
+    release(found)
+    earlier = F.col("head") < F.col("lid")
+    pivots = shared.groupBy("lid").agg(F.min("head").alias("pivot"), F.coalesce(F.max(F.when(earlier, F.col("head"))), F.min("head")).alias("other"))
+    pivots = materialise(pivots, "line-pivots")
+
+    asked = ordered.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", F.col("pos").alias("lid"))).alias("asked"))
+    sets = texts.join(asked, KEY).select("text", "asked").mapInArrow(_whole_sets(ranks), _SETS)
     sets = materialise(sets.dropDuplicates(["lid"]), "line-sets")  # rows that repeat id and text are one document
 
     # Two earlier lines for each line, the heads of its lists: stars, not pairs.
@@ -181,8 +208,10 @@ def _later_matches(first: DataFrame, texts: DataFrame) -> DataFrame:
     # Only lists that hold such a line go on.
     lists = shared.join(left.select("lid"), "lid", "left_semi").filter("head < lid").select("token").distinct()
     bits = [f"bits{k}" for k in range(MARKS)]
-    known = shared.select("token", "lid", "m", "at").join(lists, "token", "left_semi").join(facts, "lid").join(sets.select("lid", *bits), "lid")
-    known = materialise(known, "line-known")
+    members = shared.join(lists, "token", "left_semi").select("lid").distinct()
+    known = sets.select("lid", "m", *bits, "prefix").join(members, "lid").join(facts, "lid")
+    known = known.select("lid", "m", "pivot", "other", "distance", *bits, F.posexplode("prefix").alias("at", "token"))
+    known = materialise(known.join(lists, "token", "left_semi"), "line-known")
     release(shared)
     names = ["token", "lid", "m", "at", "pivot", "distance", *bits]
     right = known.select(*[F.col(c).alias(f"{c}_y") for c in names])
@@ -200,31 +229,30 @@ def _later_matches(first: DataFrame, texts: DataFrame) -> DataFrame:
     rest = known.join(gone, "lid", "left_anti").join(right, fits).select(F.col("lid").alias("x"), F.col("lid_y").alias("y")).distinct()
     also = _measured(rest, sets).filter("matches").select(F.col("x").alias("lid"))
     matched = materialise(gone.union(also).distinct(), "line-matched")
-    for used in (pivots, sets, star, known):
+    result = materialise(ordered.join(matched, F.col("pos") == matched["lid"], "left_semi").select(*PLACE), "line-later")
+    for used in (ordered, pivots, sets, star, known, matched):
         release(used)
-    return matched
+    return result
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_key, twin, gone): the numbers of the lines of each document of ``docs`` (doc_id, text)
-    that an earlier line matches, materialised."""
+    """The KEY of a document and ``gone``, the numbers of its lines that an earlier line matches, for
+    the documents of ``docs`` (doc_id, text) that have such lines; materialised."""
     texts = _identified(docs.filter(F.col("text").isNotNull()))
     ranks = docs.sparkSession.sparkContext.broadcast(token_ranks(texts))
-    schema = "doc_key long, twin binary, line_no int, mark binary, m int, prefix array<long>"
-    lines = materialise(texts.mapInArrow(_prefixed(ranks), schema), "line-prefixes")
-    place = ["doc_key", "twin", "line_no"]
-    first = lines.groupBy("mark").agg(F.min(F.struct(*place)).alias("id"), F.count("*").alias("n"), F.first("m").alias("m"), F.first("prefix").alias("prefix"))
-    first = first.select("mark", "id.*", "n", "m", "prefix").repartitionByRange(*place).sortWithinPartitions(*place)
-    first = materialise(first.withColumn("lid", F.monotonically_increasing_id()), "line-first")
-    matched = _later_matches(first, texts)
-
-    gone = first.join(matched, "lid", "left_semi").select("mark", *place)
-    again = first.filter("n > 1").select("mark", F.struct(*place).alias("id"))
-    again = lines.select("mark", *place).join(again, "mark").filter(F.struct(*place) != F.col("id")).select(*place)
-    found = gone.select(*place).union(again).groupBy("doc_key", "twin").agg(F.collect_set("line_no").alias("gone"))
-    found = materialise(found, "line-removed")
-    for used in (lines, first, matched):
-        release(used)
+    lines = materialise(texts.mapInArrow(_prefixed(ranks), _PREFIXED), "line-prefixes")
+    mark, place = ["mark", "other_mark"], F.struct(*PLACE)
+    first = lines.groupBy(*mark).agg(F.min(place).alias("id"), F.count("*").alias("n"), F.first("prefix").alias("prefix"))
+    first = materialise(first.select(*mark, "id.*", "n", "prefix").withColumn("lid", F.monotonically_increasing_id()), "line-first")
+    again = first.filter("n > 1").select(*mark, place.alias("id"))
+    again = lines.select(*mark, *PLACE).join(again, mark).filter(place != F.col("id")).select(*PLACE)
+    again = materialise(again, "line-again")
+    release(lines)
+    later = _later_matches(first, texts, ranks)
+    release(first)
+    found = materialise(later.union(again).groupBy(*KEY).agg(F.collect_set("line_no").alias("gone")), "line-removed")
+    release(later)
+    release(again)
     return found
 
 
@@ -235,7 +263,7 @@ def _rewritten(docs: DataFrame) -> DataFrame:
     text, own = F.col(place["text"]), docs.toDF(*place.values())
     gone = removed_lines(own.select(F.col(place["doc_id"]).alias("doc_id"), text.alias("text")))
     keys = _identified(own.select("*", F.col(place["doc_id"]).alias("doc_id"), text.alias("text")), *own.columns).drop("text")
-    joined = keys.join(gone, ["doc_key", "twin"], "left")
+    joined = keys.join(gone, KEY, "left")
     split = F.split(text, "\n")
     numbers = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
     rest = F.array_join(F.transform(numbers, lambda i: F.get(split, i)), "\n")

@@ -121,7 +121,26 @@ def line_shingles(texts: pa.Array, width: int, wanted: list | None = None) -> It
         first = stop
 
 
+def _only(raw: np.ndarray, bounds: np.ndarray, wanted: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, bounds, document, number) of the wanted lines alone, each line a text of its own."""
+    breaks = np.append(np.flatnonzero(raw == 10), len(raw))
+    before = np.searchsorted(breaks, bounds[:-1])
+    doc = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
+    number = np.array([n for w in wanted for n in sorted(w)], np.int64)
+    nth = before[doc] + number
+    edges = np.concatenate([[-1], breaks])
+    start, stop = np.maximum(bounds[doc], edges[nth] + 1), np.minimum(bounds[doc + 1], breaks[nth])
+    view = memoryview(raw)
+    joined = b"".join([view[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
+    return np.frombuffer(joined, np.uint8), np.concatenate([[0], np.cumsum(stop - start)]), doc, number
+
+
 def _lines(raw: np.ndarray, bounds: np.ndarray, width: int, wanted: list | None) -> Lines:
+    if wanted is not None:
+        # The lines become documents of one line.
+        raw, bounds, owner, numbers = _only(raw, bounds, wanted)
+        found = _lines(raw, bounds, width, None)
+        return Lines(owner[found.doc], numbers[found.doc], found.start, found.stop, raw, found.line, found.token)
     starts, words = word_spans(raw, bounds)
     breaks = np.flatnonzero(raw == 10)
     nth = np.searchsorted(breaks, starts)
@@ -145,10 +164,4 @@ def _lines(raw: np.ndarray, bounds: np.ndarray, width: int, wanted: list | None)
             more = length[short] > k
             sums[more] = sums[more] * _BASE + words[head[short[more]] + k]
         line, token = np.concatenate([line, short.astype(np.int32)]), np.concatenate([token, mix64(sums)])
-    if wanted is None:
-        return Lines(doc, number, begin, end, raw, line, token)
-    sets = [None if w is None else set(w) for w in wanted]
-    keep = np.fromiter((sets[d] is not None and n in sets[d] for d, n in zip(doc.tolist(), number.tolist(), strict=True)), bool, len(doc))
-    place = np.cumsum(keep) - 1
-    held = keep[line]
-    return Lines(doc[keep], number[keep], begin[keep], end[keep], raw, place[line[held]].astype(np.int32), token[held])
+    return Lines(doc, number, begin, end, raw, line, token)
