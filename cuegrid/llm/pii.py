@@ -1,13 +1,15 @@
 """Personal data by bootstrapped contextual extraction (operator 5).
 
-Four base kinds are found by pattern and check (length, octet range, Luhn). They are the seeds: the
-words around every seed, and around every other candidate, are lexical patterns. Patterns
-and instances form a weighted bipartite graph whose scores Spark iterates: a pattern is as good as
-the share of its occurrences that surround instances of one kind, an instance is as good as its
-patterns together (noisy or). Candidates are taken by shape over the text: runs of one or more
-number-like tokens, and addresses with @, (at) or [at]. Those that no base pattern knows but that stand
-in high-confidence patterns of one kind, and look like that kind, are added as ``context_<kind>`` spans;
-of nested ones of a kind the longest.
+Four base kinds are found by pattern and check (length, octet range, Luhn). They are seeds, and so are
+strings in the format of a digest or of a known access key, for the fifth kind, secrets. The words around
+every seed, and around every other candidate, are lexical patterns. Patterns and instances form a
+bipartite graph whose scores Spark iterates: a pattern is as good as the share of its distinct instances
+that are of one kind (those of unknown kind that look like it are left out), an instance is as good as
+its patterns together (noisy or). Candidates are taken by shape over the text: runs of one or more
+number-like tokens, addresses with @, (at) or [at], and long strings of letters and digits. Those that no
+base pattern knows but that stand in high-confidence patterns of one kind, and look like that kind,
+are added as ``context_<kind>`` spans; of nested ones of a kind the longest. A string in the format of a
+secret is reported only so: a digest in a context of no confidence is none.
 
 Python only reads each text once; the graph carries 64-bit digests, never the values. Mentions
 are a small fraction of the text, every aggregation over them combines before it shuffles, and
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from cuegrid.scratch import materialise
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the graph.
+ALL_KINDS = (*KINDS, "secret")
 #: Rounds of scoring.
 ROUNDS = 3
 #: A pattern counts from this score and this many distinct seeds on, an instance from this score on.
@@ -53,6 +57,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_HAS_LETTER = re.compile(r"[A-Za-z]")
 _RUN = re.compile(r"[+(]?[0-9](?:[ ().:-]*+[0-9])*+")
 _PIECE = re.compile(r"[^ ]+")
 _AT = re.compile(r"@|\(at\)|\[at\]")
@@ -64,6 +69,9 @@ _SHAPES = {
     "card": re.compile(r"(?:[0-9][ -]?){11,18}[0-9]"),
     "phone": re.compile(r"[+(]?[0-9](?:[ ().-]*[0-9]){6,14}"),
 }
+_LONG = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")
+#: Formats that are known without any context: digests in hexadecimal, access keys by their prefix.
+_SECRET_SEED = re.compile(r"[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -111,14 +119,22 @@ def _digest(value: str) -> int:
 
 
 def _contexts(text: str, start: int, end: int) -> list[int]:
-    """Digests of the patterns around a span: the two words before, and one word on each side."""
-    left = [w.strip(_TRIM).lower() for w in text[max(0, start - REACH) : start].split()[-2:]]
-    right = [w.strip(_TRIM).lower() for w in text[end : end + REACH].split()[:1]]
+    """Digests of the patterns around a span: one and two words before, one on each side, two after.
+    A word is taken without its punctuation, and punctuation alone as it is."""
+    bare = lambda words: [w.strip(_TRIM).lower() or w for w in words]
+    left, right = bare(text[max(0, start - REACH) : start].split()[-2:]), bare(text[end : end + REACH].split()[:2])
+    # What is glued to the span is no word.
+    if left and start and not text[start - 1].isspace() and not left[-1][-1].isalnum() and len(left) > 1 and set(left[-1]) <= set("\"'`([{<"):
+        left = bare(text[max(0, start - REACH) : start].split()[-3:-1])
     patterns = []
-    if len(left) == 2 and all(left):
+    if left:
+        patterns.append(f"{left[-1]} _")
+    if len(left) == 2:
         patterns.append(f"{left[0]} {left[1]} _")
-    if left and right and left[-1] and right[0]:
+    if left and right:
         patterns.append(f"{left[-1]} _ {right[0]}")
+    if len(right) == 2:
+        patterns.append(f"_ {right[0]} {right[1]}")
     return [_digest(p) for p in patterns]
 
 
@@ -177,6 +193,14 @@ def address_spans(text: str) -> Iterator[tuple[int, int]]:
             yield first, last
 
 
+def secret_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Strings of 16 letters and digits or more with at least four digits and a letter."""
+    for m in _LONG.finditer(text):
+        value = m.group()
+        if len(value) <= MAX_LENGTH and len(_DIGITS.findall(value)) >= 4 and any(map(str.isalpha, value)):
+            yield m.span()
+
+
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
     """(kind or None, kinds the span looks like, instance, start, end, patterns) of the seeds and of
     the candidates outside them."""
@@ -195,6 +219,13 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
                 found.append((None, like, _digest(value.lower()), a, b, patterns))
         # A number inside an address is no candidate of its own.
         taken = sorted((m[3], m[4]) for m in found)
+    k = 0
+    for a, b in secret_spans(text):
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if (k == len(taken) or taken[k][0] >= b) and (patterns := _contexts(text, a, b)):
+            value = text[a:b]
+            found.append(("secret" if _SECRET_SEED.fullmatch(value) and _HAS_LETTER.search(value) else None, ["secret"], _digest(value.lower()), a, b, patterns))
     return found
 
 
@@ -223,30 +254,33 @@ def confident(mention: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     ``mention``: kind, shapes, instance, pattern, one row per occurrence and pattern.
     """
-    spark = mention.sparkSession
-    edges = mention.groupBy("pattern", "instance").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("kind") == k, 1.0).otherwise(0.0)).alias(k) for k in KINDS])
-    # Patterns without an unknown instance can discover nothing.
-    open_ = mention.filter("kind is null").select("pattern").distinct()
+    known = [F.max(F.when(F.col("kind") == k, 1.0).otherwise(0.0)).alias(k) for k in ALL_KINDS]
+    looks = [F.max(F.array_contains("shapes", k)).alias(f"like_{k}") for k in ALL_KINDS]
+    edges = mention.groupBy("pattern", "instance").agg(*known, *looks)
+    # Patterns without an instance to be found can discover nothing.
+    open_ = mention.filter("kind is null or kind = 'secret'").select("pattern").distinct()
     edges = materialise(edges.join(open_, "pattern", "left_semi"), "pii-edges")
-    seeds = edges.groupBy("instance").agg(*[F.max(k).alias(k) for k in KINDS])
+    seeds = edges.groupBy("instance").agg(*[F.max(k).alias(k) for k in ALL_KINDS])
     scores = seeds
     patterns = None
     for _ in range(rounds):
-        weighed = edges.select("pattern", "instance", "n").join(scores, "instance")
+        weighed = edges.select("pattern", "instance", *[f"like_{k}" for k in ALL_KINDS]).join(scores, "instance")
+        unknown = F.greatest(*ALL_KINDS) < MIN_INSTANCE
         patterns = weighed.groupBy("pattern").agg(
-            *[(F.sum(F.col("n") * F.col(k)) / (F.sum("n") + 1)).alias(k) for k in KINDS],
-            *[F.count(F.when(F.col(k) >= MIN_INSTANCE, 1)).alias(f"seeds_{k}") for k in KINDS],
+            *[(F.sum(F.when(F.col(k) >= MIN_INSTANCE, F.col(k)).otherwise(0.0)) / (F.count(F.when(~(unknown & F.col(f"like_{k}")), 1)) + 1)).alias(k) for k in ALL_KINDS],
+            *[F.count(F.when(F.col(k) >= MIN_INSTANCE, 1)).alias(f"seeds_{k}") for k in ALL_KINDS],
         )
         patterns = materialise(patterns, "pii-patterns")
-        trusted = patterns.select("pattern", *[F.when((F.col(k) >= MIN_PATTERN) & (F.col(f"seeds_{k}") >= MIN_SEEDS), F.col(k)).otherwise(0.0).alias(f"p_{k}") for k in KINDS])
-        learnt = edges.select("pattern", "instance").join(trusted, "pattern").groupBy("instance").agg(*[(1 - F.exp(F.sum(F.log(1 - F.least(F.col(f"p_{k}"), F.lit(0.999999)))))).alias(f"l_{k}") for k in KINDS])
-        scores = materialise(
-            seeds.join(learnt, "instance").select("instance", *[F.greatest(F.col(k), F.col(f"l_{k}")).alias(k) for k in KINDS]), "pii-scores"
-        )
-    best = F.array(*[F.struct(F.col(k).alias("score"), F.lit(k).alias("found")) for k in KINDS])
+        trusted = patterns.select("pattern", *[F.when((F.col(k) >= MIN_PATTERN) & (F.col(f"seeds_{k}") >= MIN_SEEDS), F.col(k)).otherwise(0.0).alias(f"p_{k}") for k in ALL_KINDS])
+        looks = edges.select("pattern", "instance", *[f"like_{k}" for k in ALL_KINDS]).join(trusted, "pattern")
+        # A pattern speaks only for instances that look like its kind.
+        miss = lambda k: F.log(1 - F.least(F.when(F.col(f"like_{k}"), F.col(f"p_{k}")).otherwise(0.0), F.lit(0.999999)))
+        learnt = looks.groupBy("instance").agg(*[(1 - F.exp(F.sum(miss(k)))).alias(f"l_{k}") for k in ALL_KINDS])
+        scores = materialise(seeds.join(learnt, "instance").select("instance", *[F.greatest(F.col(k), F.col(f"l_{k}")).alias(k) for k in ALL_KINDS]), "pii-scores")
+    best = F.array(*[F.struct(F.col(k).alias("score"), F.lit(k).alias("found")) for k in ALL_KINDS])
     named = scores.join(seeds.filter(" + ".join(KINDS) + " = 0").select("instance"), "instance", "left_semi").select("instance", F.array_max(best).alias("b"))
     named = named.filter(F.col("b.score") >= MIN_INSTANCE).select("instance", "b.found")
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("found"), F.col(k).alias("score"), F.col(f"seeds_{k}").alias("support")) for k in KINDS]))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("found"), F.col(k).alias("score"), F.col(f"seeds_{k}").alias("support")) for k in ALL_KINDS]))
     good = patterns.select("pattern", kinds.alias("p")).filter((F.col("p.score") >= MIN_PATTERN) & (F.col("p.support") >= MIN_SEEDS)).select("pattern", "p.found")
     return edges.select("pattern", "instance").join(named, "instance").join(good, ["pattern", "found"]).select("pattern", "instance", "found")
 
@@ -260,7 +294,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     mention = mention.select("row", "kind", "shapes", "instance", "start", "stop", F.explode("patterns").alias("pattern"))
     found = materialise(confident(mention), "pii-found")
     extra = (
-        mention.filter("kind is null")
+        mention.filter("kind is null or kind = 'secret'")
         .join(found, ["pattern", "instance"])
         .filter(F.array_contains("shapes", F.col("found")))
         .select("row", "start", "stop", F.concat(F.lit("context_"), "found").alias("kind"))
@@ -273,7 +307,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     line = F.array_join(F.transform("more", lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     joined = scanned.drop("mentions").join(extra, "row", "left")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("more").isNotNull(), line))
-    return joined.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
+    counted = sum((F.col(f"n_{k}") for k in KINDS), F.coalesce(F.size("more"), F.lit(0)).cast("long"))
+    return joined.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"), F.greatest(counted, F.lit(0)).alias("n_spans"))
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

@@ -6,14 +6,18 @@ archives (one gzip member per record) below a shared folder and hand back one ca
 reversed-host URL key, archive, offset, length. A task that is run again writes a new archive, and only
 the rows of the attempt that succeeded name one.
 
-Index: capture rows are range-sorted by key and packed into compressed blocks of BLOCK_LINES lines; the
-sparse directory holds each block's first key and place. A lookup searches the directory for the key's
-blocks by bisection, searches the lines of a block likewise, and then reads just the byte range of the
-capture. Reading everything back goes through the same blocks, archive by archive in offset order.
+Index: capture rows are range-sorted by key and packed into files of compressed blocks of BLOCK_LINES
+lines; at a file's end stands its sparse directory, each block's first and last key and place. A
+lookup bisects the files, the directory of a file and the lines of a block, and then reads just the byte
+range of the capture. Only a row a file (so one a task of the writing stage) is held by the driver.
+``read_back`` does that for the keys of a whole table: keys in order meet the directories, the blocks they
+point at are dealt to tasks and read once (a key with very many captures has many blocks), and captures
+are read archive by archive in offset order, so that neighbours share a read.
 
 Only slim rows (digest, page_id) are aggregated to find the groups, with partial aggregation before the
 shuffle, and the join back to the pages is one that Spark can split when a single payload is very
-frequent. Archives are written with pyarrow's file systems, so any store with a URI will do.
+frequent. Archives are written with pyarrow's file systems, so any store with a URI will do. Payloads
+of any length are held one at a time; other columns of the pages are ignored.
 
 Defined results: null html is an empty payload; a null url has the empty key; a page whose page_id is
 null can only be the response if no other page shares its payload; rows that repeat the smallest
@@ -43,6 +47,8 @@ from cuegrid.scratch import materialise, scratch_path
 MIN_REVISIT_BYTES = 100
 #: Captures in one compressed block of the index.
 BLOCK_LINES = 512
+#: Directories of index files that a task holds.
+HELD_DIRECTORIES = 16
 #: Bytes of an archive that are fetched at once when captures lie next to each other.
 READ_AHEAD = 1 << 20
 
@@ -51,18 +57,22 @@ _GZIP_LEVEL = 1
 
 def url_key(url: str | None) -> str:
     """``http://www.b.example/x?q`` -> ``example,b)/x?q``: host labels reversed, scheme, port, user,
-    a leading www and the fragment dropped, the host in lower case."""
+    a leading www and the fragment dropped, the host in lower case, tabs and line breaks escaped."""
     if not url:
         return ""
     try:
         parts = urlsplit(url.strip())
         host = (parts.hostname or "").lower()
     except ValueError:
-        return url
+        host = ""
     if not host:
-        return url
+        return _clean(url)
     labels = host.removeprefix("www.").split(".")
-    return ",".join(reversed(labels)) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return _clean(",".join(reversed(labels)) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else ""))
+
+
+def _clean(key: str) -> str:
+    return key.replace("\t", "%09").replace("\n", "%0A")
 
 
 def _record(kind: str, url: str, page_id: int | None, digest: str, size: int, refers_to: int | None, body: bytes) -> bytes:
@@ -146,9 +156,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return materialise(classify_pages(pages).mapInArrow(write, _CAPTURE), "warc-captures")
 
 
-def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Pack capture rows into compressed sorted blocks below ``folder``; the sparse directory
-    (first_key, last_key, file, offset, length, lines), materialised and sorted by first key."""
+_FILE = "first_key string, last_key string, file string, offset long, length long"
+
+
+def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Pack capture rows into index files below ``folder``; a row a file (its first and last key, and
+    the place of its directory), materialised."""
     order = ["url_key", "page_id", "archive", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +172,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
             nonlocal offset, lines
             block = zlib.compress("\n".join("\t".join(x) for x in lines).encode(), 6)
             out.write(block)
-            directory.append((lines[0][0], lines[-1][0], name, offset, len(block), len(lines)))
+            directory.append((lines[0][0], lines[-1][0], str(offset), str(len(block))))
             offset += len(block)
             lines = []
 
@@ -170,70 +183,130 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
                 name = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.cdxz"
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
             for key, page_id, archive, at, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                clean = key.replace("\t", "%09").replace("\n", "%0A")
-                lines.append((clean, "" if page_id is None else str(page_id), archive, str(at), str(length)))
-                if len(lines) == BLOCK_LINES:
+                lines.append((key, "" if page_id is None else str(page_id), archive, str(at), str(length)))
+                if len(lines) == block_lines:
                     flush()
+        if out is None:
+            return
         if lines:
             flush()
-        if out is not None:
-            out.close()
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        columns = list(zip(*directory, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["first_key", "last_key", "file", "offset", "length", "lines"])
+        end = zlib.compress("\n".join("\t".join(x) for x in directory).encode(), 6)
+        out.write(end)
+        out.close()
+        row = [directory[0][0], directory[-1][1], name, offset, len(end)]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=[f.split()[0] for f in _FILE.split(", ")])
 
     ranged = captures.repartitionByRange(*order).sortWithinPartitions(*order)
-    packed = ranged.mapInArrow(pack, "first_key string, last_key string, file string, offset long, length long, lines long")
-    return materialise(packed, "warc-directory").orderBy("first_key", "file", "offset")
+    return materialise(ranged.mapInArrow(pack, _FILE), "warc-directory")
 
 
-def _block_lines(block: bytes) -> list[list[str]]:
+def _lines(block: bytes) -> list[list[str]]:
     return [line.split("\t") for line in zlib.decompress(block).decode().split("\n")]
 
 
 class CaptureIndex:
-    """Point lookups from one process: bisection in the directory, then in a block, then one range read."""
+    """Lookups: bisection in the list of files, in a file's directory, and in a block."""
+
+    def __init__(self, folder: str, files: list[tuple]):
+        self._folder, self._files = folder, sorted(tuple(f) for f in files)
+        self._last = [f[1] for f in self._files]
+        self._opened = None
+        self._held: dict[str, list[tuple[str, str, int, int]]] = {}
 
-    def __init__(self, folder: str, directory: list[tuple[str, str, str, int, int]]):
-        self._store, self._root = _store(folder)
-        self._entries = sorted(directory)
-        self._last = [e[1] for e in self._entries]
+    def __getstate__(self):
+        return self._folder, self._files
 
-    def _range(self, name: str, offset: int, length: int) -> bytes:
-        with self._store.open_input_file(f"{self._root}/{name}") as f:
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def range(self, name: str, offset: int, length: int) -> bytes:
+        if self._opened is None:
+            self._opened = _store(self._folder)
+        store, root = self._opened
+        with store.open_input_file(f"{root}/{name}") as f:
             return f.read_at(length, offset)
 
+    def _directory(self, name: str, offset: int, length: int) -> list[tuple[str, str, int, int]]:
+        if name not in self._held:
+            while len(self._held) >= HELD_DIRECTORIES:
+                del self._held[next(iter(self._held))]
+            self._held[name] = [(a, b, int(at), int(n)) for a, b, at, n in _lines(self.range(name, offset, length))]
+        return self._held[name]
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(file, offset, length) of the blocks that may hold the key, in order."""
+        for first, _, name, offset, length in self._files[bisect.bisect_left(self._last, key) :]:
+            if first > key:
+                return
+            directory = self._directory(name, offset, length)
+            for low, _, at, n in directory[bisect.bisect_left(directory, key, key=lambda e: e[1]) :]:
+                if low > key:
+                    return
+                yield name, at, n
+
     def captures(self, url: str) -> list[tuple[str, int, int]]:
         """(archive, offset, length) of every capture of the URL."""
-        key, found = url_key(url).replace("\t", "%09").replace("\n", "%0A"), []
-        for first, _, name, offset, length in self._entries[bisect.bisect_left(self._last, key) :]:
-            if first > key:
-                break
-            lines = _block_lines(self._range(name, offset, length))
-            for line in lines[bisect.bisect_left(lines, [key]) :]:
-                if line[0] != key:
-                    break
-                found.append((line[2], int(line[3]), int(line[4])))
-        return found
+        key = url_key(url)
+        return [place for block in self.blocks(key) for place in places_of(_lines(self.range(*block)), key)]
 
     def read(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        return [parse_record(self._range(*place)) for place in self.captures(url)]
+        return [parse_record(self.range(*place)) for place in self.captures(url)]
 
 
-def read_archives(directory: DataFrame, folder: str) -> DataFrame:
-    """Every record of the archives below ``folder``, through the index: page_id, payload_bytes,
-    payload_digest, record_type, refers_to. Payloads of responses are hashed again and checked."""
+def places_of(lines: list[list[str]], key: str) -> Iterator[tuple[str, int, int]]:
+    """Captures of the key among a block's lines."""
+    for line in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) :]:
+        if line[0] != key:
+            return
+        yield line[2], int(line[3]), int(line[4])
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(folder)
+
+def look_up(urls: DataFrame, index: CaptureIndex) -> DataFrame:
+    """(archive, offset, length) of every capture of the URLs in the table (url), each once."""
+    shared = urls.sparkSession.sparkContext.broadcast(index)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
+
+    def directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key in batch.column(0).to_pylist():
+                for block in shared.value.blocks(key):
+                    rows.append((key, *block))
+                    if len(rows) == 10_000:
+                        yield _block_rows(rows)
+                        rows = []
+            yield _block_rows(rows)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lines = None, []
         for batch in batches:
-            for name, offset, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                with store.open_input_file(f"{root}/{name}") as f:
-                    lines = _block_lines(f.read_at(length, offset))
-                yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in lines]), pa.array([int(x[3]) for x in lines], pa.int64()), pa.array([int(x[4]) for x in lines], pa.int64())], names=["archive", "offset", "length"])
+            rows = []
+            for key, *block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if block != held:
+                    held, lines = block, _lines(shared.value.range(*block))
+                rows += places_of(lines, key)
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "offset", "length"])
+
+    keys = urls.select("url").mapInArrow(keyed, "key string").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    blocks = keys.mapInArrow(directed, "key string, file string, offset long, length long")
+    dealt = blocks.repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    return dealt.mapInArrow(found, "archive string, offset long, length long")
+
 
-    places = directory.select("file", "offset", "length").repartition("file", "offset").mapInArrow(unpack, "archive string, offset long, length long")
-    places = places.withColumn("stretch", F.floor(F.col("offset") / (16 * READ_AHEAD)))
+def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "offset", "length"])
+
+
+def read_back(urls: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+    """The records of every capture of the URLs (url), found through the index: page_id, payload_bytes,
+    payload_digest, record_type, refers_to. Payloads of responses are hashed again and checked."""
+    index = CaptureIndex(folder, [tuple(r) for r in files.select(*[f.split()[0] for f in _FILE.split(", ")]).collect()])
+    places = look_up(urls, index).withColumn("stretch", F.floor(F.col("offset") / (16 * READ_AHEAD)))
     near = places.repartition("archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +339,9 @@ def read_archives(directory: DataFrame, folder: str) -> DataFrame:
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
-    captures = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_archives(build_index(captures, folder), folder)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    captures = write_archives(pages, folder)
+    return read_back(pages, build_index(captures, folder), folder)
 
 
 OP9_SQL = r"""

@@ -140,14 +140,33 @@ def test_warc(spark):
     folder = scratch_path(spark, "warc-test")
     captures = warc.write_archives(df, folder)
     directory = warc.build_index(captures, folder)
-    got = warc.read_archives(directory, folder).collect()
+    got = warc.read_back(df, directory, folder).collect()
     assert sorted(map(tuple, got), key=repr) == warc_brute(rows)
-    index = warc.CaptureIndex(folder, [tuple(r) for r in directory.select("first_key", "last_key", "file", "offset", "length").collect()])
+    index = warc.CaptureIndex(folder, [tuple(r) for r in directory.collect()])
     for page_id, url, html in rows:
         found = index.read(url)
         assert any(h["X-Page-ID"] == ("" if page_id is None else str(page_id)) and (h["WARC-Type"] == "revisit" or body == (html or "").encode()) for h, body in found)
     assert index.read("http://nowhere.example/") == []
-    assert warc.read_archives(warc.build_index(warc.write_archives(df.limit(0), folder), folder), folder).count() == 0
+    # The rows come by way of the keys asked for, and of no others.
+    some = df.filter("page_id < 20")
+    keys = {warc.url_key(r[1]) for r in rows if r[0] is not None and r[0] < 20}
+    assert sorted(r.page_id for r in warc.read_back(some, directory, folder).collect()) == sorted(r[0] for r in rows if warc.url_key(r[1]) in keys)
+    empty = df.limit(0)
+    assert warc.read_back(empty, directory, folder).count() == 0
+    assert warc.read_back(df, warc.build_index(warc.write_archives(empty, folder), folder), folder).count() == 0
+
+
+def test_warc_key_in_many_blocks(spark):
+    rows = [(i, None if i % 3 else f"http://h{i % 5}.example/{i}", f"body {i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc-blocks")
+    directory = warc.build_index(warc.write_archives(df, folder), folder, block_lines=4)
+    assert sorted(map(tuple, warc.read_back(df, directory, folder).collect()), key=repr) == warc_brute(rows)
+    index = warc.CaptureIndex(folder, [tuple(r) for r in directory.collect()])
+    assert len(list(index.blocks(""))) >= 20 and len(index.captures(None)) == 80 and len(list(index.blocks("zzz"))) == 0
+
+
+def test_url_keys():
     assert warc.url_key("HTTPS://www.News.Example.com:8080/a?b#c") == "com,example,news)/a?b"
 
 

@@ -75,6 +75,51 @@ def test_license_templates(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_index_decides():
+    index = licenses.build_index({}, 10)
+    mit = licenses.license_words(licenses.TEMPLATES["mit"][0].encode())
+    assert set(licenses.template_hits(mit, index)) == {"mit"}
+    # Rarer words of the template elsewhere in the file do not hide it.
+    common = {w: 10 for p in licenses.TEMPLATES["mit"][1] for w in licenses.license_words(p.encode())}
+    skewed = licenses.build_index(common, 10)
+    tail = licenses.license_words(b"merchantability noninfringement sublicense tort contract dealings furnished")
+    assert "mit" in licenses.template_hits([b"x"] * 50 + mit[:40] + [b"y"] * 90 + tail, skewed)
+    # Without postings there is no alignment, and key phrases far apart are none either.
+    assert licenses.template_hits(mit, licenses.Index(index.words, index.postings, index.phrases, {}, index.idf)) == {}
+    one, two = (licenses.license_words(p.encode()) for p in licenses.TEMPLATES["mit"][1])
+    assert licenses.template_hits(one + [b"x"] * 300 + two, index) == {}
+    assert set(licenses.template_hits(one + mit[8:22] + two, index)) == {"mit"}
+
+
+def test_license_hits_against_brute_force():
+    """Every place of the rarest key phrase is tried, without the index."""
+    rng = random.Random(9)
+    index = licenses.build_index({b"the": 9, b"license": 5, b"software": 4}, 10)
+    anchor = {label: at for own in index.anchors.values() for label, at in own}
+
+    def brute(words):
+        out = set()
+        for label, phrases in index.phrases.items():
+            for offset in range(-len(index.words[label]), len(words)):
+                spread = lambda at: licenses.SLACK + abs(at - anchor[label]) // licenses.DRIFT  # noqa: B023, E731
+                first = next((p, at) for p, at in phrases if at <= anchor[label] < at + len(p))
+                if words[max(0, offset + first[1]) : offset + first[1] + len(first[0])] != first[0] or offset + first[1] < 0:
+                    continue
+                if all(any(words[k : k + len(p)] == p for k in range(max(0, offset + at - spread(at)), offset + at + spread(at) + 1)) for p, at in phrases):
+                    out.add(label)
+        return out
+
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            text = licenses.license_words(rng.choice(list(licenses.TEMPLATES.values()))[0].encode())
+            a = rng.randrange(len(text))
+            words += text[: rng.randint(1, len(text))] if rng.random() < 0.6 else text[a:]
+            for _ in range(rng.randint(0, 3)):
+                words.insert(rng.randrange(len(words) + 1), b"x")
+        assert brute(words) <= set(licenses.template_hits(words, index))
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
