@@ -37,16 +37,32 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_tree_handles_large_numbers():
+def test_topk_opens_few_leaves_where_vectors_cluster(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 8, (20, 8))
+    rows = [(i, (centres[i % 20] + rng.normal(0, 0.05, 8)).tolist(), 0) for i in range(2000)]
+    found = topk.searched_rows(spark.createDataFrame(rows, VEC), F.col("vec_id") % 20 == 0, k=5, shard_vectors=200).collect()
+    queries = {r.query_id for r in found}
+    assert len(queries) == 100
+    leaves = 2000 // topk.LEAF_VECTORS
+    assert sum(r.opened for r in found) < 0.5 * leaves * len(queries)
+
+
+def test_topk_overflow(spark):
+    rows = [(i, [x, 1.0], 0) for i, x in ((0, 1e30), (1, 1e29), (2, -1e30), (20, 2e-3), (3, 1e307), (4, 1e12))]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 20 == 0, k=4).collect()
+    most = 2**63 - 1
+    by = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got}
+    assert by[0, 1] == (1, most) and by[0, 2] == (4, most) and by[0, 4] == (2, -most - 1) and all(r.vec_id != 3 for r in got)
+
+
+def test_search_of_large_numbers():
     rng = np.random.default_rng(3)
     rows = rng.integers(-(2**40), 2**40, (300, 3)).astype(float)
-    assert topk._number(rows, rows) is object
     tree = topk.Tree(np.arange(300), rows, leaf=8)
-    query = rows[5]
-    best = sorted((-sum(int(a) * int(b) for a, b in zip(r, query, strict=True)), i) for i, r in enumerate(rows) if i != 5)[:4]
-    tree.rows, tree.low, tree.high = (np.array([[int(x) for x in r] for r in m.tolist()], object) for m in (tree.rows, tree.low, tree.high))
-    exact = np.array([int(x) for x in query], object)
-    assert [(-s, -i) for s, i in tree.search(exact, 5, tree.bounds(exact[None])[0], 4, None)] == best
+    found = topk.search(tree, rows[5:6], np.array([5]), [None], 4)
+    best = sorted((-sum(int(a) * int(b) for a, b in zip(r, rows[5], strict=True)), i) for i, r in enumerate(rows) if i != 5)[:4]
+    assert list(zip((-x for x in found.scores[0]), found.ids[0], strict=True)) == best
 
 
 def duck_mix(rows):
