@@ -1,4 +1,4 @@
-"""Line deduplication by an exact set-similarity join (operator 10).
+"""Line deduplication by an exact set-similarity join (operator 10). DataFrame functions only.
 
 A line's tokens are its distinct 5-word shingles (as written); a line of fewer words is one token, its whole
 word sequence. Two lines match when the Jaccard similarity of their token sets is at least 0.75; a
@@ -18,33 +18,28 @@ document or another. Lines without words match nothing and stay.
    sets. So no match is missed, while thousands of near copies do not become rows of pairs.
 
 Texts are read three times: for the counts, for the prefixes, and for the whole sets of those lines alone
-that share a token of their prefix. Everything between is DataFrame functions; the tokens are made in
-Arrow batches, as a form of DataFrame functions alone took more than twice the time allowed (see README).
+that share a token of their prefix; the sets of all lines would take twice the input on disk.
 
 Defined results: null text has no lines and stays null; null doc_ids come last in the order, texts of one
-doc_id are ordered by their MD5; rows that repeat id and text are one document (its copies lose the
-same lines); all columns are carried, whatever their names; very long texts and lines are worked on in
-pieces; an empty table gives an empty result.
+doc_id are ordered by their hashes; rows that repeat id and text are one document (its copies lose the
+same lines); all columns are carried, whatever their names; very long texts and lines are taken whole;
+an empty table gives an empty result. Texts, lines and documents are told apart by 128 bits of hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from statistics import median
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.near_dedup import overlap
-from cuegrid.llm.shingles import line_shingles, ordered_sets
 from cuegrid.scratch import materialise, release
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 75
-#: Entries of the hashed table of token counts, and of a stripe of it.
-SLOTS = 1 << 18
-STRIPE = 1 << 12
+#: Entries of the hashed table of token counts.
+SLOTS = 1 << 16
 #: Steps of the rarity order for each doubling of a slot's count.
 STEPS = 5
 #: Longs in the mark of a token set.
@@ -54,118 +49,85 @@ KEY = ["doc_key", "twin", "other_twin"]
 PLACE = [*KEY, "line_no"]
 
 
-def token_ranks(docs: DataFrame) -> np.ndarray:
-    """Rarity (0 to 127) of each slot: 64 is the median slot's count, STEPS more for each doubling."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for _, lines in line_shingles(batch.column(0), SHINGLE_WORDS):
-                seen += np.bincount((lines.token & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        if seen.any():
-            yield _stripes(range(SLOTS // STRIPE), seen.reshape(-1, STRIPE))
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for stripe, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[stripe] = sums.get(stripe, 0) + np.frombuffer(counts, np.int64)
-        yield _stripes(sums, list(sums.values()))
-
-    schema = "stripe int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).repartition("stripe").mapInArrow(total, schema)
-    counts = np.zeros((SLOTS // STRIPE, STRIPE))
-    for row in summed.collect():
-        counts[row["stripe"]] = np.frombuffer(row["counts"], np.int64)
-    usual = max(1.0, float(np.median(counts)))
-    return np.clip(64 + np.floor(STEPS * np.log2(np.maximum(counts, 0.5) / usual)), 0, 127).astype(np.uint8).ravel()
-
-
-def _stripes(numbers, counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], names=["stripe", "counts"])
-
-
-def _identified(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_key, twin, other_twin, text: null ids have the largest key, and 128 bits of the text's hashes tell
-    apart texts under a repeated id."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    hashed = [F.xxhash64(F.lit(salt), F.col("doc_id").isNull(), "text").alias(name) for salt, name in enumerate(KEY[1:])]
-    return docs.select(key.alias("doc_key"), *hashed, "text", *more)
-
-
-def prefix_length(sizes):
-    """Rarest tokens of which two matching sets share one, with sizes of an array of numbers."""
-    return sizes - -(-sizes * MIN_PERCENT // 100) + 1
-
+def _lines(texts: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, line_no, line and its ``words`` for every line with a word. Lines with nothing but single
+    spaces between words take the plain split."""
+    rows = texts.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("*", _words(F.col("line")).alias("words")).filter(F.get("words", F.lit(0)) != "")
 
-#: ``mark`` and ``other_mark`` are 128 bits of the line's text.
-_PREFIXED = "doc_key long, twin long, other_twin long, line_no int, mark long, other_mark long, prefix array<long>"
 
+def _words(line: Column) -> Column:
+    """Words of a line; one empty word if it is blank."""
+    plain = F.split(line, " ")
+    odd = F.array_contains(plain, "")
+    for blank in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.split(F.btrim(line, F.lit("\t\n\x0b\x0c\r ")), r"[\x09-\x0D\x20]+")).otherwise(plain)
 
-def _prefix_of(bounds: np.ndarray, tokens: np.ndarray) -> pa.ListArray:
-    sizes = np.diff(bounds)
-    length = prefix_length(sizes)
-    keep = np.arange(len(tokens)) - np.repeat(bounds[:-1], sizes) < np.repeat(length, sizes)
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(tokens[keep].view(np.int64)))
 
+def _last_start() -> Column:
+    """Where the last shingle starts."""
+    return F.greatest(F.lit(0), F.size("words") - SHINGLE_WORDS)
 
-def _columns(schema: str, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in schema.split(", ")])
 
+def _shingle(at: Column, first: Column) -> Column:
+    """The hash of up to SHINGLE_WORDS words from ``at`` on; what is beyond the line's end does not count."""
+    return F.xxhash64(first, *[F.get("words", at + k) for k in range(1, SHINGLE_WORDS)])
 
-def _prefixed(ranks):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, lines in line_shingles(batch.column(3), SHINGLE_WORDS):
-                bounds, tokens = lines.sets(ranks.value)
-                marks = np.frombuffer(b"".join(lines.digests()), np.int64).reshape(-1, 2)
-                doc = pa.array(lines.doc + first)
-                yield _columns(_PREFIXED, [*[batch.column(i).take(doc) for i in range(3)], lines.number.astype(np.int32), *map(np.ascontiguousarray, marks.T), _prefix_of(bounds, tokens)])
 
-    return run
+def token_ranks(texts: DataFrame) -> list[int]:
+    """Rarity (0 to 127) of each slot: 64 is the median slot's count, STEPS more for each doubling."""
+    at = F.explode(F.sequence(F.lit(0), _last_start())).alias("at")
+    tokens = _lines(texts).select("words", at).select(_shingle(F.col("at"), F.get("words", "at")).bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    counts = tokens.groupBy("slot").agg(F.count("*").alias("n"))
+    # A few long strings come back, not a row for each slot.
+    entry = F.concat_ws(":", "slot", "n").alias("entry")
+    packed = counts.select((F.col("slot") % 64).alias("row"), entry).groupBy("row").agg(F.array_join(F.collect_list("entry"), ",").alias("entries"))
+    found = [0] * SLOTS
+    for row in packed.collect():
+        for item in row["entries"].split(","):
+            slot, _, n = item.partition(":")
+            found[int(slot)] = int(n)
+    usual = max(1, median(found))
+    return [max(0, min(127, 64 + math.floor(STEPS * math.log2(max(n, 0.5) / usual)))) for n in found]
 
 
-#: ``tokens`` are in order of value; ``bits`` mark which of 64 * MARKS values their low bits take.
-_SETS = "lid long, m int, prefix array<long>, tokens binary, " + ", ".join(f"bits{k} long" for k in range(MARKS))
+def _tokens(ranks: list[int]) -> Column:
+    """The sorted distinct tokens of ``words``: a rank in the high byte and the shingle's hash below."""
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    hashes = F.transform(F.slice("words", 1, _last_start() + 1), lambda w, i: _shingle(i, w))
+    ranked = F.transform(hashes, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    return F.sort_array(F.array_distinct(ranked))
 
 
-def _whole_sets(ranks):
-    """Rows of ``_SETS`` for the lines asked for: (text, [(line_no, lid)])."""
+def _prefix() -> Column:
+    size = F.size("tokens")
+    return F.slice("tokens", 1, size - F.ceil(size * MIN_PERCENT / 100).cast("int") + 1).alias("prefix")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = [{x["line_no"]: x["lid"] for x in row} for row in batch.column(1).to_pylist()]
-            for first, lines in line_shingles(batch.column(0), SHINGLE_WORDS, asked):
-                bounds, tokens = lines.sets(ranks.value)
-                lids = [asked[first + d][n] for d, n in zip(lines.doc.tolist(), lines.number.tolist(), strict=True)]
-                sizes = np.diff(bounds)
-                own = np.repeat(np.arange(len(lids)), sizes)
-                held = np.zeros((len(lids), 64 * MARKS), bool)
-                held[own, (tokens & np.uint64(64 * MARKS - 1)).astype(np.int64)] = True
-                marks = np.packbits(held, axis=1).view(np.int64)
-                _, ordered = ordered_sets(own, tokens, len(lids), None)
-                raw = [ordered[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield _columns(_SETS, [pa.array(lids, pa.int64()), sizes.astype(np.int32), _prefix_of(bounds, tokens), pa.array(raw, pa.binary()), *map(np.ascontiguousarray, marks.T)])
 
-    return run
+def _bits(part: int) -> Column:
+    """64 bits of the set's mark: of the quarter of the tokens that ``part`` takes, every one sets a bit."""
+    mine = lambda t: t.bitwiseAND(F.lit(64 * (MARKS - 1))) == 64 * part
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: F.when(mine(t), acc.bitwiseOR(bit(t))).otherwise(acc))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        matches, distance = [], []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            both, total = overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), (len(x) + len(y)) // 8
-            matches.append(both * 100 >= MIN_PERCENT * (total - both))
-            distance.append(1 - both / (total - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(matches, pa.bool_()), pa.array(distance, pa.float64())], names=["x", "y", "matches", "distance"])
+def _identified(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_key, twin, other_twin, text: null ids have the largest key, and 128 bits of the text's hashes tell
+    apart texts under a repeated id."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    hashed = [F.xxhash64(F.lit(salt), F.col("doc_id").isNull(), "text").alias(name) for salt, name in enumerate(KEY[1:])]
+    return docs.select(key.alias("doc_key"), *hashed, "text", *more)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (x, y) with ``matches`` and the Jaccard ``distance`` of their whole sets."""
     one = sets.select(F.col("lid").alias("x"), F.col("tokens").alias("tx"))
     other = sets.select(F.col("lid").alias("y"), F.col("tokens").alias("ty"))
-    rows = pairs.join(one, "x").join(other, "y").select("x", "y", "tx", "ty")
-    return rows.mapInArrow(_compare, "x long, y long, matches boolean, distance double")
+    rows = pairs.join(one, "x").join(other, "y")
+    rows = rows.select("x", "y", F.size(F.array_intersect("tx", "ty")).alias("both"), (F.size("tx") + F.size("ty")).alias("sum"))
+    union = F.col("sum") - F.col("both")
+    return rows.select("x", "y", (F.col("both") * 100 >= MIN_PERCENT * union).alias("matches"), (1 - F.col("both") / union).alias("distance"))
 
 
 def _needed(m: str, n: str) -> Column:
@@ -174,13 +136,14 @@ def _needed(m: str, n: str) -> Column:
 
 
 def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
-    """The places of the lines of ``first`` (lid, place, prefix) that an earlier one matches, materialised."""
+    """The places of the lines of ``first`` (lid, place, prefix) that an earlier one matches, materialised; ``first`` is released."""
     entries = first.select("lid", F.explode("prefix").alias("token"))
     lists = entries.groupBy("token").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter("low < high").select("token")
     found = materialise(entries.join(lists, "token"), "line-lists")
     # The lines that share a token are numbered in their order.
     ordered = first.select("lid", *PLACE).join(found.select("lid").distinct(), "lid").repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
     ordered = materialise(ordered.withColumn("pos", F.monotonically_increasing_id()), "line-ordered")
+    release(first)
     shared = found.join(ordered.select("lid", "pos"), "lid").select("token", F.col("pos").alias("lid"))
     heads = shared.groupBy("token").agg(F.min("lid").alias("head"))
     shared = materialise(shared.join(heads, "token"), "line-shared")
@@ -190,8 +153,9 @@ def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     pivots = materialise(pivots, "line-pivots")
 
     asked = ordered.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", F.col("pos").alias("lid"))).alias("asked"))
-    sets = texts.join(asked, KEY).select("text", "asked").mapInArrow(_whole_sets(ranks), _SETS)
-    sets = materialise(sets.dropDuplicates(["lid"]), "line-sets")  # rows that repeat id and text are one document
+    asked = texts.join(asked, KEY).select(F.split("text", "\n").alias("lines"), "asked").select("lines", F.explode("asked").alias("a"))
+    asked = asked.select("a.lid", _words(F.get("lines", "a.line_no")).alias("words")).select("lid", _tokens(ranks).alias("tokens"))
+    sets = materialise(asked.dropDuplicates(["lid"]), "line-sets")  # rows that repeat id and text are one document
 
     # Two earlier lines for each line, the heads of its lists: stars, not pairs.
     ask = F.explode(F.array_distinct(F.array("pivot", "other")))
@@ -208,8 +172,9 @@ def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     # Only lists that hold such a line go on.
     lists = shared.join(left.select("lid"), "lid", "left_semi").filter("head < lid").select("token").distinct()
     bits = [f"bits{k}" for k in range(MARKS)]
+    marked = sets.select("lid", F.size("tokens").alias("m"), *[_bits(k).alias(bits[k]) for k in range(MARKS)], _prefix())
     members = shared.join(lists, "token", "left_semi").select("lid").distinct()
-    known = sets.select("lid", "m", *bits, "prefix").join(members, "lid").join(facts, "lid")
+    known = marked.join(members, "lid").join(facts, "lid")
     known = known.select("lid", "m", "pivot", "other", "distance", *bits, F.posexplode("prefix").alias("at", "token"))
     known = materialise(known.join(lists, "token", "left_semi"), "line-known")
     release(shared)
@@ -239,9 +204,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """The KEY of a document and ``gone``, the numbers of its lines that an earlier line matches, for
     the documents of ``docs`` (doc_id, text) that have such lines; materialised."""
     texts = _identified(docs.filter(F.col("text").isNotNull()))
-    ranks = docs.sparkSession.sparkContext.broadcast(token_ranks(texts))
-    lines = materialise(texts.mapInArrow(_prefixed(ranks), _PREFIXED), "line-prefixes")
-    mark, place = ["mark", "other_mark"], F.struct(*PLACE)
+    ranks, mark, place = token_ranks(texts), ["mark", "other_mark"], F.struct(*PLACE)
+    marks = [F.xxhash64(F.lit(salt), "line").alias(name) for salt, name in enumerate(mark)]
+    lines = _lines(texts, *KEY).select(*PLACE, *marks, _tokens(ranks).alias("tokens"))
+    lines = materialise(lines.select(*PLACE, *mark, _prefix()), "line-prefixes")
     first = lines.groupBy(*mark).agg(F.min(place).alias("id"), F.count("*").alias("n"), F.first("prefix").alias("prefix"))
     first = materialise(first.select(*mark, "id.*", "n", "prefix").withColumn("lid", F.monotonically_increasing_id()), "line-first")
     again = first.filter("n > 1").select(*mark, place.alias("id"))
@@ -249,7 +215,6 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     again = materialise(again, "line-again")
     release(lines)
     later = _later_matches(first, texts, ranks)
-    release(first)
     found = materialise(later.union(again).groupBy(*KEY).agg(F.collect_set("line_no").alias("gone")), "line-removed")
     release(later)
     release(again)
@@ -290,7 +255,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     done = line_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 OP10_SQL = r"""

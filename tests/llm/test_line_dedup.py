@@ -2,12 +2,9 @@ import random
 import re
 from hashlib import md5
 
-import numpy as np
-import pyarrow as pa
 import pytest
 
 from cuegrid.llm import line_dedup as ld
-from cuegrid.llm.shingles import line_shingles, ordered_sets
 from tests.llm.helpers import DOC, documents, frame, prose
 
 
@@ -100,26 +97,5 @@ def test_long_words_and_lines(spark):
     assert got == {1: rows[0][1], 2: f"a {long}"}
 
 
-def test_shingles_do_not_depend_on_the_batch():
-    rng = random.Random(4)
-    texts = [r[1] for r in documents(2)] + ["\n", "a\n", "\na", "é \u3000\u00a0x " * 3, "\r\nq\x0bw e\x0cr t y"]
-    def sets(batch):
-        out = {}
-        for first, lines in line_shingles(pa.array(batch, pa.string()), 5):
-            bounds, tokens = lines.sets()
-            for i, (d, n) in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), strict=True)):
-                out[batch[first + d], n] = tuple(tokens[bounds[i] : bounds[i + 1]].tolist())
-        return out
-    whole = sets(texts)
-    assert whole == {k: v for t in texts for k, v in sets([t]).items()}
-    want = {(t, n): tokens(x) for t in texts if t is not None for n, x in enumerate(t.split("\n")) if tokens(x)}
-    assert {k: len(v) for k, v in whole.items()} == {k: len(v) for k, v in want.items()}
-    many = np.array([rng.randrange(2**64) for _ in range(5000)] * 2, np.uint64)
-    line = np.array([rng.randrange(3000) for _ in range(5000)] * 2, np.int32)
-    bounds, found = ordered_sets(line, many, 3000, np.array([5, 1], np.uint8))
-    for i in range(0, 3000, 97):
-        assert found[bounds[i] : bounds[i + 1]].tolist() == sorted(set(many[line == i].tolist()), key=lambda t: (5 if t % 2 == 0 else 1, t))
-
-
 def test_empty(spark):
     assert ld.drop_repeated_lines(frame(spark, [])).count() == 0
