@@ -42,6 +42,7 @@ MIN_PERCENT = 75
 SLOTS = 1 << 16
 #: Steps of the rarity order for each doubling of a slot's count.
 STEPS = 5
+_BLANKS = "\t\n\x0b\x0c\r "
 #: Longs in the mark of a token set.
 MARKS = 4
 #: What identifies a document, and a line.
@@ -53,7 +54,7 @@ def _lines(texts: DataFrame, *keep: str) -> DataFrame:
     """``keep``, line_no, line and its ``words`` for every line with a word. Lines with nothing but single
     spaces between words take the plain split."""
     rows = texts.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("*", _words(F.col("line")).alias("words")).filter(F.get("words", F.lit(0)) != "")
+    return rows.filter(F.btrim("line", F.lit(_BLANKS)) != "").select("*", _words(F.col("line")).alias("words"))
 
 
 def _words(line: Column) -> Column:
@@ -62,7 +63,7 @@ def _words(line: Column) -> Column:
     odd = F.array_contains(plain, "")
     for blank in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(blank))
-    return F.when(odd, F.split(F.btrim(line, F.lit("\t\n\x0b\x0c\r ")), r"[\x09-\x0D\x20]+")).otherwise(plain)
+    return F.when(odd, F.split(F.btrim(line, F.lit(_BLANKS)), r"[\x09-\x0D\x20]+")).otherwise(plain)
 
 
 def _last_start() -> Column:
@@ -237,7 +238,8 @@ def _rewritten(docs: DataFrame) -> DataFrame:
     if "n_chars" in place:
         length = F.when(F.col("gone").isNull(), F.col(place["n_chars"])).otherwise(F.length("rest"))
         columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
-    lines = F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long")
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    lines = F.when(text.isNull(), 0).otherwise(breaks + 1).cast("long")
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     return joined.select(*[columns[name].alias(c) for name, c in place.items()], lines.alias("lines"), removed.alias("removed"))
 
