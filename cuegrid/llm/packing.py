@@ -5,13 +5,15 @@ nothing is dropped). Pieces are dealt at random, by digest, to shards of about S
 a shard is a fair sample of the lengths and shards pack independently on any number of executors.
 Inside a shard, longest first, a piece goes into the open bin it fills best. If none has room a bin
 is opened: of every permitted size that holds the piece the one with the least expected cost per
-token, judged by the lengths still waiting in the shard (a larger bin costs less overhead, but only if
-they can fill it). At the end every bin is downsized to the smallest permitted size that holds its
-contents, which never loses a piece.
+token, judged by the lengths still waiting in the shard. A bin costs BIN_COST, its length, and its length
+squared over ATTENTION_TOKENS, as attention does; so a long bin is worth it only for long pieces or where
+it saves empty room, and sizes compete. At the end every bin is downsized to the smallest permitted size
+that holds its contents, which never loses a piece.
 
 Defined results: pieces of length 0 (null or blank text) are not placed and give no row; null ids and
 repeated rows are packed like any other; an empty table gives an empty result. Lengths are words
-unless ``length`` is given. Reruns agree.
+unless ``length`` is given; very long texts are cut into bins, never shortened. Other columns are ignored,
+whatever their names. Reruns agree.
 """
 
 from __future__ import annotations
@@ -28,12 +30,18 @@ from cuegrid.scratch import materialise
 
 #: Permitted sequence lengths.
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Fixed cost of a bin, in tokens, beside one for every token of its capacity.
+#: Fixed cost of a bin, in tokens, and the length at which attention costs as much as the rest.
 BIN_COST = 32
+ATTENTION_TOKENS = 8192
 #: Pieces of a shard, about.
 SHARD_PIECES = 20_000
 
 
+def bin_cost(capacity: int) -> float:
+    """What a bin of this size costs, in tokens."""
+    return BIN_COST + capacity + capacity * capacity / ATTENTION_TOKENS
+
+
 def _opening(length: int, waiting: list[int], capacities: tuple[int, ...]) -> int:
     """The permitted size with the least expected cost per token for a bin that starts with ``length``.
 
@@ -53,7 +61,7 @@ def _opening(length: int, waiting: list[int], capacities: tuple[int, ...]) -> in
             top = k
         # Downsizing later means paying only for the smallest size that holds the contents.
         final = capacities[bisect.bisect_left(capacities, used)]
-        cost = (final + BIN_COST) / used
+        cost = bin_cost(final) / used
         if best_cost is None or cost < best_cost or (cost == best_cost and capacity < best):
             best, best_cost = capacity, cost
     return best
