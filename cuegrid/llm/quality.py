@@ -9,7 +9,10 @@ over every document, with the weight vector (DIMENSION floats) shipped to the ex
 
 Defined results: a null or blank text has no words and fails the base rule; null ids pass through;
 labels without a document, or with null quality, teach nothing; with labels of one kind only (or
-none) the classifier accepts everything; repeated rows are scored one by one.
+none) the classifier accepts everything, with fewer than three rows of a kind it is not calibrated; of
+labels that contradict each other the better one counts; repeated rows are scored one by one; very long
+texts are taken whole; other columns are carried by ``good_documents`` and ignored otherwise, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -85,8 +88,7 @@ def feature_slots(text: bytes, hashes: np.ndarray) -> list[np.ndarray]:
         four = (three[:-1] * np.uint32(0x27D4EB2F) + points[3:]) * np.uint32(0x165667B1)
     return [
         (hashes >> _SHIFT64).astype(np.int64),
-        # A word said twice running is one feature, whatever the word.
-        np.where(hashes[1:] == hashes[:-1], 0, (window_hashes(hashes, 2) >> _SHIFT64).astype(np.int64)),
+        (window_hashes(hashes, 2) >> _SHIFT64).astype(np.int64),
         ((three * np.uint32(0x2545F491)) >> _SHIFT).astype(np.int64),
         (four >> _SHIFT).astype(np.int64),
     ]
@@ -116,7 +118,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROW
         .select("doc_id", F.col("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(rows)
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max("quality").alias("quality"))
     )
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
 
@@ -151,12 +154,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     del found
     pa.default_memory_pool().release_unused()
     parts = _parts(flat, value, ends)
-    held = np.arange(len(target)) % 3 == 2
-    if any(len(set(target[part].tolist())) < 2 for part in (held, ~held)):
-        held = np.zeros(len(target), bool)
+    # Every third row of each kind calibrates.
+    held = np.zeros(len(target), bool)
+    for kind in (0.0, 1.0):
+        held[np.flatnonzero(target == kind)[2::3]] = True
     weights, bias = _descend(parts, target, ~held)
     margins = bias + _margins(parts, weights)
-    slope, offset = _calibrate(margins[held] if held.any() else margins, target[held] if held.any() else target)
+    slope, offset = _calibrate(margins[held], target[held]) if len(set(target[held].tolist())) == 2 else (1.0, 0.0)
     return Model(weights, bias, slope, offset)
 
 
