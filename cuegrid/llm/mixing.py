@@ -8,8 +8,8 @@ where the running total reaches the budget.
 
 Nothing here needs one task to see a whole source: the shuffle key is a digest, its first hex
 digits split every source (the hot one too) into slices, and running totals are the slice's
-offset plus a window inside the slice. The global cut is found from a histogram of finish times
-and an exact pass inside the one histogram bin where the budget ends.
+offset plus a window inside the slice. The global cut is found from a histogram of finish times,
+from finer ones inside the bin where the budget ends until it holds few entries, and an exact pass there.
 
 Defined results: null text has size 0; the null source is one source, ordered last; documents of
 size 0 are never taken; an empty table gives an empty result; repeated rows are separate queue
@@ -30,8 +30,11 @@ WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 #: Leading hex digits of the shuffle digest that make a slice: 16**3 slices a source.
 SLICE_DIGITS = 3
-#: Bins of a unit of virtual time.
+#: Bins of a unit of virtual time, and of a bin that is still too full.
 BINS = 4096
+#: Entries of one bin that are ordered in one task, and how often bins are split for that.
+ORDERED_ENTRIES = 200_000
+SPLITS = 4
 
 
 def token_count(text: Column) -> Column:
@@ -107,13 +110,13 @@ def fair_queue(docs: DataFrame) -> DataFrame:
     passes = (
         queued.filter("size > 0")
         .select("k", "k_null", "size", "total", "served", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))).alias("pass"))
-        .withColumn("finish", (F.col("served") + F.col("pass") * F.col("source_size")) / F.col("target"))
-        .withColumn("bin", F.floor(F.least(F.col("finish"), F.lit(float(MAX_PASSES))) * BINS))
+        .withColumn("finish", (F.col("served") + F.col("pass") * F.col("source_size")) / _positive("target"))
+        .withColumn("place", F.least(F.col("finish"), F.lit(float(MAX_PASSES))) * BINS)
     )
     cut = _cut(passes)
     copies = F.lit(0)
     if cut is not None:
-        finish = [(F.col("served") + n * F.col("source_size")) / F.col("target") for n in range(MAX_PASSES)]
+        finish = [(F.col("served") + n * F.col("source_size")) / _positive("target") for n in range(MAX_PASSES)]
         # Inside one source finish times are distinct, so a tie is broken by the source alone.
         k, k_null = F.lit(cut["k"]), F.lit(cut["k_null"])
         tie = (F.col("k_null") < k_null) | ((F.col("k_null") == k_null) & (F.col("k") <= k))
@@ -133,19 +136,32 @@ def fair_queue(docs: DataFrame) -> DataFrame:
     )
 
 
+def _positive(name: str) -> Column:
+    """Null instead of 0: a source without words has nothing to finish."""
+    return F.when(F.col(name) > 0, F.col(name))
+
+
 def _cut(passes: DataFrame):
     """The last entry of the mix, as a row; None if nothing is queued. At most BINS * MAX_PASSES + 1
-    sums meet in one task, and then only the entries of a single bin are ordered."""
-    sums = passes.groupBy("bin").agg(F.sum("size").alias("bin_size"), F.max("total").alias("total"))
-    running = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("bin_size").over(running))
-    edge = sums.filter("upto >= total").orderBy("bin").limit(1).collect()
-    if not edge:
-        return None
-    edge = edge[0]
+    sums meet in one task at a time, and then only the entries of a bin that holds few are ordered (or
+    of one that cannot be split: equal finish times, at most one a source)."""
+    entries, start, total = passes, 0, None
+    for _ in range(1 + SPLITS):
+        sums = entries.groupBy(F.floor("place").alias("bin")).agg(F.sum("size").alias("bin_size"), F.count("*").alias("n"), F.max("total").alias("total"))
+        running = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumn("upto", F.sum("bin_size").over(running) + start)
+        edge = sums.filter(F.col("upto") >= (F.col("total") if total is None else F.lit(total))).orderBy("bin").limit(1).collect()
+        if not edge:
+            return None
+        edge, total = edge[0], edge[0]["total"]
+        start = edge["upto"] - edge["bin_size"]
+        entries = entries.filter(F.floor("place") == edge["bin"])
+        if edge["n"] <= ORDERED_ENTRIES:
+            break
+        # Inside the bin places spread over a unit again.
+        entries = entries.withColumn("place", (F.col("place") - edge["bin"]) * BINS)
     within = Window.orderBy("finish", "k_null", "k").rowsBetween(Window.unboundedPreceding, 0)
-    entries = passes.filter(F.col("bin") == edge["bin"]).withColumn("upto", F.sum("size").over(within) + (edge["upto"] - edge["bin_size"]))
-    last = entries.filter(F.col("upto") >= edge["total"]).orderBy("upto").limit(1).collect()
+    last = entries.withColumn("upto", F.sum("size").over(within) + start).filter(F.col("upto") >= total).orderBy("upto").limit(1).collect()
     return last[0]
 
 
