@@ -45,8 +45,9 @@ MIN_PERCENT = 75
 #: Signature layout.
 BANDS = 48
 ROWS = 5
-#: Members of one pivot that travel together.
+#: Members of one pivot that travel together, and bytes of their sets, about.
 BLOCK_MEMBERS = 128
+BLOCK_BYTES = 4 << 20
 #: Up to so many ids are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -228,16 +229,17 @@ def _overlaps(one: list[bytes], other: list[bytes]) -> np.ndarray:
 def _within_pivots(members: DataFrame, nearest: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) across components among the open members that were measured against one pivot.
 
-    A member has one such pivot, so its set travels once, in a block of about BLOCK_MEMBERS; those of a
-    pivot's largest component travel apart, as they need no comparison among themselves. A row is a
+    A member has one such pivot, so its set travels once, in a block of about BLOCK_MEMBERS members or
+    BLOCK_BYTES, whichever makes more blocks; those of a pivot's largest component travel apart, as they need no comparison among themselves. A row is a
     pair of blocks, never a pair of members. As Jaccard distance is a metric, members whose distances
     to the pivot differ by more than the linking distance cannot link and are passed over.
     """
     rows = members.select("rep", "part").distinct().join(nearest.filter("rep <> pivot").drop("bands"), "rep")
-    parts = rows.groupBy("pivot", "part").agg(F.count("*").alias("k"))
-    parts = parts.groupBy("pivot").agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all")).filter("top.k < all")
-    blocks = lambda n: F.ceil(n / BLOCK_MEMBERS)
-    parts = parts.select("pivot", F.col("top.part").alias("major"), blocks(F.col("all") - F.col("top.k")).alias("minors"), blocks(F.col("top.k")).alias("majors"))
+    parts = rows.groupBy("pivot", "part").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    parts = parts.groupBy("pivot").agg(F.max(F.struct("k", "s", "part")).alias("top"), F.sum("k").alias("all"), F.sum("s").alias("sizes")).filter("top.k < all")
+    blocks = lambda k, s: F.ceil(F.greatest(k / BLOCK_MEMBERS, s * 8 / BLOCK_BYTES))
+    minors, majors = blocks(F.col("all") - F.col("top.k"), F.col("sizes") - F.col("top.s")), blocks(F.col("top.k"), F.col("top.s"))
+    parts = parts.select("pivot", F.col("top.part").alias("major"), minors.alias("minors"), majors.alias("majors"))
     rows = rows.join(parts, "pivot").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     own = F.xxhash64("rep")
     block = F.when(F.col("part") == F.col("major"), F.col("minors") + F.pmod(own, F.col("majors"))).otherwise(F.pmod(own, F.col("minors")))
@@ -267,12 +269,16 @@ def _between_pivots(members: DataFrame, nearest: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, every column as it was."""
-    found = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    stay = docs.join(found, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    once = stay.withColumn("__text", F.md5(F.col("text"))).dropDuplicates(["doc_id", "__text"])
-    return once.select(*columns).union(docs.filter("doc_id is null").select(*columns))
+    """The rows of ``docs`` that stay: one document of each component, every column as it was. Of rows that
+    repeat id and text the one with the smallest hash of its columns stays; null ids all stay."""
+    place = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    own, doc_id, text = docs.toDF(*place.values()), F.col(place["doc_id"]), F.col(place["text"])
+    found = near_duplicates(own.select(doc_id.alias("doc_id"), text.alias("text")))
+    found = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("stays")).distinct()
+    stay = own.join(found, doc_id.cast("long") == F.col("stays"), "left_semi")
+    hashed = F.xxhash64(*[c for c, kind in own.dtypes if not kind.startswith("map")])
+    once = stay.groupBy(doc_id.alias("own_id"), F.md5(text).alias("digest")).agg(F.min_by(F.struct(*place.values()), hashed).alias("row"))
+    return once.select("row.*").union(own.filter(doc_id.isNull())).toDF(*docs.columns)
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
