@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuegrid.llm import mixing, packing, topk, warc
+from cuegrid.llm import mixing, near_dedup, packing, quality, topk, warc
 from cuegrid.scratch import scratch_path
 from tests.llm.helpers import DOC, blank_split, documents, frame, prose
 
@@ -94,6 +94,17 @@ def test_mixing(spark, seed):
             assert abs(sum(r.taken for r in same) - target * many) <= biggest * max(1, many)
 
 
+def test_mixing_splits_full_bins(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 3), "en", f"s{i % 2}", 0) for i in range(300)]
+    df = frame(spark, rows)
+    want = sorted(map(repr, map(tuple, mixing.fair_queue(df).select("doc_id", "size", "source_size", "target", "taken").collect())))
+    assert want == duck_mix(rows)
+    for bins, few in ((4, 3), (2, 1)):
+        monkeypatch.setattr(mixing, "BINS", bins)
+        monkeypatch.setattr(mixing, "ORDERED_ENTRIES", few)
+        assert sorted(map(repr, map(tuple, mixing.fair_queue(df).select("doc_id", "size", "source_size", "target", "taken").collect()))) == want
+
+
 def test_mix_documents(spark):
     rows = [(*r, 1) for r in documents(4)]
     df = spark.createDataFrame(rows, DOC + ", ticket int")
@@ -103,6 +114,8 @@ def test_mix_documents(spark):
     assert out.count() == counts and out.filter("text is null").count() == 0
     assert mixing.fair_queue(frame(spark, [])).count() == 0
     assert mixing.fair_queue(frame(spark, [(1, None, None, None, 0)])).select("taken").first()[0] == 0
+    empty_source = [(1, "a b", None, "s", 0), (2, " ", None, "t", 0), (3, None, None, None, 0)]
+    assert sorted((r.doc_id, r.taken) for r in mixing.fair_queue(frame(spark, empty_source)).collect()) == [(1, 2), (2, 0), (3, 0)]
 
 
 def test_pack_units():
@@ -121,6 +134,83 @@ def test_pack_units():
             assert used <= capacity and capacity == min(c for c in (16, 32, 64) if c >= used)
 
 
+def naive_pack(lengths, capacities):
+    """The rules once more, with plain lists and no searching: best fit, least expected cost, downsizing."""
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    bins, where = [], {}
+    for nth, i in enumerate(order):
+        fits = [b for b in bins if b[0] - b[1] >= lengths[i]]
+        if fits:
+            chosen = min(fits, key=lambda b: (b[0] - b[1], bins.index(b)))
+        else:
+            costs = []
+            for capacity in capacities:
+                if capacity >= lengths[i]:
+                    used = lengths[i]
+                    for j in order[nth + 1 :]:
+                        if used + lengths[j] <= capacity:
+                            used += lengths[j]
+                    costs.append((packing.bin_cost(min(c for c in capacities if c >= used)) / used, capacity))
+            chosen = [min(costs)[1], 0, len(bins)]
+            bins.append(chosen)
+        where[i] = (chosen[2], chosen[1])
+        chosen[1] += lengths[i]
+    final = [min(c for c in capacities if c >= b[1]) for b in bins]
+    return [(where[i][0], final[where[i][0]], where[i][1]) for i in range(len(lengths))]
+
+
+def test_pack_against_brute_force(monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(packing, "ATTENTION_TOKENS", 64)
+    monkeypatch.setattr(packing, "BIN_COST", 2)
+    capacities = (16, 32, 64)
+    for _ in range(120):
+        lengths = [rng.randint(1, 64) for _ in range(rng.randint(1, 60))]
+        got, want = packing.pack(lengths, capacities), naive_pack(lengths, capacities)
+        assert got == want
+
+    def cost(placed):
+        return sum(packing.bin_cost(c) for c in {at: c for at, c, _ in placed}.values())
+
+    def best(lengths):
+        """The least cost over all ways to group the pieces."""
+        found = [float("inf")]
+
+        def go(i, bins):
+            if i == len(lengths):
+                found[0] = min(found[0], sum(packing.bin_cost(min(c for c in capacities if c >= b)) for b in bins))
+                return
+            for k in range(len(bins)):
+                if bins[k] + lengths[i] <= capacities[-1]:
+                    go(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+            go(i + 1, [*bins, lengths[i]])
+
+        go(0, [])
+        return found[0]
+
+    ratios = []
+    for _ in range(60):
+        lengths = [rng.randint(1, 64) for _ in range(7)]
+        ratios.append(cost(packing.pack(lengths, capacities)) / best(lengths))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.1
+
+
+def test_several_sizes_beat_any_single_one():
+    rng = random.Random(4)
+    cost = lambda placed: sum(packing.bin_cost(c) for c in {at: c for at, c, _ in placed}.values())
+    # Pieces up to the largest size: only that one holds all of them.
+    mixed = [min(4096, int(rng.lognormvariate(5.8, 1.2)) + 1) for _ in range(3000)]
+    joint = packing.pack(mixed)
+    assert len({c for _, c, _ in joint}) == 4 and cost(joint) < 0.9 * cost(packing.pack(mixed, (4096,)))
+    # Short pieces, of which every size holds all: some lengths share a bin of one size best, some of another.
+    short = [rng.choice([170, 340, 500]) + rng.randint(0, 10) for _ in range(1000)]
+    singles = []
+    for size in packing.CAPACITIES:
+        singles.append(sum(packing.bin_cost(size) for _ in {at for at, _, _ in packing.pack(short, (size,))}))
+    joint = packing.pack(short)
+    assert len({c for _, c, _ in joint}) > 1 and cost(joint) < min(singles), (cost(joint), singles)
+
+
 def test_pack_documents(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randint(0, 300)), None, None, 0) for i in range(60)] + [(1, None, None, None, 0), (None, prose(rng, 40), None, None, 0), (3, "a b", None, None, 0), (3, "a b", None, None, 0)]
@@ -186,6 +276,29 @@ def test_url_keys():
     assert warc.url_key("HTTPS://www.News.Example.com:8080/a?b#c") == "com,example,news)/a?b"
 
 
+@pytest.mark.parametrize("stage", ["quality", "packing", "near", "mixing"])
+def test_clashing_columns(spark, stage):
+    names = ["__text", "__key", "row", "size", "verdict", "kept", "ticket", "k", "copies", "mark", "c0", "piece"]
+    schema = DOC + ", " + ", ".join(f"`{n}` string" for n in names)
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 40), "en", "s", 0, *names) for i in range(12)]
+    df = spark.createDataFrame([*rows, rows[0], (None, None, None, None, None, *names)], schema)
+    if stage == "packing":
+        got = packing.pack_documents(df).collect()
+        assert sum(r.length for r in got) == 13 * 40
+        return
+    if stage == "quality":
+        labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+        out = quality.good_documents(df, labels)
+    else:
+        out = near_dedup.drop_near_duplicates(df) if stage == "near" else mixing.mix_documents(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert got and all(list(r)[5:] == names for r in got)
+    if stage == "near":
+        assert sorted((r.doc_id for r in got), key=str) == sorted([*range(12), None], key=str)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -183,25 +184,78 @@ def test_pii_contexts(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def counted(text):
+    """(keys, counts, context sums) of the orders four to one, restated."""
+    four = Counter(language.grams([text.encode()])[0].tolist())
+    tables, table = [], four
+    for length in (4, 3, 2, 1):
+        if length < 4:
+            table = Counter(k & ((1 << 16 * length) - 1) for k in table)
+        sums = Counter()
+        for k, n in table.items():
+            sums[k >> 16] += n
+        keys = sorted(table)
+        tables.append((np.array(keys, np.uint64), np.array([table[k] for k in keys]), np.array([sums[k >> 16] for k in keys])))
+    return tables
+
+
 def test_language_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    codes, counts = np.unique(rng.integers(0, 1 << 12, 500).astype(np.uint32), return_counts=True)
-    model = language.kneser_ney(["x"], {"x": (codes, counts.astype(float))})
-    for context in (int(codes[0]) >> 6, 77):
-        every = np.arange(context << 6, (context << 6) + 64, dtype=np.uint32)
-        logs = []
-        for c in every:
-            at = np.searchsorted(model.codes, c)
-            known = at < len(model.codes) and model.codes[at] == c
-            logs.append(model.logs[0][at] if known else model.back[0][c >> 6] + model.lower[0][c & 0x3FFFF])
-        assert abs(np.exp(np.array(logs, float)).sum() - 1) < 1e-4
-
-
-def test_grams_stay_inside_texts():
-    texts = ["Été à la", "  x!!y  ", "", "日本 z", "a"]
-    alone = [language.gram_codes([t.encode()])[0].tolist() for t in texts]
-    codes, owner = language.gram_codes([t.encode() for t in texts])
-    assert [codes[owner == i].tolist() for i in range(len(texts))] == alone
+    tables = counted(prose(random.Random(1), 200) + " été là 日本")
+    whole = language.kneser_ney(tables)
+    few = language.kneser_ney([tuple(x[t[1] >= 3] for x in t) for t in tables])
+    for model in (whole, few):
+        for context in (int(tables[0][0][5]) >> 16, int(tables[0][0][-1]) >> 16, 0, 77 << 16 | 3):
+            every = np.arange(context << 16, (context << 16) + (1 << 16), dtype=np.uint64)
+            assert abs(np.exp(model.log_probabilities(every)).sum() - 1) < 1e-4
+
+
+def test_language_against_brute_force():
+    """Interpolation written as its recursion, from the same counts."""
+    tables = counted(prose(random.Random(2), 120))
+    tables_by_length = [dict(zip(t[0].tolist(), zip(t[1].tolist(), t[2].tolist(), strict=True), strict=True)) for t in tables]
+
+    def p(key, at):
+        if at == 4:
+            return 1 / (1 << 16)
+        length = 4 - at
+        context = (key & ((1 << 16 * length) - 1)) >> 16
+        own = {k: v for k, v in tables_by_length[at].items() if k >> 16 == context}
+        rest = 1 - sum((n - 0.75) / total for n, total in own.values()) if own else 1
+        n, total = own.get(key & ((1 << 16 * length) - 1), (0, 1))
+        return max(n - 0.75, 0) / total + rest * p(key, at + 1)
+
+    queries = np.unique(language.grams([(prose(random.Random(3), 20) + " xyz ß").encode()])[0])
+    got = language.kneser_ney(tables).log_probabilities(queries)
+    assert np.allclose(got, [np.log(p(int(k), 0)) for k in queries], atol=1e-4)
+
+
+def test_grams_stay_inside_texts_and_scripts_apart():
+    texts = ["Été à la", "  x!!y  ", "", "日本 z", "a", "𐐀𐐁 x"]
+    alone = [language.grams([t.encode()])[0].tolist() for t in texts]
+    keys, owner = language.grams([t.encode() for t in texts])
+    assert [keys[owner == i].tolist() for i in range(len(texts))] == alone
+    assert len({language.grams([c.encode()])[0].tolist()[0] for c in "aéжя日本語한"}) == 8
+
+
+def test_language_counts_orders_and_rejection(spark):
+    rng = random.Random(7)
+    kinds = {"aa": ["the", "of", "tion", "and", "ing"], "bb": ["der", "und", "schaft", "ung", "ich"]}
+    make = lambda k: " ".join("".join(rng.choice(kinds[k]) for _ in range(2)) for _ in range(30))
+    rows = [(i, make(k), k, "s", 0) for i, k in enumerate(rng.choice(list(kinds)) for _ in range(600))]
+    df = frame(spark, rows, DOC)
+    table = language._kept_grams(language.gram_counts(df.select("text", "lang"))).filter("lang = 'aa'").collect()
+    want = Counter()
+    for _, t, k, *_ in rows:
+        if k == "aa":
+            want.update(language.grams([t.encode()])[0].tolist())
+    for length in (4, 3, 2, 1):
+        if length < 4:
+            want = Counter(k & ((1 << 16 * length) - 1) for k in want)
+        assert {r.gram % 2**64: r.n for r in table if r.length == length} == dict(want)
+    model = language.fit(df)
+    strange = spark.createDataFrame([(1, "zqxv wkjy qqzx vvkw xjqz " * 8), (2, make("aa"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(strange, model).collect()}
+    assert got[1].rejected and not got[2].rejected and got[2].lang_pred == "aa"
 
 
 def test_language_accuracy(spark):
