@@ -137,11 +137,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 name = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            htmls = as_bytes(column["html"])
             fields = [column[n].to_pylist() for n in ("page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to")]
             keys, offsets, lengths = [], [], []
-            for body, (page_id, url, digest, size, kind, refers_to) in zip(htmls, zip(*fields, strict=True), strict=True):
-                raw = _record(kind, url or "", page_id, digest, size, refers_to, body if kind == "response" else b"")
+            for i, (page_id, url, digest, size, kind, refers_to) in enumerate(zip(*fields, strict=True)):
+                # A payload at a time; the batch is the only copy of all of them.
+                body = as_bytes(column["html"].slice(i, 1))[0] if kind == "response" else b""
+                raw = _record(kind, url or "", page_id, digest, size, refers_to, body)
                 member = gzip.compress(raw, _GZIP_LEVEL, mtime=0)
                 out.write(member)
                 keys.append(url_key(url))
