@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.llm.text import as_bytes, chunks
+from cuegrid.scratch import materialise
 
 ORDER = 4
 #: Absolute discount of every order.
@@ -262,7 +263,7 @@ def held_out(doc_id="doc_id"):
 def _kept_grams(counted: DataFrame) -> DataFrame:
     """(lang, length, gram, n, total): the counts of each order with the sum of the gram's context, from
     the least count on at which no more than KEEP grams of a language are left."""
-    orders, table = [], counted
+    orders, table = [], (counted := materialise(counted, "language-grams"))
     for length in range(ORDER, 0, -1):
         if length < ORDER:
             # Continuation counts: distinct left neighbours.
@@ -272,6 +273,7 @@ def _kept_grams(counted: DataFrame) -> DataFrame:
     every = orders[0]
     for one in orders[1:]:
         every = every.unionByName(one)
+    every = materialise(every, "language-orders")
     context = F.shiftrightunsigned("gram", _BITS)
     # Few rows come back: a language has at most 64 levels an order.
     levels = every.groupBy("lang", "length", F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("k")).collect()
