@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuegrid.functions.text import atempo_chain, filter_path
 
 
+# The argument lists below are what the tools are called with.
 def _line(*parts: Column | str) -> Column:
     return F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
@@ -31,6 +32,16 @@ def faststart_remux(src: Column, dst: Column) -> Column:
     return _line("ffmpeg", "-y", "-i", src, "-c:v", "copy", "-c:a", "aac", "-b:a", "192k", "-movflags", "+faststart", dst)
 
 
+def transcode_wav(src: Column, dst: Column, rate: int | None = None) -> Column:
+    """Sound alone, uncompressed; at ``rate`` if given (48,000 for delivery)."""
+    return _line("ffmpeg", "-y", "-loglevel", "error", "-i", src, "-vn", "-acodec", "pcm_s16le", *(["-ar", str(rate)] if rate else []), dst)
+
+
+def probe_streams(src: Column) -> Column:
+    """Prints the kind of the first video stream, or nothing."""
+    return _line("ffprobe", "-v", "error", "-select_streams", "v:0", "-show_entries", "stream=codec_type", "-of", "csv=p=0", src)
+
+
 def burn_subtitles(video: Column, srt: Column, out: Column, font_size: int = 14) -> Column:
     style = f"FontName=DejaVu Sans,FontSize={font_size},Alignment=2,MarginV=10,Outline=1,Shadow=0,BorderStyle=1"
     filters = F.concat(F.lit("subtitles="), filter_path(srt), F.lit(f":force_style='{style}'"))

@@ -43,5 +43,19 @@ def voice_supports(backend: str, code: Column) -> Column:
     return code.isin(*VOICES[backend.lower()])
 
 
+def checked_voice(backend: str, code: Column) -> Column:
+    """The code if the voices support it; else an error that lists the supported codes in order."""
+    known = ", ".join(sorted(VOICES[backend.lower()]))
+    message = F.concat(F.lit(f"{backend} cannot speak "), F.coalesce(code, F.lit("null")), F.lit(f"; supported: {known}"))
+    return F.when(voice_supports(backend, code), code).otherwise(F.raise_error(message).cast("string"))
+
+
+def voice_error(backend: str, code: Column) -> Column:
+    """The message of ``checked_voice`` as a value, null where the voices support the code."""
+    known = ", ".join(sorted(VOICES[backend.lower()]))
+    message = F.concat(F.lit(f"{backend} cannot speak "), F.coalesce(code, F.lit("null")), F.lit(f"; supported: {known}"))
+    return F.when(~F.coalesce(voice_supports(backend, code), F.lit(False)), message)
+
+
 def resolve_language(detected: Column, requested: Column) -> Column:
     return F.coalesce(F.nullif(detected, F.lit("")), F.nullif(requested, F.lit("")), F.lit("unknown"))

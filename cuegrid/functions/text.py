@@ -20,9 +20,13 @@ def or_else(first: Column, other: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), other)
 
 
+# Fixed value: what closes a sentence.
+SENTENCE_END = r"[.!?…。！？]+[\"'”’)]?\s*$"
+
+
 def ends_sentence(word: Column) -> Column:
     """The word closes a sentence: final punctuation, perhaps one closing quote or bracket, then blanks."""
-    return word.rlike(r"(?U)[.!?…。！？]+[\"'”’)]?\s*$")
+    return word.rlike("(?U)" + SENTENCE_END)
 
 
 def video_id(url: Column) -> Column:
@@ -49,16 +53,21 @@ def atempo_chain(factor: Column) -> Column:
     return F.array_join(F.transform(stages, lambda x: F.concat(F.lit("atempo="), F.format_string("%.6f", F.bround(x, 6)))), ",")
 
 
+# The patterns of what a model puts around its answer.
+_THINKING, _FENCE_OPEN, _FENCE_CLOSE = r"(?s)<think>.*?</think>", r"^```[a-zA-Z]*\n?", r"\n?```$"
+_LABEL = r"(?i)^(translation|translated text|output)(?U)\s*:\s*"
+
+
 def clean_reply(text: Column) -> Column:
     """A model's reply without thinking, code fences, one layer of quotes and a leading label, in that
     order (quotes behind a label therefore stay)."""
-    bare = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
-    bare = F.regexp_replace(bare, r"^```[a-zA-Z]*\n?", "")
-    bare = strip(F.regexp_replace(bare, r"\n?```$", ""))
+    bare = strip(F.regexp_replace(text, _THINKING, ""))
+    bare = F.regexp_replace(bare, _FENCE_OPEN, "")
+    bare = strip(F.regexp_replace(bare, _FENCE_CLOSE, ""))
     first = F.substring(bare, 1, 1)
     quoted = (F.length(bare) > 1) & first.isin('"', "'") & (first == F.right(bare, F.lit(1)))
     bare = F.when(quoted, strip(F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
-    return strip(F.regexp_replace(bare, r"(?i)^(translation|translated text|output)(?U)\s*:\s*", ""))
+    return strip(F.regexp_replace(bare, _LABEL, ""))
 
 
 def filter_path(path: Column) -> Column:

@@ -57,6 +57,20 @@ def overshoots(segments: DataFrame, budget: Column) -> DataFrame:
     return rows.filter("chars > budget")
 
 
+def shorten_overshoots(segments: DataFrame, budget: Column, shorten, rounds: int = 2) -> DataFrame:
+    """Extension: ``segments`` with ``translated`` no longer than its budget where ``shorten`` (text, budget ->
+    text, columns) manages it in at most ``rounds`` attempts, and ``attempts``, how many a line took. An
+    attempt that does not get shorter changes nothing. A bounded unrolling, no loop over rows."""
+    out = segments.withColumn("attempts", F.lit(0))
+    said = or_else(F.col("translated"), F.col("text"))
+    for _ in range(rounds):
+        over = F.length(said) > budget
+        shorter = shorten(said, budget)
+        better = over & (F.length(shorter) < F.length(said)) & (shorter != "")
+        out = out.withColumns({"translated": F.when(better, shorter).otherwise(F.col("translated")), "attempts": F.col("attempts") + F.coalesce(over.cast("int"), F.lit(0))})
+    return out
+
+
 def context_load(batches: DataFrame, limit_tokens: int, chars_per_token: float = 4.0) -> DataFrame:
     """Extension: video_id, batch, tokens of ``batches`` (video_id, batch, text); one too large for the
     model's context raises."""

@@ -69,6 +69,34 @@ def timeline_fit(clips: DataFrame) -> DataFrame:
     return rows.select("video_id", "index", "source_ms", "fit_ms", (F.col("fit_ms") - F.col("source_ms")).alias("delay_ms"))
 
 
+def exact_fit(clips: DataFrame, totals: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Extension: video_id, index, source_ms, fit_ms, placed_ms, factor, pad_ms for ``totals`` (video_id, total_ms):
+    starts as in ``timeline_fit``, and an end that is exactly the total where the cap allows it.
+
+    Overflow moves later clips into the silences first. What would still end after the total is
+    compressed, as little as that takes and by at most ``max_speedup``: in a run of clips that touch each
+    other up to the end, every clip takes the same factor. A plan that is short is padded with silence.
+    """
+    order = Window.partitionBy("video_id").orderBy("index")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fit = timeline_fit(clips).join(clips.select("video_id", "index", "clip_ms"), ["video_id", "index"]).join(totals, "video_id")
+    end = F.max(F.col("fit_ms") + F.col("clip_ms")).over(whole)
+    # Clips that start where they should begin a run; the last run is what can be compressed.
+    run = F.max(F.when(F.col("delay_ms") == 0, F.col("index"))).over(whole)
+    begin = F.max(F.when(F.col("delay_ms") == 0, F.col("source_ms"))).over(whole)
+    rows = fit.withColumn("run", run).withColumn("begin", begin).withColumn("end", end)
+    length = F.col("end") - F.col("begin")
+    room = F.greatest(F.col("total_ms") - F.col("begin"), F.lit(1))
+    wanted = F.when(F.col("end") > F.col("total_ms"), F.least(length / room, F.lit(settings.max_speedup))).otherwise(F.lit(1.0))
+    rows = rows.withColumn("factor", F.when(F.col("index") >= F.col("run"), wanted).otherwise(F.lit(1.0)))
+    squeezed = lambda ms: F.col("begin") + F.floor((ms - F.col("begin")) / F.col("factor"))
+    start = F.when(F.col("factor") > 1.0, F.greatest(squeezed(F.col("fit_ms")), F.col("source_ms"))).otherwise(F.col("fit_ms"))
+    stop = F.when(F.col("factor") > 1.0, squeezed(F.col("fit_ms") + F.col("clip_ms"))).otherwise(F.col("fit_ms") + F.col("clip_ms"))
+    rows = rows.withColumn("start_ms", start.cast("long")).withColumn("placed_ms", F.greatest(F.lit(0), stop - start).cast("long"))
+    pad = F.greatest(F.lit(0), F.col("total_ms") - F.max(F.col("start_ms") + F.col("placed_ms")).over(whole))
+    return rows.select("video_id", "index", "source_ms", F.col("start_ms").alias("fit_ms"), "placed_ms", "factor", pad.cast("long").alias("pad_ms"))
+
+
 def slack_budget(segments: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Extension: characters that fit until the next segment starts (the last one: its own slot)."""
     nxt = F.coalesce(F.lead("start").over(Window.partitionBy("video_id").orderBy("index")), F.col("end"))

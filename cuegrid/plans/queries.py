@@ -39,7 +39,7 @@ def q_atempo_chain(spark, d):
 
 
 def q_llm_clean(spark, d):
-    body, k = F.substring("text", 1, 60), F.col("doc_id") % 6
+    body, k = F.col("text"), F.col("doc_id") % 6
     raw = (
         F.when(k == 0, F.concat(F.lit("<think>a\nb</think> "), body))
         .when(k == 1, F.concat(F.lit("```text\n"), body, F.lit("\n```")))
@@ -57,9 +57,9 @@ def q_char_budget(spark, d):
 
 
 def q_pick_candidate(spark, d):
-    at = lambda n: F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, n)
-    options = F.array(at(30), at(10), F.concat(F.lit(" "), at(50)), at(30), F.lit("  "))
-    budget = (F.col("doc_id") % 60).cast("int")
+    """The lines of a text are its candidates, and the whole text twice."""
+    options = F.concat(F.split("text", "\n"), F.array(F.concat(F.lit(" "), "text"), F.col("text"), F.lit("  ")))
+    budget = (F.col("doc_id") % 600).cast("int")
     return table(spark, d, "documents").select("doc_id", translation.pick_candidate(options, budget, F.col("text")).alias("picked"))
 
 
@@ -76,8 +76,7 @@ def q_segment_fallback(spark, d):
     docs = table(spark, d, "documents")
     lines = docs.select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
     raw = lines.select("video_id", "seq", F.col("seq").cast("double").alias("start"), (F.col("seq") + 1.0).alias("end"), "text")
-    built = segmentation.segment_fallback(_words(spark, d).filter("video_id % 5 <> 0"), raw)
-    return built.groupBy("video_id").agg(F.count("*").alias("segments"), F.max("index").alias("last"), F.sum(F.length("text")).alias("chars"))
+    return segmentation.segment_fallback(_words(spark, d).filter("video_id % 5 <> 0"), raw)
 
 
 def q_assign_speakers(spark, d):
@@ -116,7 +115,7 @@ def q_context_window(spark, d):
 def q_prompts(spark, d):
     rows = translation.context_window(_segments(spark, d)).withColumn("budget", translation.char_budget())
     prompt = translation.user_prompt(F.col("text"), F.col("context"), F.col("budget"))
-    return rows.select("video_id", "index", F.length(prompt).alias("chars"))
+    return rows.select("video_id", "index", prompt.alias("prompt"))
 
 
 def q_merge_fragments(spark, d):
@@ -290,25 +289,25 @@ SQL = {
     "atempo_chain": """WITH f AS (SELECT event_id, least(greatest(floor(abs(value) * 16) / 256.0, 0.25), 4.0)::DOUBLE AS f FROM events)
 SELECT event_id, CASE WHEN f > 2 THEN printf('atempo=2.000000,atempo=%.6f', f / 2) WHEN f < 0.5 THEN printf('atempo=0.500000,atempo=%.6f', f / 0.5) ELSE printf('atempo=%.6f', f) END AS chain FROM f""",
     "llm_clean": r"""WITH raw AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '<think>a' || chr(10) || 'b</think> ' || b WHEN 1 THEN '```text' || chr(10) || b || chr(10) || '```'
-  WHEN 2 THEN '"' || b || '"' WHEN 3 THEN 'Translation: ' || b WHEN 4 THEN 'OUTPUT : "' || b || '"' ELSE '  ' || b || ' ' END AS t FROM (SELECT doc_id, substr(text, 1, 60) AS b FROM documents)),
+  WHEN 2 THEN '"' || b || '"' WHEN 3 THEN 'Translation: ' || b WHEN 4 THEN 'OUTPUT : "' || b || '"' ELSE '  ' || b || ' ' END AS t FROM (SELECT doc_id, text AS b FROM documents)),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '<think>.*?</think>', '', 'gs'), '^\s+|\s+$', '', 'g') AS t FROM raw),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '^```[a-zA-Z]*\n?', ''), '\n?```$', ''), '^\s+|\s+$', '', 'g') AS t FROM a),
 c AS (SELECT doc_id, CASE WHEN length(t) > 1 AND substr(t, 1, 1) IN ('"', '''') AND substr(t, 1, 1) = right(t, 1) THEN regexp_replace(substr(t, 2, length(t) - 2), '^\s+|\s+$', '', 'g') ELSE t END AS t FROM b)
 SELECT doc_id, regexp_replace(regexp_replace(t, '^(translation|translated text|output)\s*:\s*', '', 'i'), '^\s+|\s+$', '', 'g') AS cleaned FROM c""",
     "char_budget": f"WITH {_SEGMENTS} SELECT video_id, index, greatest(20, trunc(greatest(0, \"end\" - start) * 15.0::DOUBLE * 1.4::DOUBLE)::INT) AS budget, length(coalesce(nullif(regexp_replace(translated, '^\\s+|\\s+$', '', 'g'), ''), text))::INT AS chars FROM segments",
-    "pick_candidate": """WITH b AS (SELECT doc_id, (doc_id % 60)::INT AS budget, replace(text, chr(10), ' ') AS t, text FROM documents),
-options AS (SELECT doc_id, budget, unnest([substr(t, 1, 30), substr(t, 1, 10), ' ' || substr(t, 1, 50), substr(t, 1, 30), '  ']) AS c, unnest(range(5)) AS i FROM b),
-clean AS (SELECT doc_id, budget, trim(c) AS c, min(i) AS i FROM options WHERE trim(c) <> '' GROUP BY doc_id, budget, trim(c)),
+    "pick_candidate": """WITH b AS (SELECT doc_id, (doc_id % 600)::INT AS budget, list_concat(string_split(text, chr(10)), [' ' || text, text, '  ']) AS o, text FROM documents),
+options AS (SELECT doc_id, budget, regexp_replace(unnest(o), '^\\s+|\\s+$', '', 'g') AS c, unnest(range(len(o))) AS i FROM b),
+clean AS (SELECT doc_id, budget, c, min(i) AS i FROM options WHERE c <> '' GROUP BY doc_id, budget, c),
 ranked AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY length(c) <= budget DESC, CASE WHEN length(c) <= budget THEN -length(c) ELSE length(c) END, i) AS n FROM clean)
 SELECT b.doc_id, coalesce(r.c, b.text) AS picked FROM b LEFT JOIN ranked r ON r.doc_id = b.doc_id AND r.n = 1""",
     "sentence_segments": f"WITH {_WORDS}{_sentences(140, 8.0)} SELECT * FROM sentences",
     "sentence_segments_tight": f"WITH {_WORDS}{_sentences(30, 2.0)} SELECT * FROM sentences",
     "segment_fallback": f"""WITH {_WORDS}, some_words AS (SELECT * FROM words WHERE video_id % 5 <> 0){_sentences(140, 8.0, "some_words")},
 raw AS (SELECT doc_id AS video_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS seq FROM documents),
-bare AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY seq) - 1 AS index, trim(text) AS text FROM raw
+bare AS (SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY seq) - 1)::INT AS index, seq::DOUBLE AS start, seq + 1.0::DOUBLE AS "end", trim(text) AS text FROM raw
   WHERE trim(text) <> '' AND video_id NOT IN (SELECT video_id FROM some_words)),
-every AS (SELECT video_id, index, text FROM sentences UNION ALL SELECT video_id, index, text FROM bare)
-SELECT video_id, count(*) AS segments, max(index)::INT AS last, sum(length(text))::BIGINT AS chars FROM every GROUP BY video_id""",
+every AS (SELECT * FROM sentences UNION ALL SELECT * FROM bare)
+SELECT * FROM every""",
     "assign_speakers": f"WITH {_ASSIGNED} SELECT video_id, index, voice AS speaker FROM assigned",
     "reference_clips": f"""WITH {_SEGMENTS}, ms AS (SELECT video_id, speaker, index, trunc(start * 1000)::BIGINT AS from_ms, greatest(0, trunc("end" * 1000)::BIGINT - trunc(start * 1000)::BIGINT) AS ms FROM segments),
 g AS (SELECT *, coalesce(sum(ms) OVER (PARTITION BY video_id, speaker ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS gathered FROM ms)
@@ -327,8 +326,8 @@ FROM t LEFT JOIN p ON p.video_id = t.video_id AND p.index = t.index AND p.n <= 6
     "prompts": f"""WITH {_SEGMENTS}, t AS (SELECT *, {_strip('text')} AS source, {_strip('translated')} AS target, greatest(20, trunc(greatest(0, "end" - start) * 15.0::DOUBLE * 1.4::DOUBLE)::INT) AS budget FROM segments),
 p AS (SELECT a.video_id, a.index, b.index AS k, '  ' || b.source || '  ->  ' || b.target AS line, row_number() OVER (PARTITION BY a.video_id, a.index ORDER BY b.index DESC) AS n FROM t a JOIN t b ON b.video_id = a.video_id AND b.index < a.index AND b.source <> '' AND b.target <> ''),
 c AS (SELECT video_id, index, string_agg(line, chr(10) ORDER BY k) AS lines FROM p WHERE n <= 6 GROUP BY ALL)
-SELECT t.video_id, t.index, length(coalesce('Earlier lines, for context:' || chr(10) || c.lines, 'Opening line: it sets the tone.') || chr(10) || chr(10) || 'Line to translate:' || chr(10) || t.source || chr(10) || chr(10)
-  || 'At most about ' || t.budget || ' characters, but keep the meaning.')::INT AS chars FROM t LEFT JOIN c ON c.video_id = t.video_id AND c.index = t.index""",
+SELECT t.video_id, t.index, coalesce('Earlier lines, for context:' || chr(10) || c.lines, 'Opening line: it sets the tone.') || chr(10) || chr(10) || 'Line to translate:' || chr(10) || t.source || chr(10) || chr(10)
+  || 'At most about ' || t.budget || ' characters, but keep the meaning.' AS prompt FROM t LEFT JOIN c ON c.video_id = t.video_id AND c.index = t.index""",
     "dub_plan": "WITH RECURSIVE " + _ASSIGNED + _merged(f"coalesce(nullif({_strip('translated')}, ''), text)", "voice", "assigned") + """,
 sized AS (SELECT *, greatest(0, "end" - start) AS slot, trunc(length(text) * 1000 / 16.0::DOUBLE)::BIGINT AS clip_ms FROM merged),
 fitted AS (SELECT *, greatest(20, trunc(slot * 16.0::DOUBLE * 1.4::DOUBLE)::INT) AS budget,

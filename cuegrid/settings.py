@@ -31,17 +31,45 @@ class Settings:
     compute_type: str = ""
 
     @classmethod
-    def resolve(cls, **given) -> Settings:
-        """Keyword arguments outrank the environment, which outranks the defaults."""
-        values = {}
+    def resolve(cls, env_file: str | None = ".env", **given) -> Settings:
+        """Keyword arguments outrank the environment, which outranks ``env_file`` (NAME=value lines), which
+        outranks the defaults."""
+        values, filed = {}, read_env(env_file)
         for f in fields(cls):
-            raw = os.environ.get(f"CUEGRID_{f.name.upper()}")
+            name = f"CUEGRID_{f.name.upper()}"
+            raw = os.environ.get(name, filed.get(name))
             if given.get(f.name) is not None:
                 values[f.name] = given[f.name]
             elif raw is not None:
                 values[f.name] = type(f.default)(raw)
         return cls(**values)
 
+    @property
+    def resolved_device(self) -> str:
+        """The device asked for; ``auto`` takes the best there is."""
+        return detect_device() if self.device == "auto" else self.device
+
     @property
     def resolved_compute_type(self) -> str:
-        return self.compute_type or ("float16" if self.device == "cuda" else "int8")
+        return self.compute_type or ("float16" if self.resolved_device == "cuda" else "int8")
+
+
+def read_env(path: str | None) -> dict[str, str]:
+    """NAME=value lines; blank and # lines are passed over, quotes around a value dropped."""
+    if not path or not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        pairs = [line.split("=", 1) for line in f if "=" in line and not line.lstrip().startswith("#")]
+    return {name.strip().removeprefix("export ").strip(): value.strip().strip("\"'") for name, value in pairs}
+
+
+def detect_device() -> str:
+    """cuda before mps before cpu; cpu where there is no tensor library to ask."""
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    if torch.cuda.is_available():
+        return "cuda"
+    mps = getattr(torch.backends, "mps", None)
+    return "mps" if mps is not None and mps.is_available() else "cpu"

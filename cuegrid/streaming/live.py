@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cuegrid.functions.text import SENTENCE_END
 from cuegrid.settings import Settings
 
 
@@ -21,7 +22,6 @@ def latest_jobs_stream(log: DataFrame) -> DataFrame:
 
 _SEGMENT = "video_id long, index int, start double, end double, text string"
 _STATE = "words string, index int"
-_ENDS = r"[.!?…。！？]+[\"'”’)]?\s*$"
 
 
 def sentence_segments_stream(words: DataFrame, settings: Settings = Settings(), idle: str = "10 minutes") -> DataFrame:
@@ -32,7 +32,7 @@ def sentence_segments_stream(words: DataFrame, settings: Settings = Settings(),
     import json
     import re
 
-    ends = re.compile(_ENDS)
+    ends = re.compile(SENTENCE_END)
     timeout_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
