@@ -16,6 +16,9 @@ _TABLE = {
     "op9_warc": ("warc", "op9_warc", "OP9_SQL"),
     "op10_line_dedup": ("line_dedup", "op10_line_dedup", "OP10_SQL"),
     "op6_pack": ("packing", "op6_pack", None),
+    "licenses_base": ("base_sql", "licenses_base", "LICENSES_SQL"),
+    "quality_base": ("base_sql", "quality_base", "QUALITY_SQL"),
+    "pii_base": ("base_sql", "pii_base", "PII_SQL"),
 }
 
 

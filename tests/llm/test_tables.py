@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.llm import mixing, near_dedup, packing, quality, topk, warc
 from cuegrid.scratch import scratch_path
-from tests.llm.helpers import DOC, blank_split, documents, frame, prose
+from tests.llm.helpers import DOC, blank_split, documents, folded, frame, prose
 
 VEC = "vec_id long, embedding array<float>, label int"
 
@@ -299,6 +299,80 @@ def test_clashing_columns(spark, stage):
         assert sorted((r.doc_id for r in got), key=str) == sorted([*range(12), None], key=str)
 
 
+def shingles(text):
+    w = blank_split(folded(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_brute(rows):
+    """The rows that stay: the smallest id of every component, one of rows that repeat id and text."""
+    texts = {}
+    for doc_id, text, *_ in rows:
+        if doc_id is not None:
+            texts.setdefault(doc_id, []).append(shingles(text))
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in texts[a] for y in texts[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    kept = {r[:2] for r in rows if r[0] is not None and find(r[0]) == r[0]}
+    return sorted([*kept, *[r[:2] for r in rows if r[0] is None]], key=repr)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what the stage before it kept, against a restatement of its operator."""
+    import corpus_pipeline
+
+    from tests.llm.test_line_dedup import brute as lines_brute
+
+    rng = random.Random(8)
+    rows = documents(8) + [(700 + i, prose(rng, 40) + "\n" + rows_line, "en", "s2", 0) for i, rows_line in enumerate([prose(rng, 12)] * 4 + ["share this"] * 3)]
+    rows += [(500 + i, " ".join(w.upper() + "!!" for w in prose(rng, 60).split()), "en", "s1", 0) for i in range(30)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(r[0], int(not 500 <= r[0] < 600), 0) for r in rows if r[0] is not None and r[0] % 2 == 0]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, stages = spark.read.parquet(str(tmp_path / "documents.parquet")), dict(corpus_pipeline.STAGES)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    model = quality.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    good = stages["quality rules"](spark, docs, str(tmp_path))
+    kept = [r for r in rows if quality.verdict_of(r[1].encode() if r[1] is not None else None, model)[-1]]
+    assert pairs(good) == sorted([r[:2] for r in kept], key=repr) and 20 < len(kept) < len(rows)
+
+    short = stages["line dedup"](spark, frame(spark, kept), str(tmp_path))
+    assert pairs(short) == lines_brute(kept)
+
+    rest = [tuple(r) for r in short.collect()]
+    single = stages["MinHash near-dedup"](spark, frame(spark, rest), str(tmp_path))
+    assert pairs(single) == near_brute(rest)
+
+    left = [tuple(r) for r in single.collect()]
+    mixed = stages["mixing sources"](spark, frame(spark, left), str(tmp_path))
+    taken = sorted(eval(x, {"nan": None})[0::4] for x in duck_mix(left))  # (doc_id, taken)
+    words = {}
+    for r in mixed.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(blank_split(r.text))
+    want = {}
+    for doc_id, n in taken:
+        want[doc_id] = want.get(doc_id, 0) + n
+    assert words == {k: v for k, v in want.items() if v}
+
+    final = frame(spark, [tuple(r) for r in mixed.collect()])
+    packed = stages["best-fit packing"](spark, final, str(tmp_path)).collect()
+    pieces = sorted(tuple(r) for r in packing.pieces_of(final, packing.CAPACITIES, None).select("ticket", "piece", "doc_id", "length").collect())
+    expected = naive_pack([p[3] for p in pieces], packing.CAPACITIES)
+    assert sorted((r.doc_id, r.piece, r.length, r.capacity, r.offset) for r in packed) == sorted((p[2], p[1], p[3], c, o) for p, (_, c, o) in zip(pieces, expected, strict=True))
+    assert {r.bin_id for r in packed} == {f"0-{at}" for at, _, _ in expected}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
