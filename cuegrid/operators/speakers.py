@@ -83,23 +83,40 @@ def linkage_labels(vectors: np.ndarray, threshold: float) -> np.ndarray:
     """Average linkage by cosine until the closest two clusters are below the threshold.
 
     The mean similarity of two clusters is the product of their vector sums over the product of their
-    sizes, so a merge costs a matrix update and not a new round over all pairs.
+    sizes, so a merge updates one row and one column; time is about the square of the number of vectors.
     """
     unit = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
     n = len(unit)
     owner, size, alive = np.arange(n), np.ones(n), np.ones(n, bool)
     total = unit @ unit.T
-    upper = np.triu(np.ones((n, n), bool), 1)
+    # Means of the pairs i < j that are still apart, with the best of every row; a merge changes one
+    # row and one column, so only rows whose best was there are searched again.
+    mean = np.where(np.triu(np.ones((n, n), bool), 1), total, -np.inf)
+    where = mean.argmax(axis=1)
+    best = mean[np.arange(n), where]
     for _ in range(n - 1):
-        mean = np.where(upper & alive[:, None] & alive[None, :], total / np.outer(size, size), -np.inf)
-        i, j = divmod(int(np.argmax(mean)), n)
-        if mean[i, j] <= -1.0 or mean[i, j] < threshold:
+        i = int(np.argmax(best))
+        j = int(where[i])
+        if best[i] <= -1.0 or best[i] < threshold:
             break
         total[i] += total[j]
         total[:, i] += total[:, j]
         size[i] += size[j]
         alive[j] = False
         owner[owner == j] = i
+        mean[j], mean[:, j], best[j] = -np.inf, -np.inf, -np.inf
+        others = alive.copy()
+        others[i] = False
+        fresh = np.where(others, total[i] / (size[i] * size), -np.inf)
+        mean[i, i + 1 :], mean[:i, i] = fresh[i + 1 :], fresh[:i]
+        again = alive & np.isin(where, (i, j))
+        again[i] = True
+        above = np.flatnonzero(alive[:i] & ~again[:i])
+        better = above[(mean[above, i] > best[above]) | ((mean[above, i] == best[above]) & (i < where[above]))]
+        best[better], where[better] = mean[better, i], i
+        for row in np.flatnonzero(again):
+            where[row] = int(mean[row].argmax())
+            best[row] = mean[row, where[row]]
     return np.unique(owner, return_inverse=True)[1]
 
 
