@@ -142,17 +142,32 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROW
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """The calibrated classifier; None when the labels are of one kind or missing."""
-    found = labelled_features(docs, labels, rows).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("slots", "ascending")])
+    """The calibrated classifier; None when the labels are of one kind or missing. One task fits it, as the
+    sample is bounded, and only the weights come to the driver."""
+    found = labelled_features(docs, labels, rows).repartition(1).mapInArrow(_fitted, "weights binary, bias double, slope double, offset double").collect()
+    if not found:
+        return None
+    return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"], found[0]["slope"], found[0]["offset"])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [b for b in batches if b.num_rows]
+    model = _fit_rows(pa.Table.from_batches(parts)) if parts else None
+    if model is not None:
+        columns = [pa.array([model.weights.tobytes()], pa.binary()), *[pa.array([float(x)]) for x in (model.bias, model.slope, model.offset)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["weights", "bias", "slope", "offset"])
+
+
+def _fit_rows(found: pa.Table) -> Model | None:
+    found = found.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("slots", "ascending")])
     target = np.array(found.column("quality").to_pylist(), float)
     if len(set(target.tolist())) < 2:
         return None
-    # One flat copy in narrow types: the sample's features are the driver's largest piece of memory.
+    # One flat copy in narrow types.
     ends = np.cumsum([len(x) // 2 for x in found.column("slots").to_pylist()])
     flat = np.frombuffer(b"".join(found.column("slots").to_pylist()), np.uint16)
     value = np.frombuffer(b"".join(found.column("values").to_pylist()), np.float32)
     del found
-    pa.default_memory_pool().release_unused()
     parts = _parts(flat, value, ends)
     # Every third row of each kind calibrates.
     held = np.zeros(len(target), bool)
