@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+_BLANKS = re.compile(r"[ \t\r\n]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WORDS_OUT = 100_000
+
+
 def words(documents: DataFrame) -> DataFrame:
-    """video_id, pos, start, end, word."""
-    tokens = F.filter(F.split("text", r"[ \t\r\n]+"), lambda x: x != "")
-    rows = documents.select(F.col("doc_id").alias("video_id"), F.posexplode(tokens).alias("pos", "token"))
-    length = F.length("token")
-    step = length + F.when(F.col("pos") % 11 == 10, 12).otherwise(1)
-    before = Window.partitionBy("video_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(step).over(before), F.lit(0)) / F.lit(16.0))
-    word = F.when(F.col("pos") > 0, F.concat(F.lit(" "), "token")).otherwise(F.col("token"))
-    return rows.select("video_id", "pos", "start", (F.col("start") + length / 16.0).alias("end"), word.alias("word"))
+    """video_id, pos, start, end, word. A text's words are timed where it is read, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for video, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = 0
+                for pos, token in enumerate(filter(None, _BLANKS.split(text or ""))):
+                    rows.append((video, pos, at / 16.0, (at + len(token)) / 16.0, f" {token}" if pos else token))
+                    at += len(token) + (12 if pos % 11 == 10 else 1)
+                    if len(rows) == _WORDS_OUT:
+                        yield shaped(rows)
+                        rows = []
+            yield shaped(rows)
+
+    def shaped(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+    kind = dict(documents.dtypes)["doc_id"]
+    schema = f"video_id {kind}, pos int, start double, end double, word string"
+    shape = to_arrow_schema(documents.sparkSession.createDataFrame([], schema).schema)
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def segments(conversations: DataFrame) -> DataFrame:
