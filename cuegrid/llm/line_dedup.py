@@ -229,10 +229,10 @@ def _rewritten(docs: DataFrame) -> DataFrame:
     text, own = F.col(place["text"]), docs.toDF(*place.values())
     gone = removed_lines(own.select(F.col(place["doc_id"]).alias("doc_id"), text.alias("text")))
     keys = _identified(own.select("*", F.col(place["doc_id"]).alias("doc_id"), text.alias("text")), *own.columns).drop("text")
-    joined = keys.join(gone, KEY, "left")
-    split = F.split(text, "\n")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
-    rest = F.array_join(F.transform(numbers, lambda i: F.get(split, i)), "\n")
+    # The lines are a column of their own, read twice: an expression would be evaluated for every line.
+    joined = keys.join(gone, KEY, "left").withColumn("parts", F.when(F.col("gone").isNotNull(), F.split(text, "\n")))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    rest = F.array_join(F.transform(numbers, lambda i: F.get("parts", i)), "\n")
     joined = joined.withColumn("rest", F.when(F.col("gone").isNull(), text).otherwise(rest))
     columns = {name: F.col(c) for name, c in place.items()} | {"text": F.col("rest")}
     if "n_chars" in place:
