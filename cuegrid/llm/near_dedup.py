@@ -230,9 +230,10 @@ def _within_pivots(members: DataFrame, nearest: DataFrame, sets: DataFrame) -> D
     """Links (a, b) across components among the open members that were measured against one pivot.
 
     A member has one such pivot, so its set travels once, in a block of about BLOCK_MEMBERS members or
-    BLOCK_BYTES, whichever makes more blocks; those of a pivot's largest component travel apart, as they need no comparison among themselves. A row is a
-    pair of blocks, never a pair of members. As Jaccard distance is a metric, members whose distances
-    to the pivot differ by more than the linking distance cannot link and are passed over.
+    BLOCK_BYTES, whichever makes more blocks; those of a pivot's largest component travel apart, as they
+    need no comparison among themselves. A row is a pair of blocks, never a pair of members. As Jaccard
+    distance is a metric, members whose distances to the pivot differ by more than the linking distance
+    cannot link and are passed over.
     """
     rows = members.select("rep", "part").distinct().join(nearest.filter("rep <> pivot").drop("bands"), "rep")
     parts = rows.groupBy("pivot", "part").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
