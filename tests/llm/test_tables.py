@@ -272,6 +272,14 @@ def test_warc_key_in_many_blocks(spark):
     assert len(list(index.blocks(""))) >= 20 and len(index.captures(None)) == 80 and len(list(index.blocks("zzz"))) == 0
 
 
+def test_warc_of_very_long_pages(spark):
+    rows = [(1, "http://a.example/", "é" * 2_000_000), (2, "http://b.example/", "é" * 2_000_000), (3, None, "z" * 5_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc-long")
+    files = warc.build_index(warc.write_archives(df, folder), folder)
+    assert sorted(map(tuple, warc.read_back(df, files, folder).collect()), key=repr) == warc_brute(rows)
+
+
 def test_url_keys():
     assert warc.url_key("HTTPS://www.News.Example.com:8080/a?b#c") == "com,example,news)/a?b"
 

@@ -273,3 +273,18 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     empty = language.fit(df.limit(0))
     assert [r.lang_pred for r in language.identify(df.limit(1), empty).collect()] == ["und"] and language.identify(df.limit(0), model).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Three million characters, with and without blanks, in a row each."""
+    rng = random.Random(12)
+    texts = [prose(rng, 400_000) + " mit license " + prose(rng, 50_000) + " a.b@c.de", "x" * 3_000_000, "7" * 3_000_000, "1 " * 200_000, "\n" * 2_000_000]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert found[0].first_word == 400_000 and found[0].n_words == 450_006 and found[1].n_words == found[2].n_words == 1 and found[4].n_words == 0
+    spans = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert spans[0].n_email == 1 and all(spans[i].n_spans == 0 for i in (1, 2, 4))
+    verdicts = {r.doc_id: r.v for r in df.select("doc_id", quality.verdict_column(spark, None).alias("v")).collect()}
+    assert verdicts[0].n_words == 450_003 and verdicts[1].word_chars == 3_000_000 and verdicts[3].base_failed and not verdicts[4].kept
+    said = {r.doc_id: r for r in language.identify(df, language.fit(df)).collect()}
+    assert said[0].lang_pred == "en" and said[2].lang_pred == said[4].lang_pred == "und"
