@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.functions import commands, languages
-from cuegrid.operators import backends, jobs, planning, publish, segmentation, subtitles, timeline, translation
+from cuegrid.operators import backends, jobs, planning, publish, segmentation, speakers, subtitles, timeline, translation
+from cuegrid.plans.cluster_sql import kmeans_sql, linkage_sql
 from cuegrid.plans.queries import _CLIPS, _MS, _SEGMENTS, _STAMP, _clips, _segments, _strip
 from cuegrid.settings import Settings
-from cuegrid.sources import files
+from cuegrid.sources import adapters, files
 from cuegrid.sources.adapters import table
 
 CODES = ["de", "en", "fr", "xx", "qq_Latn", "zh", "sv"]
@@ -198,6 +199,11 @@ def q_translate_in_order(spark, d):
     return backends.translate_in_order(_segments(spark, d), said).select("video_id", "index", "translated")
 
 
+def q_speaker_agglomerative_loose(spark, d):
+    """A low threshold, so that clusters do merge."""
+    return speakers.cluster_speakers(adapters.vectors(table(spark, d, "embeddings")), 0, 0.12).select("video_id", "index", "label", "speaker")
+
+
 def _media(spark, d) -> DataFrame:
     return table(spark, d, "pages").select(F.col("page_id").alias("video_id"), F.col("url").alias("path"))
 
@@ -318,6 +324,9 @@ def _rule(text: str) -> str:
 _RULES = " || chr(10) || ".join(_rule(r) for r in translation.RULES + translation.LOCALE_RULES)
 
 MORE_SQL = {
+    "speaker_kmeans": kmeans_sql(4),
+    "speaker_agglomerative": linkage_sql(0.75),
+    "speaker_agglomerative_loose": linkage_sql(0.12),
     "source_dispatch": r"""SELECT r.url AS source, CASE WHEN m.path IS NULL THEN 'download' ELSE 'local' END AS kind,
   CASE WHEN m.path IS NOT NULL THEN regexp_replace(regexp_replace(r.url, '^.*/', ''), '^(.+)\.[^.]*$', '\1') END AS video_id
 FROM pages r LEFT JOIN (SELECT DISTINCT url AS path FROM pages WHERE page_id % 3 = 0) m ON m.path = r.url""",
