@@ -164,8 +164,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch += [members_all, sets, first, nearest, reached]
     component = groups.select("mark", "rep").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = component.select("mark", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("mark")).alias("mark"))
-    out = out.join(component, "mark", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Rows that are linked with nothing meet no other; they would all have the same empty key.
+    linkable = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    out = signed.filter(linkable).select("doc_id", "n_shingles", "mark").join(component, "mark").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    out = out.union(signed.filter(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     out = materialise(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-result")
     for used in scratch:
         release(used)
