@@ -25,6 +25,7 @@ class Run:
     style: str = "solo"
     speakers: int | None = None
     targets: tuple[str, ...] = tuple(DEFAULT_TARGETS)
+    srt_only: bool = False
 
 
 @dataclass(frozen=True)
@@ -76,12 +77,13 @@ def parse(arguments: list[str]) -> Run | None:
     dub.add_argument("source")
     dub.add_argument("--style", default=Run.style)
     dub.add_argument("--speakers", type=int)
+    dub.add_argument("--srt-only", action="store_true")
     dub.add_argument("targets", nargs="*")
     commands.add_parser("info")
     found = dub.parse_intermixed_args(arguments[1:]) if arguments[:1] == ["dub"] else parser.parse_args(arguments)
     if getattr(found, "command", "dub") == "info":
         return None
-    return Run(found.source, found.style, found.speakers, tuple(found.targets) or Run.targets)
+    return Run(found.source, found.style, found.speakers, tuple(found.targets) or Run.targets, found.srt_only)
 
 
 def info(settings: Settings = Settings(device="auto")) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuegrid.functions import commands, languages
 from cuegrid.operators import backends, jobs, planning, publish, segmentation, speakers, subtitles, timeline, translation
 from cuegrid.plans.cluster_sql import kmeans_sql, linkage_sql
+from cuegrid.plans.dub import subtitles_only
 from cuegrid.plans.queries import _CLIPS, _MS, _SEGMENTS, _STAMP, _clips, _segments, _strip
 from cuegrid.settings import Settings
 from cuegrid.sources import adapters, files
@@ -263,6 +264,12 @@ def q_fitted_srt(spark, d):
     return subtitles.render_srt(publish.fitted_segments(_segments(spark, d), fit)).select("video_id", F.md5("srt").alias("srt_md5"), F.length("srt").alias("chars"))
 
 
+def q_subtitles_only(spark, d):
+    """The first cue of every second video is corrected."""
+    corrected = _segments(spark, d).select("video_id").distinct().filter("video_id % 2 = 0").select("video_id", F.lit(1).alias("cue"), F.lit("Corrected line").alias("text"))
+    return subtitles_only(_segments(spark, d), ["de", "fr"], corrected=corrected).select("video_id", "target_lang", F.md5("srt").alias("srt_md5"))
+
+
 def q_shorten_overshoots(spark, d):
     cut = lambda text, budget: F.regexp_replace(text, r"\s+\S+\z", "")
     rows = planning.shorten_overshoots(_segments(spark, d), translation.char_budget(Settings(chars_per_second=9.0)), cut)
@@ -408,6 +415,10 @@ q AS (SELECT *, played + max(source_ms - played) OVER (PARTITION BY video_id ORD
 c AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY index) AS n, {_MS.format('fit_ms / 1000.0::DOUBLE')} AS a, {_MS.format('(fit_ms / 1000.0::DOUBLE + clip_ms / 1000.0::DOUBLE)')} AS b, {_strip("coalesce(nullif(translated, ''), text)")} AS t FROM q),
 s AS (SELECT video_id, string_agg(n || chr(10) || {_STAMP.format('a')} || ' --> ' || {_STAMP.format('b')} || chr(10) || t || chr(10), chr(10) ORDER BY n) AS srt FROM c GROUP BY video_id)
 SELECT video_id, md5(srt) AS srt_md5, length(srt)::INT AS chars FROM s""",
+    "subtitles_only": f"""WITH {_SEGMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY index) AS n FROM segments),
+c AS (SELECT video_id, n, {_MS.format('start')} AS a, {_MS.format('"end"')} AS b, CASE WHEN n = 1 AND video_id % 2 = 0 THEN 'Corrected line' ELSE {_strip("coalesce(nullif(translated, ''), text)")} END AS t FROM n),
+s AS (SELECT video_id, string_agg(n || chr(10) || {_STAMP.format('a')} || ' --> ' || {_STAMP.format('b')} || chr(10) || t || chr(10), chr(10) ORDER BY n) AS srt FROM c GROUP BY video_id)
+SELECT video_id, target_lang, md5(srt) AS srt_md5 FROM s, (VALUES ('de'), ('fr')) t(target_lang)""",
     "shorten_overshoots": rf"""WITH {_SEGMENTS}, z AS (SELECT video_id, index, text, translated AS t0, greatest(20, trunc(greatest(0, "end" - start) * 9.0::DOUBLE * 1.4::DOUBLE)::INT) AS budget FROM segments),
 a AS (SELECT *, (length(coalesce(nullif(t0, ''), text)) > budget) AS over1, regexp_replace(coalesce(nullif(t0, ''), text), '\s+\S+\z', '') AS c1 FROM z),
 b AS (SELECT *, CASE WHEN over1 AND length(c1) < length(coalesce(nullif(t0, ''), text)) AND c1 <> '' THEN c1 ELSE t0 END AS t1 FROM a),

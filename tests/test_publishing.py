@@ -165,6 +165,7 @@ def test_extensions(spark):
 
 def test_command_line(tmp_path, capsys):
     assert cli.parse(["dub", "a.wav", "--speakers", "2", "de", "--style", "duo", "fr"]) == cli.Run("a.wav", "duo", 2, ("de", "fr"))
+    assert cli.parse(["dub", "a.wav", "--srt-only"]).srt_only
     assert cli.parse(["dub", "a.wav"]).targets == tuple(languages.DEFAULT_TARGETS) and cli.parse(["info"]) is None
     cli.main(["info"])
     assert "device: " in capsys.readouterr().out
