@@ -51,19 +51,26 @@ PLACE = [*KEY, "line_no"]
 
 
 def _lines(texts: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, line_no, line and its ``words`` for every line with a word. Lines with nothing but single
-    spaces between words take the plain split."""
-    rows = texts.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.filter(F.btrim("line", F.lit(_BLANKS)) != "").select("*", _words(F.col("line")).alias("words"))
+    """``keep``, line_no, line and its ``words`` for every line with a word."""
+    # First the text's own column, then its lines: beside the explosion it would be made for each line.
+    rows = texts.select(*keep, "text", _odd(F.col("text")).alias("odd"))
+    rows = rows.select(*keep, "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.filter((F.ltrim("line") != "") & (~F.col("odd") | (F.btrim("line", F.lit(_BLANKS)) != "")))
+    return _with_words(rows, *keep, "line_no", "line")
 
 
-def _words(line: Column) -> Column:
-    """Words of a line; one empty word if it is blank."""
-    plain = F.split(line, " ")
-    odd = F.array_contains(plain, "")
-    for blank in "\t\x0b\x0c\r":
-        odd = odd | F.contains(line, F.lit(blank))
-    return F.when(odd, F.split(F.btrim(line, F.lit(_BLANKS)), r"[\x09-\x0D\x20]+")).otherwise(plain)
+def _odd(text: Column) -> Column:
+    """The text has blanks other than spaces and line breaks."""
+    return text.rlike(r"[\x09\x0B-\x0D]")
+
+
+def _with_words(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``words`` of ``line``, in a text that is ``odd``. Lines with nothing but single spaces between
+    words take the plain split, which is a column of its own as it is looked at before it is taken."""
+    rows = rows.select(*dict.fromkeys((*keep, "odd", "line")), F.split("line", " ").alias("plain"))
+    odd = F.col("odd") | F.array_contains("plain", "")
+    words = F.when(odd, F.split(F.btrim("line", F.lit(_BLANKS)), r"[\x09-\x0D\x20]+")).otherwise(F.col("plain"))
+    return rows.select(*keep, words.alias("words"))
 
 
 def _last_start() -> Column:
@@ -155,8 +162,9 @@ def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     pivots = materialise(pivots, "line-pivots")
 
     asked = ordered.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", F.col("pos").alias("lid"))).alias("asked"))
-    asked = texts.join(asked, KEY).select(F.split("text", "\n").alias("lines"), "asked").select("lines", F.explode("asked").alias("a"))
-    asked = asked.select("a.lid", _words(F.get("lines", "a.line_no")).alias("words")).select("lid", _tokens(ranks).alias("tokens"))
+    asked = texts.join(asked, KEY).select(F.split("text", "\n").alias("lines"), _odd(F.col("text")).alias("odd"), "asked").select("lines", "odd", F.explode("asked").alias("a"))
+    asked = asked.select("a.lid", "odd", F.get("lines", "a.line_no").alias("line"))
+    asked = _with_words(asked, "lid").select("lid", _tokens(ranks).alias("tokens"))
     sets = materialise(asked.dropDuplicates(["lid"]), "line-sets")  # rows that repeat id and text are one document
 
     # Two earlier lines for each line, the heads of its lists: stars, not pairs.
