@@ -103,9 +103,9 @@ def token_ranks(texts: DataFrame) -> list[int]:
 def _tokens(ranks: list[int]) -> Column:
     """The sorted distinct tokens of ``words``: a rank in the high byte and the high bits of the shingle's
     hash below, whose low bits are the slot of the rank."""
-    table = F.split(F.lit(",".join(str(r << 56) for r in ranks)), ",").cast("array<bigint>")
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
     hashes = F.transform(F.slice("words", 1, _last_start() + 1), lambda w, i: _shingle(i, w))
-    ranked = F.transform(hashes, lambda h: F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    ranked = F.transform(hashes, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
     return F.sort_array(F.array_distinct(ranked))
 
 
