@@ -66,6 +66,12 @@ def release(df: DataFrame) -> None:
             drop_path(df.sparkSession, ours[name])
 
 
+def tidy(spark: SparkSession) -> None:
+    """After many plans in a row: the driver unloads the classes that were generated for those that are gone
+    and gives memory back. They are otherwise kept until its heap is full, which a small heap never gets."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
