@@ -34,7 +34,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.scratch import materialise, release
+from cuegrid.scratch import materialise, release, tidy
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 75
@@ -167,6 +167,8 @@ def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     asked = _with_words(asked, "lid").select("lid", _tokens(ranks).alias("tokens"))
     sets = materialise(asked.dropDuplicates(["lid"]), "line-sets")  # rows that repeat id and text are one document
 
+    tidy(texts.sparkSession)
+
     # Two earlier lines for each line, the heads of its lists: stars, not pairs.
     ask = F.explode(F.array_distinct(F.array("pivot", "other")))
     star = pivots.select(F.col("lid").alias("x"), ask.alias("y")).filter("y < x")
@@ -188,6 +190,7 @@ def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     known = known.select("lid", "m", "pivot", "other", "distance", *bits, F.posexplode("prefix").alias("at", "token"))
     known = materialise(known.join(lists, "token", "left_semi"), "line-known")
     release(shared)
+    tidy(texts.sparkSession)
     names = ["token", "lid", "m", "at", "pivot", "distance", *bits]
     right = known.select(*[F.col(c).alias(f"{c}_y") for c in names])
     differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_y"))) for b in bits), F.lit(0))
@@ -224,10 +227,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     again = lines.select(*mark, *PLACE).join(again, mark).filter(place != F.col("id")).select(*PLACE)
     again = materialise(again, "line-again")
     release(lines)
+    tidy(docs.sparkSession)
     later = _later_matches(first, texts, ranks)
     found = materialise(later.union(again).groupBy(*KEY).agg(F.collect_set("line_no").alias("gone")), "line-removed")
     release(later)
     release(again)
+    tidy(docs.sparkSession)
     return found
 
 

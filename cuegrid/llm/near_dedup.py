@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from cuegrid.llm.graph import components
 from cuegrid.llm.text import as_bytes, mix64, shingle_set
-from cuegrid.scratch import materialise, release
+from cuegrid.scratch import materialise, release, tidy
 
 #: Words in a shingle, and the linking threshold in percent of the union.
 SHINGLE_WORDS = 5
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nearest = nearest.join(first.select(F.col("b").alias("rep"), "distance"), "rep", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
     nearest = materialise(nearest, "near-placed")
     reached = components(links)
+    tidy(docs.sparkSession)
     members_all, members = members, _open_members(members, reached)
     if members is not None:
         links = links.union(_within_pivots(members, nearest, sets))
@@ -171,6 +172,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = materialise(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-result")
     for used in scratch:
         release(used)
+    tidy(docs.sparkSession)
     return out
 
 
