@@ -50,7 +50,8 @@ def atempo_chain(factor: Column) -> Column:
     """Tempo filters of 0.5 to 2 each whose product is the factor clamped to 0.25 to 4."""
     f = F.least(F.greatest(factor, F.lit(0.25)), F.lit(4.0))
     stages = F.when(f > 2, F.array(F.lit(2.0), f / 2)).when(f < 0.5, F.array(F.lit(0.5), f / 0.5)).otherwise(F.array(f))
-    return F.array_join(F.transform(stages, lambda x: F.concat(F.lit("atempo="), F.format_string("%.6f", F.bround(x, 6)))), ",")
+    # Rounds the number itself, as printf does; bround and format_string round its shortest decimals.
+    return F.array_join(F.transform(stages, lambda x: F.concat(F.lit("atempo="), F.format_number(x, 6))), ",")
 
 
 # The patterns of what a model puts around its answer.
