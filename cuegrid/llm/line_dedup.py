@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 from statistics import median
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.scratch import materialise, release, tidy
@@ -73,20 +73,23 @@ def _with_words(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, words.alias("words"))
 
 
-def _last_start() -> Column:
+def _last_start(of: str = "words") -> Column:
     """Where the last shingle starts."""
-    return F.greatest(F.lit(0), F.size("words") - SHINGLE_WORDS)
+    return F.greatest(F.lit(0), F.size(of) - SHINGLE_WORDS)
 
 
-def _shingle(at: Column, first: Column) -> Column:
-    """The hash of up to SHINGLE_WORDS words from ``at`` on; what is beyond the line's end does not count."""
-    return F.xxhash64(first, *[F.get("words", at + k) for k in range(1, SHINGLE_WORDS)])
+def _shingle(*hashes: Column) -> Column:
+    """The hash of up to SHINGLE_WORDS words, from the hashes of the words; those beyond the line's end are null
+    and do not count."""
+    return F.xxhash64(*hashes)
 
 
 def token_ranks(texts: DataFrame) -> list[int]:
     """Rarity (0 to 127) of each slot: 64 is the median slot's count, STEPS more for each doubling."""
     at = F.explode(F.sequence(F.lit(0), _last_start())).alias("at")
-    tokens = _lines(texts).select("words", at).select(_shingle(F.col("at"), F.get("words", "at")).bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    word = [F.get("words", F.col("at") + k) for k in range(SHINGLE_WORDS)]
+    token = _shingle(F.xxhash64(word[0]), *[F.when(w.isNotNull(), F.xxhash64(w)) for w in word[1:]])
+    tokens = _lines(texts).select("words", at).select(token.bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
     counts = tokens.groupBy("slot").agg(F.count("*").alias("n"))
     # A few long strings come back, not a row for each slot.
     entry = F.concat_ws(":", "slot", "n").alias("entry")
@@ -100,13 +103,17 @@ def token_ranks(texts: DataFrame) -> list[int]:
     return [max(0, min(127, 64 + math.floor(STEPS * math.log2(max(n, 0.5) / usual)))) for n in found]
 
 
-def _tokens(ranks: list[int]) -> Column:
-    """The sorted distinct tokens of ``words``: a rank in the high byte and the high bits of the shingle's
-    hash below, whose low bits are the slot of the rank."""
+def _tokens(rows: DataFrame, ranks: list[int], *keep: str) -> DataFrame:
+    """``keep`` and the sorted distinct ``tokens`` of ``words``: a rank in the high byte and the high bits of the
+    shingle's hash below, whose low bits are the slot of the rank. Words are hashed once each, not once a shingle."""
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
-    hashes = F.transform(F.slice("words", 1, _last_start() + 1), lambda w, i: _shingle(i, w))
-    ranked = F.transform(hashes, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    return F.sort_array(F.array_distinct(ranked))
+    # Never null, and Spark then sorts plain longs.
+    rank = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0).cast("long"))
+    rows = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    starts = F.slice("hashes", 1, _last_start("hashes") + 1)
+    shingles = F.transform(starts, lambda h, i: _shingle(h, *[F.get("hashes", i + k) for k in range(1, SHINGLE_WORDS)]))
+    ranked = F.transform(shingles, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    return rows.select(*keep, F.sort_array(F.array_distinct(ranked)).alias("tokens"))
 
 
 def _prefix() -> Column:
@@ -116,9 +123,9 @@ def _prefix() -> Column:
 
 def _bits(part: int) -> Column:
     """64 bits of the set's mark: of the quarter of the tokens that ``part`` takes, every one sets a bit."""
-    mine = lambda t: t.bitwiseAND(F.lit(64 * (MARKS - 1))) == 64 * part
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: F.when(mine(t), acc.bitwiseOR(bit(t))).otherwise(acc))
+    mine = F.col("token").bitwiseAND(F.lit(64 * (MARKS - 1))) == 64 * part
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("token").bitwiseAND(F.lit(63)).cast("int"))
+    return F.bit_or(F.when(mine, bit).otherwise(F.lit(0).cast("long")))
 
 
 def _identified(docs: DataFrame, *more: str) -> DataFrame:
@@ -162,10 +169,11 @@ def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     pivots = materialise(pivots, "line-pivots")
 
     asked = ordered.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", F.col("pos").alias("lid"))).alias("asked"))
-    asked = texts.join(asked, KEY).select(F.split("text", "\n").alias("lines"), _odd(F.col("text")).alias("odd"), "asked").select("lines", "odd", F.explode("asked").alias("a"))
+    # Rows that repeat id and text are one document: the join has sorted by KEY, so one of them is told without a shuffle.
+    asked = texts.join(asked, KEY).withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY))).filter("copy = 1")
+    asked = asked.select(F.split("text", "\n").alias("lines"), _odd(F.col("text")).alias("odd"), "asked").select("lines", "odd", F.explode("asked").alias("a"))
     asked = asked.select("a.lid", "odd", F.get("lines", "a.line_no").alias("line"))
-    asked = _with_words(asked, "lid").select("lid", _tokens(ranks).alias("tokens"))
-    sets = materialise(asked.dropDuplicates(["lid"]), "line-sets")  # rows that repeat id and text are one document
+    sets = materialise(_tokens(_with_words(asked, "lid"), ranks, "lid"), "line-sets")
 
     tidy(texts.sparkSession)
 
@@ -184,9 +192,9 @@ def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     # Only lists that hold such a line go on.
     lists = shared.join(left.select("lid"), "lid", "left_semi").filter("head < lid").select("token").distinct()
     bits = [f"bits{k}" for k in range(MARKS)]
-    marked = sets.select("lid", F.size("tokens").alias("m"), *[_bits(k).alias(bits[k]) for k in range(MARKS)], _prefix())
     members = shared.join(lists, "token", "left_semi").select("lid").distinct()
-    known = marked.join(members, "lid").join(facts, "lid")
+    marks = sets.select("lid", F.explode("tokens").alias("token")).groupBy("lid").agg(*[_bits(k).alias(bits[k]) for k in range(MARKS)])
+    known = sets.select("lid", F.size("tokens").alias("m"), _prefix()).join(members, "lid").join(marks, "lid").join(facts, "lid")
     known = known.select("lid", "m", "pivot", "other", "distance", *bits, F.posexplode("prefix").alias("at", "token"))
     known = materialise(known.join(lists, "token", "left_semi"), "line-known")
     release(shared)
@@ -219,7 +227,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     texts = _identified(docs.filter(F.col("text").isNotNull()))
     ranks, mark, place = token_ranks(texts), ["mark", "other_mark"], F.struct(*PLACE)
     marks = [F.xxhash64(F.lit(salt), "line").alias(name) for salt, name in enumerate(mark)]
-    lines = _lines(texts, *KEY).select(*PLACE, *marks, _tokens(ranks).alias("tokens"))
+    lines = _tokens(_lines(texts, *KEY).select(*PLACE, *marks, "words"), ranks, *PLACE, *mark)
     lines = materialise(lines.select(*PLACE, *mark, _prefix()), "line-prefixes")
     first = lines.groupBy(*mark).agg(F.min(place).alias("id"), F.count("*").alias("n"), F.first("prefix").alias("prefix"))
     first = materialise(first.select(*mark, "id.*", "n", "prefix").withColumn("lid", F.monotonically_increasing_id()), "line-first")

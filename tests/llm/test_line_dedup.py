@@ -83,6 +83,18 @@ def test_many_texts_under_one_id(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(r[0], r[1]) for r in rows + [rows[4], rows[5]]], key=repr)
 
 
+def test_tokens_have_the_ranks_that_were_counted(spark):
+    """Tokens are hashed in one way where they are counted and in another where they are made; short lines too."""
+    lines = ["a b c d e"] * 40 + ["x  y"] * 40 + ["x y\t"] * 40 + ["one"] * 10 + [f"u{i} v w z q r" for i in range(50)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    ranks = ld.token_ranks(df)
+    made = ld._tokens(ld._lines(df, "doc_id"), ranks, "line_no")
+    assert not made.schema["tokens"].dataType.containsNull
+    found = {r.line_no: [t >> 56 for t in r.tokens] for r in made.collect()}
+    assert found[0] == [90] and found[40] == found[80] == [95] and found[120] == [80]
+    assert [len(found[130 + i]) for i in range(50)] == [2] * 50 and all(64 in found[130 + i] for i in range(50)) and all(max(found[130 + i]) == 92 for i in range(50))
+
+
 def test_one_document_of_many_lines(spark):
     """Time is about linear in the lines of one document: equal lines, and near copies of each other."""
     lines = [f"line {i % 30_000} has some words of its own {i % 30_000}" for i in range(60_000)]
