@@ -5,20 +5,23 @@ word sequence. Two lines match when the Jaccard similarity of their token sets i
 line is removed when any earlier line, in order of (doc_id, line number), matches it, in the same
 document or another. Lines without words match nothing and stay.
 
-1. Tokens get one global order, rarest first: hashed counts of the tokens themselves (SLOTS counts over all
-   documents, so of a size fixed beforehand), in steps above the usual count of a slot. Any such
-   order gives the same matches; rarity keeps the posting lists short.
-2. Lines of equal text collapse to the first, by an aggregation that combines before it shuffles.
-3. Prefix filter: two matching sets share a token among the rarest |x| - ceil(0.75 |x|) + 1 of each. Tokens of a
-   single line drop out after an aggregation that combines before it shuffles, too; the lines that are
-   left are numbered in their order. Each is held against two earlier ones, the first lines
-   of its lists. Confirmed ones go.
+1. Lines of equal text collapse to the first, by an aggregation that combines before it shuffles.
+2. Prefix filter: in any one order of all tokens, two matching sets share a token among the first
+   |x| - ceil(0.75 |x|) + 1 of each. Over all lines the order is that of the tokens' first words, of which no count has
+   to be known and no set has to be made: the tokens up to a line's limit leave as rows. Lines that share
+   none of them with another text match nothing and drop out. At most OFTEN lines, those with the most copies,
+   go into this once and not once a copy.
+3. The lines that are left are numbered in their order and their whole sets are made. Their tokens get the order that
+   counts, rarest first: hashed counts of the tokens themselves (SLOTS counts, so of a size fixed
+   beforehand), in steps above the usual count of a slot. Any such order gives the same matches;
+   rarity keeps the posting lists short. Each line is held against two earlier ones, the first lines
+   of the lists of its prefix. Confirmed ones go.
 4. For the other lines every earlier line in their lists is a candidate unless sizes, positions, a 256-bit
    mark of the set or the distances to a common head exclude it; candidates are confirmed on the whole
    sets. So no match is missed, while thousands of near copies do not become rows of pairs.
 
-Texts are read three times: for the counts, for the prefixes, and for the whole sets of those lines alone
-that share a token of their prefix; the sets of all lines would take twice the input on disk.
+Texts are read three times: for the lines, for the first prefixes, and for the whole sets of those lines alone
+that share a token; the sets of all lines would take twice the input on disk.
 
 Defined results: null text has no lines and stays null; null doc_ids come last in the order, texts of one
 doc_id are ordered by their hashes; rows that repeat id and text are one document (its copies lose the
@@ -29,6 +32,8 @@ an empty table gives an empty result. Texts, lines and documents are told apart
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 from statistics import median
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,23 +50,36 @@ STEPS = 5
 _BLANKS = "\t\n\x0b\x0c\r "
 #: Longs in the mark of a token set.
 MARKS = 4
+#: Lines whose copies are left out where entries of lists are made: those with the most copies.
+OFTEN = 100
 #: What identifies a document, and a line.
 KEY = ["doc_key", "twin", "other_twin"]
 PLACE = [*KEY, "line_no"]
+#: What identifies the text of a line.
+MARK = ["mark", "other_mark"]
 
 
-def _lines(texts: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, line_no, line and its ``words`` for every line with a word."""
+def _split(texts: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, line_no, line and whether its text is ``odd`` for every line with a word."""
     # First the text's own column, then its lines: beside the explosion it would be made for each line.
     rows = texts.select(*keep, "text", _odd(F.col("text")).alias("odd"))
     rows = rows.select(*keep, "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.filter((F.ltrim("line") != "") & (~F.col("odd") | (F.btrim("line", F.lit(_BLANKS)) != "")))
-    return _with_words(rows, *keep, "line_no", "line")
+    return rows.filter((F.ltrim("line") != "") & (~F.col("odd") | (F.btrim("line", F.lit(_BLANKS)) != "")))
+
+
+def _lines(texts: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, line_no, line and its ``words`` for every line with a word."""
+    return _with_words(_split(texts, *keep), *keep, "line_no", "line")
+
+
+def _marks() -> list[Column]:
+    """128 bits of hashes of ``line``."""
+    return [F.xxhash64(F.lit(salt), "line").alias(name) for salt, name in enumerate(MARK)]
 
 
 def _odd(text: Column) -> Column:
     """The text has blanks other than spaces and line breaks."""
-    return text.rlike(r"[\x09\x0B-\x0D]")
+    return reduce(or_, [text.contains(blank) for blank in "\t\x0b\x0c\r"])
 
 
 def _with_words(rows: DataFrame, *keep: str) -> DataFrame:
@@ -84,12 +102,19 @@ def _shingle(*hashes: Column) -> Column:
     return F.xxhash64(*hashes)
 
 
+def _shingles(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the distinct hashes of the ``shingles`` of ``words``. Words are hashed once each, not once a shingle."""
+    rows = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    starts = F.slice("hashes", 1, _last_start("hashes") + 1)
+    shingles = F.transform(starts, lambda h, i: _shingle(h, *[F.get("hashes", i + k) for k in range(1, SHINGLE_WORDS)]))
+    return rows.select(*keep, F.array_distinct(shingles).alias("shingles"))
+
+
 def token_ranks(texts: DataFrame) -> list[int]:
-    """Rarity (0 to 127) of each slot: 64 is the median slot's count, STEPS more for each doubling."""
-    at = F.explode(F.sequence(F.lit(0), _last_start())).alias("at")
-    word = [F.get("words", F.col("at") + k) for k in range(SHINGLE_WORDS)]
-    token = _shingle(F.xxhash64(word[0]), *[F.when(w.isNotNull(), F.xxhash64(w)) for w in word[1:]])
-    tokens = _lines(texts).select("words", at).select(token.bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    """Rarity (0 to 127) of each slot: 64 is the median slot's count, STEPS more for each doubling. ``texts`` have
+    ``text``, or the ``shingles`` that were made of their lines."""
+    rows = texts if "shingles" in texts.columns else _shingles(_lines(texts), "line_no")
+    tokens = rows.select(F.explode("shingles").alias("token")).select(F.col("token").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
     counts = tokens.groupBy("slot").agg(F.count("*").alias("n"))
     # A few long strings come back, not a row for each slot.
     entry = F.concat_ws(":", "slot", "n").alias("entry")
@@ -104,16 +129,37 @@ def token_ranks(texts: DataFrame) -> list[int]:
 
 
 def _tokens(rows: DataFrame, ranks: list[int], *keep: str) -> DataFrame:
-    """``keep`` and the sorted distinct ``tokens`` of ``words``: a rank in the high byte and the high bits of the
-    shingle's hash below, whose low bits are the slot of the rank. Words are hashed once each, not once a shingle."""
+    """``keep`` and the sorted ``tokens`` of ``shingles``, or of ``words``: a rank in the high byte and the high bits of the
+    shingle's hash below, whose low bits are the slot of the rank."""
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
     # Never null, and Spark then sorts plain longs.
     rank = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0).cast("long"))
-    rows = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    starts = F.slice("hashes", 1, _last_start("hashes") + 1)
-    shingles = F.transform(starts, lambda h, i: _shingle(h, *[F.get("hashes", i + k) for k in range(1, SHINGLE_WORDS)]))
-    ranked = F.transform(shingles, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    return rows.select(*keep, F.sort_array(F.array_distinct(ranked)).alias("tokens"))
+    rows = rows if "shingles" in rows.columns else _shingles(rows, *keep)
+    ranked = F.transform("shingles", lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    return rows.select(*keep, F.sort_array(ranked).alias("tokens"))
+
+
+def _entries(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``token`` for the prefix of ``words`` in the order of the tokens' first words. It ends with a whole
+    word: as many different words as the prefix has tokens start at least as many tokens, all others come later.
+    A line with fewer different words gives all its tokens. Sizes count repeated tokens, which only adds to a prefix."""
+    starts = _last_start() + 1
+    # A quarter of the tokens, and one: |x| - ceil(0.75 |x|) + 1.
+    beyond = F.floor(starts * (100 - MIN_PERCENT) / 100).cast("int")
+    rows = rows.select(*keep, "words", F.array_distinct(F.slice("words", 1, starts)).alias("firsts"))
+    rows = rows.select(*keep, "words", F.get(F.sort_array("firsts"), beyond).alias("limit"))
+    rows = rows.select(*keep, "words", "limit", F.explode(F.sequence(F.lit(0), _last_start())).alias("at"))
+    rows = rows.filter(F.col("limit").isNull() | (F.get("words", "at") <= F.col("limit")))
+    return rows.select(*keep, _shingle(*[F.get("words", F.col("at") + k) for k in range(SHINGLE_WORDS)]).alias("token"))
+
+
+def _shared(entries: DataFrame, owner: str) -> DataFrame:
+    """``entries`` (``owner``, token) of those tokens that different owners have, and the first owner there, ``head``.
+    Entries are shuffled once: the join and the aggregation under it read the same files."""
+    # Without the filter Spark takes the repartition out of one side, and then shuffles both.
+    rows = entries.repartition("token").filter(F.monotonically_increasing_id() >= 0)
+    lists = rows.groupBy("token").agg(F.min(owner).alias("head"), F.max(owner).alias("last")).filter("head < last")
+    return rows.join(lists.select("token", "head").hint("shuffle_hash"), "token")
 
 
 def _prefix() -> Column:
@@ -138,8 +184,8 @@ def _identified(docs: DataFrame, *more: str) -> DataFrame:
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (x, y) with ``matches`` and the Jaccard ``distance`` of their whole sets."""
-    one = sets.select(F.col("lid").alias("x"), F.col("tokens").alias("tx"))
-    other = sets.select(F.col("lid").alias("y"), F.col("tokens").alias("ty"))
+    one = sets.select(F.col("lid").alias("x"), F.col("shingles").alias("tx"))
+    other = sets.select(F.col("lid").alias("y"), F.col("shingles").alias("ty"))
     rows = pairs.join(one, "x").join(other, "y")
     rows = rows.select("x", "y", F.size(F.array_intersect("tx", "ty")).alias("both"), (F.size("tx") + F.size("ty")).alias("sum"))
     union = F.col("sum") - F.col("both")
@@ -151,30 +197,38 @@ def _needed(m: str, n: str) -> Column:
     return F.ceil((F.col(m) + F.col(n)) * MIN_PERCENT / (100 + MIN_PERCENT) - 1e-9)
 
 
-def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
-    """The places of the lines of ``first`` (lid, place, prefix) that an earlier one matches, materialised; ``first`` is released."""
-    entries = first.select("lid", F.explode("prefix").alias("token"))
-    lists = entries.groupBy("token").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter("low < high").select("token")
-    found = materialise(entries.join(lists, "token"), "line-lists")
-    # The lines that share a token are numbered in their order.
-    ordered = first.select("lid", *PLACE).join(found.select("lid").distinct(), "lid").repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
-    ordered = materialise(ordered.withColumn("pos", F.monotonically_increasing_id()), "line-ordered")
-    release(first)
-    shared = found.join(ordered.select("lid", "pos"), "lid").select("token", F.col("pos").alias("lid"))
-    heads = shared.groupBy("token").agg(F.min("lid").alias("head"))
-    shared = materialise(shared.join(heads, "token"), "line-shared")
-    release(found)
-    earlier = F.col("head") < F.col("lid")
-    pivots = shared.groupBy("lid").agg(F.min("head").alias("pivot"), F.coalesce(F.max(F.when(earlier, F.col("head"))), F.min("head")).alias("other"))
-    pivots = materialise(pivots, "line-pivots")
+def _sharing(first: DataFrame, texts: DataFrame) -> DataFrame:
+    """The lines of ``first`` (PLACE, MARK, n) that share a token of their prefix with another text, numbered in
+    their order (lid, PLACE); materialised."""
+    often = first.filter("n > 1").orderBy(F.desc("n"), *MARK).limit(OFTEN).select(*MARK, F.xxhash64(*PLACE).alias("own")).collect()
+    lines = _split(texts, *KEY).select(*PLACE, *_marks(), "odd", "line")
+    copy = [F.col(c).isin([row[c] for row in often]) for c in MARK] + [~F.xxhash64(*PLACE).isin([row["own"] for row in often])]
+    if often:
+        lines = lines.filter(~(copy[0] & copy[1] & copy[2]))
+    # One of the hashes tells the owners of a token apart: that two lines match and have the same one is not to be expected.
+    marks = _shared(_entries(_with_words(lines, "mark"), "mark"), "mark").select("mark").distinct()
+    rows = first.join(marks, "mark", "left_semi").select(*PLACE).repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+    return materialise(rows.withColumn("lid", F.monotonically_increasing_id()), "line-ordered")
 
-    asked = ordered.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", F.col("pos").alias("lid"))).alias("asked"))
+
+def _later_matches(first: DataFrame, texts: DataFrame) -> DataFrame:
+    """The places of the lines of ``first`` (PLACE, MARK, n) that an earlier one matches, materialised; ``first`` is released."""
+    ordered = _sharing(first, texts)
+    release(first)
+    tidy(texts.sparkSession)
+    asked = ordered.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "lid")).alias("asked"))
     # Rows that repeat id and text are one document: the join has sorted by KEY, so one of them is told without a shuffle.
     asked = texts.join(asked, KEY).withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY))).filter("copy = 1")
     asked = asked.select(F.split("text", "\n").alias("lines"), _odd(F.col("text")).alias("odd"), "asked").select("lines", "odd", F.explode("asked").alias("a"))
     asked = asked.select("a.lid", "odd", F.get("lines", "a.line_no").alias("line"))
-    sets = materialise(_tokens(_with_words(asked, "lid"), ranks, "lid"), "line-sets")
+    sets = materialise(_shingles(_with_words(asked, "lid"), "lid"), "line-sets")
 
+    ranks = token_ranks(sets)
+    prefixes = materialise(_tokens(sets, ranks, "lid").select("lid", F.size("tokens").alias("m"), _prefix()), "line-prefixes")
+    shared = materialise(_shared(prefixes.select("lid", F.explode("prefix").alias("token")), "lid"), "line-shared")
+    earlier = F.col("head") < F.col("lid")
+    pivots = shared.groupBy("lid").agg(F.min("head").alias("pivot"), F.coalesce(F.max(F.when(earlier, F.col("head"))), F.min("head")).alias("other"))
+    pivots = materialise(pivots, "line-pivots")
     tidy(texts.sparkSession)
 
     # Two earlier lines for each line, the heads of its lists: stars, not pairs.
@@ -193,8 +247,8 @@ def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     lists = shared.join(left.select("lid"), "lid", "left_semi").filter("head < lid").select("token").distinct()
     bits = [f"bits{k}" for k in range(MARKS)]
     members = shared.join(lists, "token", "left_semi").select("lid").distinct()
-    marks = sets.select("lid", F.explode("tokens").alias("token")).groupBy("lid").agg(*[_bits(k).alias(bits[k]) for k in range(MARKS)])
-    known = sets.select("lid", F.size("tokens").alias("m"), _prefix()).join(members, "lid").join(marks, "lid").join(facts, "lid")
+    marks = sets.select("lid", F.explode("shingles").alias("token")).groupBy("lid").agg(*[_bits(k).alias(bits[k]) for k in range(MARKS)])
+    known = prefixes.join(members, "lid").join(marks, "lid").join(facts, "lid")
     known = known.select("lid", "m", "pivot", "other", "distance", *bits, F.posexplode("prefix").alias("at", "token"))
     known = materialise(known.join(lists, "token", "left_semi"), "line-known")
     release(shared)
@@ -215,8 +269,8 @@ def _later_matches(first: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     rest = known.join(gone, "lid", "left_anti").join(right, fits).select(F.col("lid").alias("x"), F.col("lid_y").alias("y")).distinct()
     also = _measured(rest, sets).filter("matches").select(F.col("x").alias("lid"))
     matched = materialise(gone.union(also).distinct(), "line-matched")
-    result = materialise(ordered.join(matched, F.col("pos") == matched["lid"], "left_semi").select(*PLACE), "line-later")
-    for used in (ordered, pivots, sets, star, known, matched):
+    result = materialise(ordered.join(matched, "lid", "left_semi").select(*PLACE), "line-later")
+    for used in (ordered, prefixes, pivots, sets, star, known, matched):
         release(used)
     return result
 
@@ -225,18 +279,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """The KEY of a document and ``gone``, the numbers of its lines that an earlier line matches, for
     the documents of ``docs`` (doc_id, text) that have such lines; materialised."""
     texts = _identified(docs.filter(F.col("text").isNotNull()))
-    ranks, mark, place = token_ranks(texts), ["mark", "other_mark"], F.struct(*PLACE)
-    marks = [F.xxhash64(F.lit(salt), "line").alias(name) for salt, name in enumerate(mark)]
-    lines = _tokens(_lines(texts, *KEY).select(*PLACE, *marks, "words"), ranks, *PLACE, *mark)
-    lines = materialise(lines.select(*PLACE, *mark, _prefix()), "line-prefixes")
-    first = lines.groupBy(*mark).agg(F.min(place).alias("id"), F.count("*").alias("n"), F.first("prefix").alias("prefix"))
-    first = materialise(first.select(*mark, "id.*", "n", "prefix").withColumn("lid", F.monotonically_increasing_id()), "line-first")
-    again = first.filter("n > 1").select(*mark, place.alias("id"))
-    again = lines.select(*mark, *PLACE).join(again, mark).filter(place != F.col("id")).select(*PLACE)
+    place = F.struct(*PLACE)
+    lines = materialise(_split(texts, *KEY).select(*PLACE, *_marks()), "line-places")
+    first = lines.groupBy(*MARK).agg(F.min(place).alias("id"), F.count("*").alias("n"))
+    first = materialise(first.select(*MARK, "id.*", "n"), "line-first")
+    again = lines.join(first.filter("n > 1").select(*MARK, place.alias("id")), MARK).filter(place != F.col("id")).select(*PLACE)
     again = materialise(again, "line-again")
     release(lines)
     tidy(docs.sparkSession)
-    later = _later_matches(first, texts, ranks)
+    later = _later_matches(first, texts)
     found = materialise(later.union(again).groupBy(*KEY).agg(F.collect_set("line_no").alias("gone")), "line-removed")
     release(later)
     release(again)
