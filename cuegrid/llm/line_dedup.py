@@ -50,7 +50,8 @@ STEPS = 5
 _BLANKS = "\t\n\x0b\x0c\r "
 #: Longs in the mark of a token set.
 MARKS = 4
-#: Lines whose copies are left out where entries of lists are made: those with the most copies.
+#: Lines whose copies are left out where entries of lists are made (those with the most copies), and tokens whose entries
+#: stay with their lines there.
 OFTEN = 100
 #: What identifies a document, and a line.
 KEY = ["doc_key", "twin", "other_twin"]
@@ -153,12 +154,17 @@ def _entries(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, _shingle(*[F.get("words", F.col("at") + k) for k in range(SHINGLE_WORDS)]).alias("token"))
 
 
+def _own(owner: str) -> Column:
+    """What stands for the tokens of an owner that others are known to have: a token of its own."""
+    return F.xxhash64(F.lit("own"), owner)
+
+
 def _shared(entries: DataFrame, owner: str) -> DataFrame:
-    """``entries`` (``owner``, token) of those tokens that different owners have, and the first owner there, ``head``.
-    Entries are shuffled once: the join and the aggregation under it read the same files."""
+    """``entries`` (``owner``, token) of those tokens that different owners have or are known to have, and the first owner
+    there, ``head``. Entries are shuffled once: the join and the aggregation under it read the same files."""
     # Without the filter Spark takes the repartition out of one side, and then shuffles both.
     rows = entries.repartition("token").filter(F.monotonically_increasing_id() >= 0)
-    lists = rows.groupBy("token").agg(F.min(owner).alias("head"), F.max(owner).alias("last")).filter("head < last")
+    lists = rows.groupBy("token").agg(F.min(owner).alias("head"), F.max(owner).alias("last")).filter((F.col("head") < F.col("last")) | (F.col("token") == _own("head")))
     return rows.join(lists.select("token", "head").hint("shuffle_hash"), "token")
 
 
@@ -201,12 +207,23 @@ def _sharing(first: DataFrame, texts: DataFrame) -> DataFrame:
     """The lines of ``first`` (PLACE, MARK, n) that share a token of their prefix with another text, numbered in
     their order (lid, PLACE); materialised."""
     often = first.filter("n > 1").orderBy(F.desc("n"), *MARK).limit(OFTEN).select(*MARK, F.xxhash64(*PLACE).alias("own")).collect()
-    lines = _split(texts, *KEY).select(*PLACE, *_marks(), "odd", "line")
     copy = [F.col(c).isin([row[c] for row in often]) for c in MARK] + [~F.xxhash64(*PLACE).isin([row["own"] for row in often])]
-    if often:
-        lines = lines.filter(~(copy[0] & copy[1] & copy[2]))
+
+    def entries(texts: DataFrame) -> DataFrame:
+        lines = _split(texts, *KEY).select(*PLACE, *_marks(), "odd", "line")
+        lines = lines.filter(~(copy[0] & copy[1] & copy[2])) if often else lines
+        return _entries(_with_words(lines, "mark"), "mark")
+
+    # A very common token would send its entries to one task. Which tokens those are is told from some documents, and that
+    # different lines have them is then known: their entries go where their lines go. None is left out.
+    some = entries(texts.filter(F.col("twin").bitwiseAND(F.lit(63)) == 0)).groupBy("token")
+    some = some.agg(F.min("mark").alias("head"), F.max("mark").alias("last"), F.count("*").alias("n")).filter("head < last")
+    common = [row["token"] for row in some.orderBy(F.desc("n"), "token").limit(OFTEN).select("token").collect()]
+    every = entries(texts)
+    if common:
+        every = every.withColumn("token", F.when(F.col("token").isin(common), _own("mark")).otherwise(F.col("token")))
     # One of the hashes tells the owners of a token apart: that two lines match and have the same one is not to be expected.
-    marks = _shared(_entries(_with_words(lines, "mark"), "mark"), "mark").select("mark").distinct()
+    marks = _shared(every, "mark").select("mark").distinct()
     rows = first.join(marks, "mark", "left_semi").select(*PLACE).repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
     return materialise(rows.withColumn("lid", F.monotonically_increasing_id()), "line-ordered")
 
@@ -303,7 +320,7 @@ def _rewritten(docs: DataFrame) -> DataFrame:
     gone = removed_lines(own.select(F.col(place["doc_id"]).alias("doc_id"), text.alias("text")))
     keys = _identified(own.select("*", F.col(place["doc_id"]).alias("doc_id"), text.alias("text")), *own.columns).drop("text")
     # The lines are a column of their own, read twice: an expression would be evaluated for every line.
-    joined = keys.join(gone, KEY, "left").withColumn("parts", F.when(F.col("gone").isNotNull(), F.split(text, "\n")))
+    joined = keys.join(gone.hint("shuffle_hash"), KEY, "left").withColumn("parts", F.when(F.col("gone").isNotNull(), F.split(text, "\n")))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
     rest = F.array_join(F.transform(numbers, lambda i: F.get("parts", i)), "\n")
     joined = joined.withColumn("rest", F.when(F.col("gone").isNull(), text).otherwise(rest))

@@ -45,3 +45,15 @@ def test_lines_with_most_copies(spark, monkeypatch):
         monkeypatch.setattr(ld, "OFTEN", often)
         got = ld.drop_repeated_lines(frame(spark, rows)).collect()
         assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute(rows)
+
+
+def test_common_tokens_are_dealt_with_their_lines(spark, monkeypatch):
+    """A passage that very many lines hold sends no more entries to one key than a line has."""
+    rng, dealt, plain = random.Random(2), [], ld._shared
+    monkeypatch.setattr(ld, "_shared", lambda entries, owner: dealt.append(entries.groupBy("token").count().agg({"count": "max"}).first()[0]) or plain(entries, owner))
+    passage = " ".join(f"a{k}" for k in range(8))
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(24)) + " " + passage, None, None, 0) for i in range(1500)]
+    rows += [(1500 + i, rows[i][1] + f" z{i}", None, None, 0) for i in range(0, 1500, 50)]
+    got = {r.doc_id: r.text for r in ld.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert sorted(r for r in got if not got[r]) == [r[0] for r in rows[1500:]]
+    assert dealt[0] <= 32
